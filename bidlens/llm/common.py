@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer document is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 #: Key entries gathered before they are packed for the shuffle.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 # -- written tables ---------------------------------------------------------------------------

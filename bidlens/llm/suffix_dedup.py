@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parallelism, passes, prefix, repeated_places, powers
+from .common import mix, parallelism, passes, powers, prefix, repeated_places, span_hash
 
 U64 = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -162,60 +162,98 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
                     for k, f, e in zip(key[s][wanted].tolist(), first[s][wanted].tolist(), last[s][wanted].tolist(), strict=True):
                         piece = raw[base + f : base + e + length]
                         seen.setdefault(piece, []).append((k, d, tag, f))
-                        size += len(piece) + 100
-                if size > 48 << 20:
+                        size += len(piece) + 350
+                if size > 64 << 20:
                     yield from flush()
                     seen.clear()
                     size = 0
         yield from flush()
 
     def settle(batches):
-        by_key: dict[tuple[int, int], dict[bytes, list[tuple]]] = {}
+        held = []
         for batch in batches:
             for r in batch.to_pylist():
-                doc, tag, start = (np.frombuffer(r[c], k) for c, k in (("docs", "<i8"), ("tags", "<i8"), ("starts", "<i4")))
-                size = np.frombuffer(r["sizes"], "<i4")
+                doc, tag, start, size = (np.frombuffer(r[c], k) for c, k in (("docs", "<i8"), ("tags", "<i8"), ("starts", "<i4"), ("sizes", "<i4")))
                 if r["done"]:
                     yield _ranges(doc, tag, start, start + size)
-                    continue
-                key, end = np.frombuffer(r["keys"], "<u8").tolist(), np.cumsum(size).tolist()
-                for k, d, t, s, e, n in zip(key, doc.tolist(), tag.tolist(), start.tolist(), end, size.tolist(), strict=True):
-                    by_key.setdefault(k, {}).setdefault(r["data"][e - n : e], []).append((d, t, s))
-        out: list[tuple] = []
-        unlike: list[tuple[bytes, int, list]] = []
-        for group in by_key.values():
-            for raw, got in group.items():
-                low = min(x[0] for x in got)
-                out += [(d, t, s, s + len(raw)) for d, t, s in got if d != low]
-                if len(group) > 1:
-                    unlike.append((raw, low, [x for x in got if x[0] == low]))
-        by_key.clear()
-        for a in range(0, len(unlike), 1 << 30):
-            part = unlike[a : a + (1 << 30)]
-            size = np.array([len(x[0]) for x in part])
-            data = np.frombuffer(b"".join(x[0] for x in part), np.uint8)
-            begin = np.cumsum(size) - size
-            windows = size - length + 1
-            run = np.repeat(np.arange(len(part)), windows)
-            inner = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-            bucket = bucket_refine(data, begin[run] + inner, length)
-            low = np.array([x[1] for x in part], np.int64)
-            least = np.full(bucket.max(initial=-1) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, bucket, low[run])
-            gone = np.flatnonzero(least[bucket] < low[run])
-            # neighbouring windows of a run are one range
-            new = np.flatnonzero(np.r_[True, (run[gone][1:] != run[gone][:-1]) | (inner[gone][1:] != inner[gone][:-1] + 1)]) if len(gone) else gone
-            stop = np.r_[new[1:], len(gone)] - 1
-            for i, j in zip(new.tolist(), stop.tolist(), strict=True) if len(gone) else ():
-                f, e = int(inner[gone[i]]), int(inner[gone[j]]) + length
-                out += [(d, t, s + f, s + e) for d, t, s in part[run[gone[i]]][2]]
-        for a in range(0, len(out), 1 << 16):
-            yield _ranges(*zip(*out[a : a + (1 << 16)], strict=True))
+                else:
+                    raw = np.frombuffer(r["data"], np.uint8)
+                    held.append((np.frombuffer(r["keys"], "<u8"), doc, tag, start, size, _each_hash(raw, size), raw))
+        if not held:
+            return
+        key, doc, tag, start, size, own, data = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        begin = np.cumsum(size.astype(np.int64)) - size
+        # equal runs are one: the smallest document keeps them for now, the others lose them
+        order = np.lexsort((doc, own, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])]
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = order[new]
+        low = doc[one]
+        lost = np.flatnonzero(doc != low[group])
+        for a in range(0, len(lost), 1 << 16):
+            i = lost[a : a + (1 << 16)]
+            yield _ranges(doc[i], tag[i], start[i], start[i] + size[i])
+        # keys with unlike runs: their windows are sorted, a few keys at a time
+        k = key[one]
+        first = np.r_[True, k[1:] != k[:-1]]
+        number = np.cumsum(first) - 1
+        unlike = np.flatnonzero(np.bincount(number)[number] > 1)
+        keepers = np.flatnonzero(doc == low[group])
+        keepers = keepers[np.argsort(group[keepers], kind="stable")]
+        cut = np.searchsorted(group[keepers], np.arange(len(one) + 1))
+        bytes_ = np.cumsum(size[one[unlike]].astype(np.int64))
+        a = 0
+        while a < len(unlike):
+            b = max(a + 1, int(np.searchsorted(bytes_, (bytes_[a - 1] if a else 0) + (1 << 20))))
+            while b < len(unlike) and number[unlike[b]] == number[unlike[b - 1]]:
+                b += 1
+            part = unlike[a:b]
+            yield from _compare(part, one[part], low[part], data, begin, size, length, keepers, cut, doc, tag, start)
+            a = b
 
     runs_ = texts.join(places, "doc_id").select("doc_id", "text", "places")
     return runs_.mapInArrow(ship, _SEGMENT).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _RANGE)
 
 
+def _each_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each of the strings that lie end to end in data, about a million bytes at a time."""
+    end = np.cumsum(size.astype(np.int64))
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(size):
+        from_ = end[a] - size[a]
+        b = max(a + 1, int(np.searchsorted(end, from_ + (1 << 20), "right")))
+        sums = prefix(data[from_ : end[b - 1]])
+        out.append(span_hash(sums, end[a:b] - size[a:b] - from_, end[a:b] - from_))
+        a = b
+    return np.concatenate(out)
+
+
+def _compare(part, one, low, data, begin, size, length, keepers, cut, doc, tag, start):
+    """Ranges that runs of `part` lose to one another, by the windows that they share."""
+    pieces = [data[begin[i] : begin[i] + size[i]] for i in one]
+    joined = np.concatenate(pieces)
+    n = size[one].astype(np.int64)
+    at = np.cumsum(n) - n
+    windows = n - length + 1
+    run = np.repeat(np.arange(len(part)), windows)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    bucket = bucket_refine(joined, at[run] + inner, length)
+    least = np.full(bucket.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, bucket, low[run])
+    gone = np.flatnonzero(least[bucket] < low[run])
+    if not len(gone):
+        return
+    new = np.r_[True, (run[gone][1:] != run[gone][:-1]) | (inner[gone][1:] != inner[gone][:-1] + 1)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(gone)] - 1
+    run, f, e = run[gone[first]], inner[gone[first]], inner[gone[last]] + length
+    many = cut[part[run] + 1] - cut[part[run]]
+    who = keepers[np.repeat(cut[part[run]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    yield _ranges(doc[who], tag[who], start[who] + np.repeat(f, many), start[who] + np.repeat(e, many))
+
+
 def _segments(rows: list[tuple]) -> tuple:
     key, doc, tag, start, raw = zip(*rows, strict=True)
     return (np.array(key, "<u8").tobytes(), np.array(doc, "<i8").tobytes(), np.array(tag, "<i8").tobytes(), np.array(start, "<i4").tobytes(), np.array([len(x) for x in raw], "<i4").tobytes(), b"".join(raw))
