@@ -200,7 +200,7 @@ def repeated_places(docs: DataFrame, keys_of) -> DataFrame:
     keys can agree in their five bytes and bucket with odds of about a millionth, which only adds work
     for the exact step that follows. Work and memory of a task follow its share of the keys.
     """
-    buckets = parallelism(docs.sparkSession)
+    buckets = 2 * parallelism(docs.sparkSession)
 
     def emit(batches):
         held, n = [], 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parallelism, passes, powers, prefix, repeated_places, span_hash
+from .common import mix, parallelism, passes, powers, prefix, repeated_places, span_hash, written
 
 U64 = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -100,10 +100,20 @@ def _ranges(doc, tag, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["doc_id", "tag", "start", "stop"])
 
 
+def later_copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, stop): texts that a document with a smaller doc_id holds as they are; they lose
+    all their bytes, and what they share with others that first document shares too."""
+    own = texts.select("doc_id", F.xxhash64("text").alias("h"), F.crc32("text").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0")
+    first = written(own.groupBy("h", "tag", "stop").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
+    return written(own.join(first, ["h", "tag", "stop"]).where("doc_id > first").select("doc_id", "tag", F.lit(0).alias("start"), "stop"))
+
+
 def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """(doc_id, tag, start, stop): bytes of strings of `length` bytes that also start in a document with a
     smaller doc_id. tag is the text's crc32, which tells rows that share a doc_id apart.
 
+    Whole copies of an earlier document are settled at once (`later_copies`) and ship nothing.
+
     1. Runs of windows are keyed by their least q-gram hash (about one key for 13 bytes); keys held by one
        document alone are dropped without loss.
     2. The runs that are left travel with their bytes to their key's bucket. Equal runs within a task
@@ -113,8 +123,9 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
        bucketed and refined by bucket pointers down to `length` bytes, and each bucket's smallest doc_id
        decides.
     """
-    buckets = parallelism(docs.sparkSession)
+    buckets = 2 * parallelism(docs.sparkSession)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
+    copies = later_copies(texts)
 
     def keys_of(off, data):
         key, doc, first, _ = runs(off, data, length, gram)
@@ -163,7 +174,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
                         piece = raw[base + f : base + e + length]
                         seen.setdefault(piece, []).append((k, d, tag, f))
                         size += len(piece) + 350
-                if size > 64 << 20:
+                if size > 32 << 20:
                     yield from flush()
                     seen.clear()
                     size = 0
@@ -177,7 +188,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
                 if r["done"]:
                     yield _ranges(doc, tag, start, start + size)
                 else:
-                    raw = np.frombuffer(r["data"], np.uint8)
+                    raw = np.frombuffer(pa.decompress(r["data"], int(size.sum()), "zstd"), np.uint8)
                     held.append((np.frombuffer(r["keys"], "<u8"), doc, tag, start, size, _each_hash(raw, size), raw))
         if not held:
             return
@@ -213,8 +224,11 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
             yield from _compare(part, one[part], low[part], data, begin, size, length, keepers, cut, doc, tag, start)
             a = b
 
-    runs_ = texts.join(places, "doc_id").select("doc_id", "text", "places")
-    return runs_.mapInArrow(ship, _SEGMENT).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _RANGE)
+    whole = copies.groupBy("doc_id").agg(F.collect_set("tag").alias("whole"))
+    runs_ = texts.join(places.join(whole, "doc_id", "left"), "doc_id")
+    runs_ = runs_.where(~F.coalesce(F.array_contains("whole", F.crc32("text")), F.lit(False))).select("doc_id", "text", "places")
+    found = runs_.mapInArrow(ship, _SEGMENT).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _RANGE)
+    return found.unionByName(copies.where(F.col("stop") >= length))
 
 
 def _each_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -256,7 +270,7 @@ def _compare(part, one, low, data, begin, size, length, keepers, cut, doc, tag,
 
 def _segments(rows: list[tuple]) -> tuple:
     key, doc, tag, start, raw = zip(*rows, strict=True)
-    return (np.array(key, "<u8").tobytes(), np.array(doc, "<i8").tobytes(), np.array(tag, "<i8").tobytes(), np.array(start, "<i4").tobytes(), np.array([len(x) for x in raw], "<i4").tobytes(), b"".join(raw))
+    return (np.array(key, "<u8").tobytes(), np.array(doc, "<i8").tobytes(), np.array(tag, "<i8").tobytes(), np.array(start, "<i4").tobytes(), np.array([len(x) for x in raw], "<i4").tobytes(), pa.compress(b"".join(raw), "zstd", asbytes=True))
 
 
 def remove_covered(docs: DataFrame, length: int = 50) -> DataFrame:
