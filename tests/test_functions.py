@@ -79,7 +79,7 @@ def test_zero_average_gives_null(spark):
 
 def test_refresh_tiers(spark):
     now = datetime(2024, 6, 1, 12)
-    minutes = [0, 5, 5.1, 15, 60, 60.1]
+    minutes = [0.0, 5.0, 5.1, 15.0, 60.0, 60.1]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(minutes)], "id int, m double").withColumn("end_time", F.timestamp_seconds(F.unix_seconds(F.lit(now)) + (F.col("m") * 60).cast("long")))
     assert {r["id"]: r["interval"] for r in outcomes.refresh_tier(df, F.lit(now)).collect()} == {1: 1, 2: 5, 3: 5, 4: 15}
 
