@@ -76,7 +76,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     def train(batches):
         rows = [(r["doc_id"], r["toxic"], r["slots"]) for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: (int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]), r[2]))
-        w = ftrl([(np.frombuffer(s, "<i4").astype(np.int64), y) for _, y, s in rows], bits)
+        w = ftrl([(np.frombuffer(s, "<i4"), y) for _, y, s in rows], bits)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["slot", "weight"])
 
