@@ -282,24 +282,32 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(nodes: DataFrame, verify) -> DataFrame:
     """(node, label) of nodes (node long, n int, keys array<long>) that verified links join.
 
-    Star-shaped candidates bound the pairs: a bucket's members are first held against its smallest
-    member alone. Those links' components then settle most buckets. A bucket that still holds several
-    components has its members outside the centre's component held against all of its members, so no
-    link between members of a bucket is lost and no pair inside a component is made. verify(pairs) gets
+    Star-shaped candidates bound the pairs: a bucket's members are first held against one of them alone,
+    the one that meets most others over all its buckets (in a family of near copies, the text they stem
+    from). Those links' components then settle most buckets. A bucket that still holds several has its
+    members outside the centre's component held against all of its members, so no link between members
+    of a bucket is lost and no pair inside a component is made; for families of texts that are alike but
+    never enough, that second step grows with the square of the family. verify(pairs) gets
     (a, b) and returns those that are links. Sizes in a ratio under 0.8 can't be links.
     """
     fits = "least(n, m) * 100L >= greatest(n, m) * 80L"
     rows = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    hubs = written(rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
-    rows = written(rows.join(hubs, "key"))
+    many = written(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    rows = written(rows.join(many, "key"))
+    scored = written(rows.join(rows.groupBy("node").agg(F.sum("many").alias("score")), "node"))
+    hubs = written(scored.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("score", -F.col("node"))).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
+    rows = written(scored.drop("score", "many").join(hubs, "key"))
     star = written(rows.where("node <> hub").where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     good = written(verify(star))
     label = components(good)
     of = written(rows.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label")))
     centre = written(of.where("node = hub").select("key", F.col("label").alias("main")).distinct())
     apart = written(of.join(centre, "key").where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("other")))
+    if apart.isEmpty():
+        return label
+    tried = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mixed = written(apart.select("key").distinct())
     inside = written(of.join(mixed, "key").select("key", "node", "n", "label"))
     pairs = inside.join(apart, "key").where("label <> other").where(fits).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    more = written(verify(written(pairs.join(star, ["a", "b"], "left_anti"))))
+    more = written(verify(written(pairs.join(tried, ["a", "b"], "left_anti"))))
     return components(written(good.unionByName(more)))
