@@ -279,18 +279,35 @@ def components(edges: DataFrame) -> DataFrame:
 # -- links between the classes of a banded index ----------------------------------------------
 
 
-def linked(nodes: DataFrame, verify) -> DataFrame:
-    """(node, label) of nodes (node long, n int, keys array<long>) that verified links join.
+def bitmaps(sets: list[np.ndarray], longs: int) -> pa.ListArray:
+    """Each set of hashes as a bitmap of 64 * longs bits, in an array of longs."""
+    out = np.zeros((len(sets), 64 * longs), np.uint8)
+    for i, s in enumerate(sets):
+        out[i, (mix(s) % U64(64 * longs)).astype(np.int64)] = 1
+    flat = np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * longs), pa.array(flat))
+
+
+def may_link(percent: int, longs: int) -> str:
+    """Whether sets of n and m members with bitmaps p and q can reach the similarity. A bit that one bitmap
+    alone has set stands for at least one member that the other set lacks, so this never fails for a link."""
+    only = [" + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(longs)) for x, y in ("pq", "qp")]
+    return f"least(n - ({only[0]}), m - ({only[1]})) * {100 + percent}L >= (n + m) * {percent}L"
+
+
+def linked(nodes: DataFrame, verify, percent: int, longs: int) -> DataFrame:
+    """(node, label) of nodes (node long, n int, keys array<long>, bits array<long>) that verified links join.
 
     Star-shaped candidates bound the pairs: a bucket's members are first held against one of them alone,
     the one that meets most others over all its buckets (in a family of near copies, the text they stem
     from). Those links' components then settle most buckets. A bucket that still holds several has its
     members outside the centre's component held against all of its members, so no link between members
-    of a bucket is lost and no pair inside a component is made; for families of texts that are alike but
-    never enough, that second step grows with the square of the family. verify(pairs) gets
-    (a, b) and returns those that are links. Sizes in a ratio under 0.8 can't be links.
+    of a bucket is lost and no pair inside a component is made. That join compares the sets' bitmaps
+    (n members each, `longs` longs in bits), whose bound lets through every link and few others, so that
+    families of texts that are alike but never enough make few pairs. verify(pairs) gets (a, b) and
+    returns those that are links, of at least `percent`; sizes in a lower ratio can't be links.
     """
-    fits = "least(n, m) * 100L >= greatest(n, m) * 80L"
+    fits = f"least(n, m) * 100L >= greatest(n, m) * {percent}L"
     rows = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
     many = written(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     rows = written(rows.join(many, "key"))
@@ -308,6 +325,9 @@ def linked(nodes: DataFrame, verify) -> DataFrame:
     tried = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mixed = written(apart.select("key").distinct())
     inside = written(of.join(mixed, "key").select("key", "node", "n", "label"))
-    pairs = inside.join(apart, "key").where("label <> other").where(fits).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    bits = written(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "bits"))
+    inside = written(inside.join(bits.withColumnRenamed("bits", "p"), "node"))
+    apart = written(apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q")), "x"))
+    pairs = inside.join(apart, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     more = written(verify(written(pairs.join(tried, ["a", "b"], "left_anti"))))
     return components(written(good.unionByName(more)))

@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked, mix, passes, shingles, words, written
+from .common import bitmaps, linked, mix, passes, shingles, words, written
 
 U64 = np.uint64
 #: 32 bands of 5 bins: a pair of similarity 0.8 misses every band with odds of 3 in a million.
 BANDS, ROWS = 32, 5
+#: Longs of a set's bitmap: 1024 bits.
+LONGS = 16
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -62,21 +64,22 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, band keys. Whole texts, a few at a time."""
+    """doc_id, n_shingles, two hashes of the whole set, band keys, bitmap. Whole texts, a few at a time."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, off, data in passes(batch.column(1)):
                 n, x, y, keys = [], [], [], []
-                for s in shingle_sets(data, off, size):
+                sets = shingle_sets(data, off, size)
+                for s in sets:
                     n.append(len(s))
                     x.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     y.append(int(mix(s ^ U64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     keys.append(band_keys(s, bands, rows).tolist() if len(s) else [])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + len(n)]), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "x", "y", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + len(n)]), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(keys, pa.list_(pa.int64())), bitmaps(sets, LONGS)], ["doc_id", "n_shingles", "x", "y", "keys", "bits"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, x long, y long, keys array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, x long, y long, keys array<long>, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -89,7 +92,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     """
     sig = written(signatures(docs, size, bands, rows))
     own = ["n_shingles", "x", "y"]
-    classes = written(sig.where("n_shingles > 0").groupBy(*own).agg(F.min(F.struct("doc_id", "keys")).alias("least")).select(*own, F.col("least.doc_id").alias("node"), F.col("least.keys").alias("keys")))
+    classes = written(sig.where("n_shingles > 0").groupBy(*own).agg(F.min(F.struct("doc_id", "keys", "bits")).alias("least")).select(*own, F.col("least.doc_id").alias("node"), "least.keys", "least.bits"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
 
     def confirm(batches):
@@ -112,7 +115,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
         two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
         return two.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long").distinct()
 
-    labels = linked(classes.select("node", F.col("n_shingles").cast("int").alias("n"), "keys"), verify)
+    labels = linked(classes.select("node", F.col("n_shingles").cast("int").alias("n"), "keys", "bits"), verify, percent, LONGS)
     of = written(classes.join(labels, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in own], F.coalesce("label", "node").alias("component_id")))
     out = sig.join(of, (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

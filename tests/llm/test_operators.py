@@ -133,11 +133,36 @@ def test_components_of_a_chain(spark):
 
 def test_links_between_members_that_the_centre_rejects(spark):
     # 1 is the bucket's smallest and like neither; 2 and 3 are alike
-    nodes = spark.createDataFrame([(1, 10, [7]), (2, 10, [7]), (3, 10, [7]), (4, 100, [7])], "node long, n int, keys array<long>")
-    got = common.linked(nodes, lambda p: p.where("a = 2 and b = 3"))
+    nodes = spark.createDataFrame([(1, 10, [7], [3]), (2, 10, [7], [5]), (3, 10, [7], [5]), (4, 100, [7], [5])], "node long, n int, keys array<long>, bits array<long>")
+    got = common.linked(nodes, lambda p: p.where("a = 2 and b = 3"), 80, 1)
     assert {tuple(r) for r in got.collect()} == {(2, 2), (3, 2)}
 
 
+def test_bitmaps_let_every_link_through(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = []
+    for n in rng.integers(0, 60, 60):  # a family around one set, some alike and some not
+        sets.append(np.unique(np.concatenate([base[n:], rng.integers(0, 2**63, n // 2, dtype=np.uint64)])))
+    sets += [base[:1], rng.integers(0, 2**63, 5000, dtype=np.uint64)]
+    rows = [(i, len(s), b) for i, (s, b) in enumerate(zip(sets, common.bitmaps(sets, 4).to_pylist(), strict=True))]
+    left = spark.createDataFrame(rows, "a long, n int, p array<long>")
+    right = spark.createDataFrame(rows, "b long, m int, q array<long>")
+    passed = {(r.a, r.b) for r in left.join(right, F.col("a") < F.col("b")).where(common.may_link(80, 4)).select("a", "b").collect()}
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    links = {(i, j) for (i, j), n in both.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    assert links and links <= passed and len(passed) < 2 * len(links) < len(both)
+
+
+def test_block_bitmaps_are_of_its_shingles(spark):
+    values = [-5, 0, 63, 64, 2**62, -(2**63)]
+    got = spark.createDataFrame([(values,), ([],)], "shingles array<long>").select(F.expr(passages._BITS).alias("bits")).collect()
+    want = [0] * passages.LONGS
+    for x in values:
+        want[(x >> 6) % passages.LONGS] |= 1 << (x & 63)
+    assert [b % 2**64 for b in got[0]["bits"]] == want and got[1]["bits"] == [0] * passages.LONGS
+
+
 def test_one_permutation_agrees_by_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
