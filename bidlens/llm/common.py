@@ -288,11 +288,17 @@ def bitmaps(sets: list[np.ndarray], longs: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * longs), pa.array(flat))
 
 
+def room(longs: int) -> str:
+    """How many of a set's n members its bitmap hides, as they share bits."""
+    return "n - (" + " + ".join(f"bit_count(bits[{i}])" for i in range(longs)) + ")"
+
+
 def may_link(percent: int, longs: int) -> str:
-    """Whether sets of n and m members with bitmaps p and q can reach the similarity. A bit that one bitmap
-    alone has set stands for at least one member that the other set lacks, so this never fails for a link."""
-    only = [" + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(longs)) for x, y in ("pq", "qp")]
-    return f"least(n - ({only[0]}), m - ({only[1]})) * {100 + percent}L >= (n + m) * {percent}L"
+    """Whether sets of n and m members with bitmaps p and q, rooms r and s, can reach the similarity. A bit
+    that one bitmap alone has set stands for at least one member that the other set lacks, so the bits in
+    both and the smaller room bound the intersection, and this never fails for a link."""
+    both = " + ".join(f"bit_count(p[{i}] & q[{i}])" for i in range(longs))
+    return f"({both} + least(r, s)) * {100 + percent}L >= (n + m) * {percent}L"
 
 
 def linked(nodes: DataFrame, verify, percent: int, longs: int) -> DataFrame:
@@ -325,9 +331,9 @@ def linked(nodes: DataFrame, verify, percent: int, longs: int) -> DataFrame:
     tried = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mixed = written(apart.select("key").distinct())
     inside = written(of.join(mixed, "key").select("key", "node", "n", "label"))
-    bits = written(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "bits"))
-    inside = written(inside.join(bits.withColumnRenamed("bits", "p"), "node"))
-    apart = written(apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q")), "x"))
+    bits = written(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
+    inside = written(inside.join(bits.select("node", F.col("bits").alias("p"), F.col("room").alias("r")), "node"))
+    apart = written(apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q"), F.col("room").alias("s")), "x"))
     pairs = inside.join(apart, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     more = written(verify(written(pairs.join(tried, ["a", "b"], "left_anti"))))
     return components(written(good.unionByName(more)))

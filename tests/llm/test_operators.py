@@ -146,8 +146,9 @@ def test_bitmaps_let_every_link_through(spark):
         sets.append(np.unique(np.concatenate([base[n:], rng.integers(0, 2**63, n // 2, dtype=np.uint64)])))
     sets += [base[:1], rng.integers(0, 2**63, 5000, dtype=np.uint64)]
     rows = [(i, len(s), b) for i, (s, b) in enumerate(zip(sets, common.bitmaps(sets, 4).to_pylist(), strict=True))]
-    left = spark.createDataFrame(rows, "a long, n int, p array<long>")
-    right = spark.createDataFrame(rows, "b long, m int, q array<long>")
+    table = spark.createDataFrame(rows, "a long, n int, bits array<long>").select("a", "n", "bits", F.expr(common.room(4)).alias("r"))
+    left = table.withColumnRenamed("bits", "p")
+    right = table.toDF("b", "m", "q", "s")
     passed = {(r.a, r.b) for r in left.join(right, F.col("a") < F.col("b")).where(common.may_link(80, 4)).select("a", "b").collect()}
     both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     links = {(i, j) for (i, j), n in both.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)}
