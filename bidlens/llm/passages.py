@@ -24,15 +24,21 @@ _BITS = f"transform(sequence(0, {LONGS - 1}), i -> aggregate(filter(shingles, x
 
 
 def blocks(data: np.ndarray, off: np.ndarray, reach: int = REACH):
-    """Words (hash, document, first and end byte) and each block's first word; a last entry ends them."""
+    """Words (hash, document, first and end byte) and each block's first word; a last entry ends them. A
+    document's blocks depend on its own text alone: no word is before its first, and none is near its ends."""
     h, doc, start, end = words(data, off)
     n = len(h)
     if not n:
         return h, doc, start, end, np.zeros(1, np.int64)
-    two = mix(h * U64(3) + np.r_[U64(0), h[:-1]] * U64(5))
-    pad = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
-    wide = np.r_[pad, two, pad]
-    least = np.min([wide[i : i + n] for i in range(2 * reach + 1) if i != reach], axis=0)
+    before = np.r_[U64(0), h[:-1]]
+    before[1:][doc[1:] != doc[:-1]] = 0
+    two = mix(h * U64(3) + before * U64(5))
+    # `reach` greatest numbers between documents, so that none sees another's words
+    at = np.arange(n) + reach * doc
+    size = n + reach * (len(off) - 2)
+    wide = np.full(size + 2 * reach, np.iinfo(np.uint64).max, np.uint64)
+    wide[at + reach] = two
+    least = np.min([wide[i : i + size] for i in range(2 * reach + 1) if i != reach], axis=0)[at]
     ends = two < least
     ends[:-1] |= doc[1:] != doc[:-1]
     ends[-1] = True

@@ -192,6 +192,35 @@ def test_passages_go_from_all_but_the_first(spark):
             assert d == 200 or (q in text and t.split()[0] in text and t.split()[-1] in text)
 
 
+def brute_blocks(text, reach=passages.REACH):
+    h = [int(x) for x in common.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]]
+    two = [int(common.mix(np.array([(3 * x + 5 * y) % 2**64], np.uint64))[0]) for x, y in zip(h, [0, *h], strict=False)]
+    return [i + 1 for i in range(len(h)) if i == len(h) - 1 or all(two[i] < x for x in two[max(0, i - reach) : i] + two[i + 1 : i + 1 + reach])]
+
+
+def test_blocks_stop_at_document_edges():
+    texts = [passage(i, 1 + i % 40) for i in range(300)] + ["", "one"] + [passage(7, 30)] * 3
+    for order in (texts, texts[::-1]):
+        raw = [t.encode() for t in order]
+        off = np.r_[0, np.cumsum([len(t) for t in raw])]
+        _, doc, _, _, first = passages.blocks(np.frombuffer(b"".join(raw), np.uint8), off)
+        for i, t in enumerate(order):
+            lead = int(np.searchsorted(doc, i))
+            own = first[1:][doc[first[1:] - 1] == i] - lead
+            assert own.tolist() == brute_blocks(t)
+
+
+def test_passages_do_not_depend_on_the_layout(spark):
+    p = passage(3, 60)
+    data = [(i, f"{p} {passage(500 + i, 7)}" if i % 3 else passage(900 + i, 20), "a") for i in range(60)]
+    one = frame(spark, data).coalesce(1)
+    other = frame(spark, data[::-1]).repartition(7)
+    got = [sorted((r["doc_id"], r["text"], r["n_blocks"], r["n_removed"]) for r in passages.remove_passages(d).collect()) for d in (one, other)]
+    assert got[0] == got[1]
+    for d, _, n, _ in got[0]:
+        assert n == len(brute_blocks(data[d][1]))
+
+
 def test_passages_odd_rows(spark):
     got = {r["doc_id"]: r["text"] for r in passages.remove_passages(frame(spark, ODD)).collect()}
     assert got[6] == LONG and got[7] != LONG + " end" and len(got[8]) < 200 and got[9] == "the same text twice " * 9 and got[1] in (None, "")
