@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -38,6 +39,15 @@ def ranks(path: str) -> dict[bytes, int]:
     return {bytes(of[c] for c in t): i for t, i in vocab.items() if all(c in of for c in t) and t != "<|endoftext|>"}
 
 
+def added(path: str) -> dict[bytes, int]:
+    """Strings and ids of the tokenizer file's added tokens, which its tokenizer finds in any text."""
+    tokens = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
+    for t in tokens:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"added token {t['content']!r}: only plain ones are supported")
+    return {t["content"].encode(): t["id"] for t in tokens if t["content"]}
+
+
 def starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where a word starts, for texts without odd bytes or contractions."""
     kind = _CLASS[data]
@@ -57,6 +67,8 @@ class Encoder:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+        self.added = added(path)
+        self.find = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.clear()
 
     def clear(self) -> None:
@@ -75,6 +87,27 @@ class Encoder:
         self.hash = np.insert(self.hash, where, new)
         self.flat = np.r_[self.flat, np.array([i for x in ids for i in x], np.uint32)]
 
+    def tokens(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """As encode, but added tokens in a text have their own ids: what the file's tokenizer gives at its
+        defaults. The text between them is split and encoded part by part."""
+        raw = data.tobytes()
+        if self.find is None or not self.find.search(raw):
+            return self.encode(data, off)
+        cuts, ids, own = [], [], []  # ends of parts, the added id after each, its text
+        for i in range(len(off) - 1):
+            for m in self.find.finditer(raw[off[i] : off[i + 1]]):
+                cuts += [off[i] + m.start(), off[i] + m.end()]
+                ids += [None, self.added[m[0]]]
+                own += [i, i]
+            cuts.append(off[i + 1])
+            ids.append(None)
+            own.append(i)
+        out: list[list[bytes]] = [[] for _ in range(len(off) - 1)]
+        plain = self.encode(data, np.r_[0, np.array(cuts, np.int64)])
+        for i, k, part in zip(own, ids, plain, strict=True):
+            out[i].append(part if k is None else np.array([k], "<u4").tobytes())
+        return [b"".join(x) for x in out]
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers; special tokens' strings are ordinary text."""
         n = len(off) - 1

@@ -20,7 +20,7 @@ def default_tokenizer() -> str:
 
 def pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with end_id, cut if over capacity;
-    the remainder comes first. Whole texts, a few at a time."""
+    the remainder comes first. Added tokens that a text spells out have their ids. Whole texts, a few at a time."""
 
     def run(batches):
         own = encoder(path)
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for a, off, data in passes(batch.column(1)):
                 rows = []
-                for d, b in zip(ids[a:], own.encode(data, off), strict=False):
+                for d, b in zip(ids[a:], own.tokens(data, off), strict=False):
                     b += close
                     n = len(b) // 4
                     at, size, k = 0, n % capacity or min(n, capacity), 0

@@ -240,6 +240,24 @@ def test_tokens_are_the_tokenizers(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tok.encode_batch(own, add_special_tokens=False)]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "end  <|endoftext|>  it's", "plain", "", "<|endoftext", "|>", "é <|endoftext|>\n\n<|endoftext|> ñ 漢", " <|endoftext|>"]
+
+
+def test_added_tokens_are_the_tokenizers_at_its_defaults(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(ADDED, add_special_tokens=False)]
+    got = []
+    for _, off, data in common.passes(pa.array(ADDED)):
+        got += bpe.encoder(path).tokens(data, off)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    rows = {r["doc_id"]: r for r in packing.pack(frame(spark, [(i, t, "a") for i, t in enumerate(ADDED)])).collect()}
+    for i, ids in enumerate(want):
+        assert rows[i]["length"] == len(ids) + 1 and rows[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
 def check_packing(got, texts, capacity=1024):
     from tokenizers import Tokenizer
 
