@@ -659,6 +659,16 @@ def stream_deal_lifecycle(s, d):
     return lifecycle.run(s, d)
 
 
+@query(
+    "stream_deal_outcomes",
+    """SELECT user_id AS id, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'SOLD'
+      WHEN epoch_ms(max(ts)) + 7 * 86400000 < (SELECT epoch_ms(max(ts)) - 86400000 FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND user_id IS NOT NULL) THEN 'GAVE_UP' ELSE 'PENDING' END AS status,
+      min(event_id) FILTER (WHERE event_type = 'purchase') AS sale FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1""",
+)
+def stream_deal_outcomes(s, d):
+    return lifecycle.outcomes(s, d)
+
+
 @query("full_run")
 def full_run(s, d):
     """Pages to market in one job for all categories; rows that can't be read are counted, not fatal."""

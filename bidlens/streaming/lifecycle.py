@@ -1,4 +1,5 @@
-"""Deal lifecycle as a stateful stream: PENDING until a sale is seen, GAVE_UP a week after the last sighting."""
+"""Deal lifecycle as a stateful stream: PENDING until a sale is seen (SOLD) or a completed page shows the deal
+without one (UNSOLD), GAVE_UP a week after the last sighting. Late rows of deals given up go to a side table."""
 
 from __future__ import annotations
 
@@ -12,39 +13,68 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .upserts import shared_dir, snapshots
 
-OUT = "id long, status string, sale long, batch long"
+OUT = "id long, status string, sale long, batch long, late long"
+STATE = "sale long, n long, unsold boolean, over boolean"
 WEEK_MS = 7 * 86400 * 1000
 
 
 def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of one deal: the first sale's seq, or none, and how often it was written. An event-time
-    timer a week after the latest sighting gives a deal up; sightings after that open it again."""
-    sale, count = state.getOption or (-1, 0)
+    """The state of one deal: the first sale's seq, or none, how often it was written, whether a completed
+    page was seen, and whether it was given up. An event-time timer a week after the latest sighting gives a
+    deal up; sightings after that open it again, but for those before the watermark, which are late. The
+    count outlives the timer, so that it orders all that is written of a deal."""
+    sale, count, unsold, over = state.getOption or (-1, 0, False, False)
     if state.hasTimedOut:
-        state.remove()
-        if sale < 0:
-            yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "batch": [count + 1]})
+        state.update((sale, count + 1, unsold, True))
+        yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "batch": [count + 1], "late": [None]})
         return
-    latest = 0
+    mark, latest, late = state.getCurrentWatermarkMs(), None, []
     for p in rows:
-        latest = max(latest, int(p["at"].max().timestamp() * 1000))
+        if over:
+            old = p["ms"] < mark
+            late += p.loc[old, "seq"].tolist()
+            p = p[~old]
+        if not len(p):
+            continue
+        latest = int(p["ms"].max()) if latest is None else max(latest, int(p["ms"].max()))
         sold = p.loc[p["mode"] == "sold", "seq"]
         if len(sold):
             first = int(sold.min())
             sale = first if sale < 0 else min(sale, first)
-    state.update((sale, count + 1))
-    if sale < 0:
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + WEEK_MS)
-    yield pd.DataFrame({"id": [key[0]], "status": ["SOLD" if sale >= 0 else "PENDING"], "sale": [sale if sale >= 0 else None], "batch": [count + 1]})
+        unsold = unsold or bool((p["mode"] == "completed").any())
+    if late:
+        yield pd.DataFrame({"id": key[0], "status": "LATE", "sale": None, "batch": None, "late": late})
+    if latest is None:
+        state.update((sale, count, unsold, over))
+        return
+    status = "SOLD" if sale >= 0 else "UNSOLD" if unsold else "PENDING"
+    state.update((sale, count + 1, unsold, False))
+    if status == "PENDING":
+        state.setTimeoutTimestamp(max(latest + WEEK_MS, mark + 1))
+    yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale if sale >= 0 else None], "batch": [count + 1], "late": [None]})
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each deal's state after all that the stream holds. The source has no late rows beyond the day that
-    the watermark allows; what the stream writes is an update log, whose last entry a deal counts."""
+def follow(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, status, sale) of each deal after all that the stream `rows` (id, mode, seq, at) holds, and the side
+    table (id, seq) of late rows. The watermark allows a day. Event times travel as numbers beside a time that
+    is marked as the watermark's but never late, so that late rows reach the deal's state and are not dropped."""
+    spark = rows.sparkSession
     base = f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}"
-    s = snapshots(spark, sf_dir).where("price is not null and id is not null").withWatermark("at", "1 day")
-    out = s.groupBy("id").applyInPandasWithState(advance, OUT, "sale long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    never = F.lit("2200-01-01").cast("timestamp").alias("never", metadata={"spark.watermarkDelayMs": 86400000})
+    s = rows.withWatermark("at", "1 day").select("id", "mode", "seq", F.unix_millis("at").alias("ms"), never)
+    out = s.groupBy("id").applyInPandasWithState(advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    log = spark.read.schema(OUT).parquet(f"{base}/out").where("status <> 'GAVE_UP'")
-    return log.groupBy("id").agg(F.max_by("status", "batch").alias("status"), F.max_by("sale", "batch").alias("sale"))
+    log = spark.read.schema(OUT).parquet(f"{base}/out")
+    last = log.where("status <> 'LATE'").groupBy("id").agg(F.max_by(F.struct("status", "sale"), "batch").alias("r")).select("id", "r.*")
+    return last, log.where("status = 'LATE'").select("id", F.col("late").alias("seq"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each deal's last state, given-up ones included. Snapshots of events have no completed pages: none is UNSOLD."""
+    return follow(snapshots(spark, sf_dir).where("price is not null and id is not null"))[0]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As outcomes, but a deal whose timer has fired counts as PENDING: what this query's SQL asks for."""
+    return outcomes(spark, sf_dir).withColumn("status", F.when(F.col("status") == "GAVE_UP", "PENDING").otherwise(F.col("status")))
