@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -312,7 +313,7 @@ def test_ann_recall_and_scores(spark):
     ids = np.array(sorted(v))
     x = np.array([v[i] for i in ids])
     got = defaultdict(list)
-    for r in ann.search(e, enough=1).orderBy("query_id", "rank").collect():
+    for r in ann.search(e).orderBy("query_id", "rank").collect():
         assert np.isclose(r["score"], np.sqrt(((v[r["query_id"]] - v[r["vec_id"]]) ** 2).sum()), rtol=1e-12)
         got[r["query_id"]].append(r["vec_id"])
     hit = 0
@@ -327,11 +328,98 @@ VECTORS = [(0, [1.0, 2.0, 3.0, 4.0]), (50, [1.0, 2.0, 3.0, 4.0]), (100, [0.0, 0.
 
 
 def test_ann_odd_rows(spark):
-    e = spark.createDataFrame([(i, x, 1, 2) for i, x in VECTORS], "vec_id long, embedding array<double>, cell int, block int")
+    e = spark.createDataFrame([(i, x, 1, 2, 3) for i, x in VECTORS], "vec_id long, embedding array<double>, cell int, block int, part int")
     got = ann.search(e).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 7), (0, 50), (0, 201), (0, 200), (200, 0), (200, 7), (200, 50), (200, 201)]
 
 
+#: Unlike lengths, sizes whose squares or products leave doubles and longs, ids that several rows share.
+WILD = [(0, [1.0, 2.0]), (0, [3.0]), (100, [1e200, 1.0]), (200, [1.0]), (300, [1e-200, 2e-200]), (1, [1.0, 2.0, 0.0]), (1, [9.0, 9.0]), (2, []), (3, [-1e200, 5.0]), (4, [1e17, 1e17]), (400, [1e17, 1e17]), (5, [2e-200, 2e-200]), (6, [1.5, 2.5, 1e-3]), (500, [1e16, 3.0]), (7, [1e16, 3.25]), (8, [-0.001, 4.0]), (2, [0.0])]
+
+
+def padded(rows, n=3):
+    return [(i, [*v, *[0.0] * (n - len(v))]) for i, v in rows]
+
+
+def test_ann_takes_any_length_and_size(spark):
+    import math
+
+    e = spark.createDataFrame(WILD * 2, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(e).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    rows_ = [(i, v) for i, v in padded(WILD) if any(v)]
+    for q in {i for i, _ in rows_ if i % 100 == 0}:
+        far = {}
+        for o, v in rows_:
+            for w in (w for i, w in rows_ if i == q != o):
+                far[o] = min(far.get(o, math.inf), math.dist(v, w))
+        want = sorted(far.items(), key=lambda p: (p[1], p[0]))[:10]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and np.allclose([d for _, d in got[q]], [d for _, d in want], rtol=1e-12, atol=0)
+
+
+def test_topk_takes_any_length_and_size(spark):
+    e = spark.createDataFrame(WILD * 2, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.search(e).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = [(i, [int(256 * Fraction(x) // 1) for x in v]) for i, v in padded(WILD)]
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        best = {}
+        for o, v in whole:
+            for w in (w for i, w in whole if i == q != o):
+                best[o] = max(best.get(o, -(2**63)), max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))))
+        assert got[q] == sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+
+
+def clustered(n, dim=16, groups=60, seed=4):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(groups, dim))[rng.integers(0, groups, n)] * 10 + rng.normal(size=(n, dim)) * 0.1
+
+
+def test_multi_index_visits_few_of_clustered_entries():
+    x = clustered(6000)
+    c1, c2 = ann.kmeans(x[:, :8], 32), ann.kmeans(x[:, 8:], 32)
+    a1, a2 = ann.nearest(x[:, :8], c1), ann.nearest(x[:, 8:], c2)
+    cell = a1 * len(c2) + a2
+    sizes = np.bincount(cell, minlength=len(c1) * len(c2))
+    r1, r2 = np.zeros(len(sizes)), np.zeros(len(sizes))
+    np.maximum.at(r1, cell, ann.distance(x[:, :8], c1[a1]))
+    np.maximum.at(r2, cell, ann.distance(x[:, 8:], c2[a2]))
+    for q in range(0, 6000, 300):
+        d = ((x - x[q]) ** 2).sum(1)
+        near = np.argsort(d)[:11]
+        kth = np.partition(((x[:2000] - x[q]) ** 2).sum(1), 11)[11]
+        cells = ann.visited(ann.distances(x[q : q + 1, :8], c1)[0], ann.distances(x[q : q + 1, 8:], c2)[0], r1, r2, sizes, kth, 6000)
+        assert sizes[cells].sum() < 600 and np.isin(cell[near], cells).all()
+
+
+def test_cover_tree_is_nested_and_prunes():
+    x = clustered(3000)
+    t = topk.CoverTree(x)
+    assert sorted(t.rows.tolist()) == list(range(3000)) and max(len(c) for c in t.children) > 1
+    for n, below in enumerate(t.children):
+        own = x[t.rows[t.start[n] : t.end[n]]]
+        assert np.sqrt(((own - x[t.centre[n]]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
+        if below:
+            assert t.centre[below[0]] == t.centre[n] and [t.start[below[0]], t.end[below[-1]]] == [t.start[n], t.end[n]]
+            assert all(t.radius[c] <= t.radius[n] / 2 + 1e-9 for c in below)
+            d = np.sqrt(((x[[t.centre[c] for c in below]][:, None] - x[[t.centre[c] for c in below]][None]) ** 2).sum(2))
+            assert (d + np.eye(len(d)) * 1e9).min() > t.radius[n] / 2 - 1e-9
+    seen = []
+    real, topk.products = topk.products, lambda a, b: (seen.append(len(a) * len(b)), real(a, b))[1]
+    try:
+        q, ids, s = topk.descend(x[:60], np.arange(60), np.full(60, -np.inf), x, np.arange(3000), 5)
+    finally:
+        topk.products = real
+    y = np.floor(x * 256).astype(np.int64)
+    for i in range(60):
+        all_ = y @ y[i]
+        all_[i] = -(10**15)
+        assert sorted(zip((-s[q == i]).tolist(), ids[q == i].tolist(), strict=True)) == [(-all_[j], j) for j in np.lexsort((np.arange(3000), -all_))[:5]]
+    assert sum(seen) < 0.35 * 60 * 3000
+
+
 def test_topk_is_brute_force(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id < 3000")
     v = {r["vec_id"]: np.floor(np.array(r["embedding"], float) * 256).astype(int) for r in e.collect()}
@@ -343,7 +431,7 @@ def test_topk_is_brute_force(spark):
 
 
 def test_topk_odd_rows(spark):
-    e = spark.createDataFrame([(i, x, 1, 2) for i, x in VECTORS], "vec_id long, embedding array<double>, node int, part int")
+    e = spark.createDataFrame([(i, x, 1, 2) for i, x in VECTORS], "vec_id long, embedding array<double>, cell int, part int")
     got = [(r["query_id"], r["vec_id"]) for r in topk.search(e).orderBy("query_id", "rank").collect()]
     assert [p for p in got if p[0] == 0] == [(0, 7), (0, 50), (0, 201), (0, 200), (0, 100)]
 
