@@ -7,6 +7,8 @@ row by row unless the operator says otherwise; an empty table gives an empty res
 
 from __future__ import annotations
 
+import contextlib
+import math
 import tempfile
 import uuid
 
@@ -37,11 +39,56 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.own_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.own_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end: what is to stay must have been written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def settled(spark: SparkSession, build) -> DataFrame:
+    """build()'s rows as one written table; the tables that it wrote on the way are deleted."""
+    _open.append([])
+    try:
+        result = build()
+        own = _open.pop()
+        out = written(result)
+    except BaseException:
+        own = _open.pop() if _open else []
+        raise
+    finally:
+        for path in own:
+            _delete(spark, path)
+    return out
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -192,7 +239,7 @@ def _pack(key: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int):
         yield _rows(rows[a : a + 256])
 
 
-def repeated_places(docs: DataFrame, keys_of) -> DataFrame:
+def repeated_places(docs: DataFrame, keys_of, buckets: int | None = None) -> DataFrame:
     """(doc_id, place) of every key that documents with different doc_id hold.
 
     keys_of(offsets, bytes) gives (key uint64, document index, place) arrays for a run of texts. The
@@ -200,7 +247,7 @@ def repeated_places(docs: DataFrame, keys_of) -> DataFrame:
     keys can agree in their five bytes and bucket with odds of about a millionth, which only adds work
     for the exact step that follows. Work and memory of a task follow its share of the keys.
     """
-    buckets = 2 * parallelism(docs.sparkSession)
+    buckets = buckets or 2 * parallelism(docs.sparkSession)
 
     def emit(batches):
         held, n = [], 0
@@ -252,28 +299,27 @@ def repeated_places(docs: DataFrame, keys_of) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node that links reach. edges: (a, b), any order, longs.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): O(log^2) rounds, each a
-    minimum by key, which combines before the shuffle, and a join with those minima, written first so
-    that Spark can measure them, broadcast small ones and split a hub's rows.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) until only stars are left: O(log^2)
+    rounds, each a minimum by key, which combines before the shuffle, and a join with those minima.
     """
-    spark = edges.sparkSession
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(60):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        hung = large.join(least, "u")
-        e = written(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(e, large)
+        e = now
+        # stars: each node hangs on one other, and none hangs on a node that hangs itself
+        many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if many.unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")).isEmpty():
             break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    return written(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)) if spark else e
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots))
+    release(e)
+    return out
 
 
 # -- links between the classes of a banded index ----------------------------------------------
@@ -301,39 +347,79 @@ def may_link(percent: int, longs: int) -> str:
     return f"({both} + least(r, s)) * {100 + percent}L >= (n + m) * {percent}L"
 
 
-def linked(nodes: DataFrame, verify, percent: int, longs: int) -> DataFrame:
+def bands_for(threshold: float, recall: float, keys: int) -> tuple[int, int]:
+    """(bands, rows): of the settings that find a pair of similarity `threshold` with odds of at least `recall`
+    by at most `keys` bands, the one of most rows, which pairs of less similarity meet least by."""
+    found = None
+    for rows in range(1, 65):
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        if bands > keys:
+            break
+        found = (bands, rows)
+    if found is None:
+        raise ValueError(f"{keys} bands can't reach a recall of {recall}")
+    return found
+
+
+def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3) -> DataFrame:
     """(node, label) of nodes (node long, n int, keys array<long>, bits array<long>) that verified links join.
 
-    Star-shaped candidates bound the pairs: a bucket's members are first held against one of them alone,
-    the one that meets most others over all its buckets (in a family of near copies, the text they stem
-    from). Those links' components then settle most buckets. A bucket that still holds several has its
-    members outside the centre's component held against all of its members, so no link between members
+    Star-shaped candidates bound the pairs: a bucket's members are held against one of them alone, the one
+    that meets most others over all its buckets (in a family of near copies, the text they stem from).
+    Those links' components settle most buckets. In a bucket that still holds several, a new centre is taken from
+    outside the first one's component, again for a star, for up to `rounds` stars as long as they find links. Members
+    still outside the first centre's component are then held against all of the bucket's members in other
+    components, so no link between members
     of a bucket is lost and no pair inside a component is made. That join compares the sets' bitmaps
     (n members each, `longs` longs in bits), whose bound lets through every link and few others, so that
     families of texts that are alike but never enough make few pairs. verify(pairs) gets (a, b) and
     returns those that are links, of at least `percent`; sizes in a lower ratio can't be links.
     """
     fits = f"least(n, m) * 100L >= greatest(n, m) * {percent}L"
-    rows = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    many = written(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
-    rows = written(rows.join(many, "key"))
-    scored = written(rows.join(rows.groupBy("node").agg(F.sum("many").alias("score")), "node"))
-    hubs = written(scored.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("score", -F.col("node"))).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
-    rows = written(scored.drop("score", "many").join(hubs, "key"))
-    star = written(rows.where("node <> hub").where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    good = written(verify(star))
+    pair = [F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")]
+    every = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    rows = written(every.join(every.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"))
+    scored = rows.join(rows.groupBy("node").agg(F.sum("many").alias("score")), "node").drop("many")
+    best = F.max_by(F.struct("node", "n"), F.struct("score", -F.col("node")))
+    of = written(scored.join(scored.groupBy("key").agg(best.alias("hub")), "key").select("key", "node", "n", "score", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
+    release(rows)
+    tried = written(of.where("node <> hub").where(fits).withColumnRenamed("hub", "x").select(*pair).distinct())
+    good = written(verify(tried))
     label = components(good)
-    of = written(rows.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label")))
-    centre = written(of.where("node = hub").select("key", F.col("label").alias("main")).distinct())
-    apart = written(of.join(centre, "key").where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("other")))
-    if apart.isEmpty():
+    live = of
+    for turn in range(rounds):
+        own = label.select("node", "label")
+        main = label.select(F.col("node").alias("hub"), F.col("label").alias("main"))
+        now = live.drop("label", "main").join(own, "node", "left").join(main, "hub", "left")
+        now = now.select("key", "node", "n", "score", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("main", "hub").alias("main"))
+        held = written(now)
+        mixed = held.where("label <> main").select("key").distinct()
+        release(live)
+        live = written(held.join(mixed, "key", "left_semi"))
+        release(held)
+        if live.isEmpty():
+            release(live, tried, good)
+            return label
+        if turn == rounds - 1:
+            break
+        centre = live.where("label <> main").groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.struct("score", -F.col("node"))).alias("c"))
+        star = live.join(centre.select("key", F.col("c.node").alias("x"), F.col("c.n").alias("m"), F.col("c.label").alias("other")), "key").where("label <> other").where(fits)
+        star = written(star.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+        more = written(verify(star))
+        if more.isEmpty():
+            release(star, more)
+            break
+        tried, good = tried.unionByName(star), good.unionByName(more)
+        label = components(good)
+    bits = written(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
+    inside = live.select("key", "node", "n", "label").join(bits.select("node", F.col("bits").alias("p"), F.col("room").alias("r")), "node")
+    apart = live.where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
+    apart = apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q"), F.col("room").alias("s")), "x")
+    pairs = inside.join(apart, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(*pair).distinct()
+    star = written(pairs.join(tried, ["a", "b"], "left_anti"))
+    release(live, bits)
+    more = written(verify(star))
+    release(star)
+    if more.isEmpty():
         return label
-    tried = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    mixed = written(apart.select("key").distinct())
-    inside = written(of.join(mixed, "key").select("key", "node", "n", "label"))
-    bits = written(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
-    inside = written(inside.join(bits.select("node", F.col("bits").alias("p"), F.col("room").alias("r")), "node"))
-    apart = written(apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q"), F.col("room").alias("s")), "x"))
-    pairs = inside.join(apart, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    more = written(verify(written(pairs.join(tried, ["a", "b"], "left_anti"))))
-    return components(written(good.unionByName(more)))
+    return components(good.unionByName(more))

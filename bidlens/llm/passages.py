@@ -11,13 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import linked, mix, passes, repeated_places, shingles, words, written
+from .common import bands_for, linked, mix, passes, release, repeated_places, settled, shingles, words, written
 
 U64 = np.uint64
 REACH, SHINGLE = 5, 5
-#: 5 bands of 2: a pair of similarity 0.8 misses every band with odds of 0.6 %, of 0.9 with 0.02 %.
-BANDS, ROWS = 5, 2
+#: Tuned for pairs of similarity 0.8: 4 bands of 2, which miss such a pair with odds of 1.7 %, of 0.9 with 0.2 %.
+BANDS, ROWS = bands_for(0.8, 0.98, 4)
 #: Longs of a block's bitmap: 256 bits for about 7 shingles.
 LONGS = 4
 _BITS = f"transform(sequence(0, {LONGS - 1}), i -> aggregate(filter(shingles, x -> pmod(shiftright(x, 6), {LONGS}) = i), 0L, (b, x) -> b | shiftleft(1L, cast(x & 63 as int))))"
@@ -74,8 +75,8 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block, tag): blocks whose component also holds a block of a document with a smaller doc_id.
 
     Band keys that one document alone holds are dropped without loss before anything else moves. Equal
-    blocks are one class; classes meet in band buckets as stars (see `linked`), links are confirmed by
-    exact Jaccard (0.8) on the five-word shingles, and components decide. tag: the text's hash.
+    blocks are one class (equal in their number of shingles and two 64-bit hashes of them all); classes meet in band buckets as stars (see
+    `linked`), links are confirmed by exact Jaccard (0.8) on the five-word shingles, and components decide. tag: the text's hash.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
 
@@ -91,7 +92,7 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
     places = repeated_places(texts, keys_of).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
     def describe(batches):
-        names = ["doc_id", "block", "tag", "set_hash", "shingles", "keys"]
+        names = ["doc_id", "block", "tag", "n", "x", "y", "shingles", "keys"]
         for batch in batches:
             ids, lists, tags = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
             for a, off, data in passes(batch.column(1)):
@@ -107,17 +108,21 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
                 for c in range(0, len(take), 8192):
                     t, part = take[c : c + 8192], sets[c : c + 8192]
                     size = np.array([len(x) for x in part])
-                    flat = np.concatenate(part) if len(part) else np.zeros(0, np.uint64)
+                    flat = np.concatenate(part)
                     lead = np.r_[0, np.cumsum(size)]
-                    whole = np.add.reduceat(mix(flat), lead[:-1])
+                    x, y = (np.add.reduceat(mix(flat ^ U64(salt)), lead[:-1]).view(np.int64) for salt in (0, 0x5DEECE66D))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a + own[t]]), pa.array((t - cut[own[t]]).astype(np.int32)), pa.array(tags[a + own[t]]), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(lead.astype(np.int32)), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys[t].ravel().view(np.int64)))],
+                        [pa.array(ids[a + own[t]]), pa.array((t - cut[own[t]]).astype(np.int32)), pa.array(tags[a + own[t]]), pa.array(size.astype(np.int32)), pa.array(x), pa.array(y), pa.ListArray.from_arrays(pa.array(lead.astype(np.int32)), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys[t].ravel().view(np.int64)))],
                         names,
                     )
 
     found = texts.join(places, "doc_id").select("doc_id", "text", "places", F.xxhash64("text").alias("tag"))
-    found = written(found.mapInArrow(describe, "doc_id long, block int, tag long, set_hash long, shingles array<long>, keys array<long>"))
-    classes = written(found.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first_doc"), F.first(F.struct("shingles", "keys")).alias("one")).select("node", "first_doc", "one.shingles", "one.keys", F.size("one.shingles").alias("n")))
+    found = written(found.mapInArrow(describe, "doc_id long, block int, tag long, n int, x long, y long, shingles array<long>, keys array<long>"))
+    own = ["n", "x", "y"]
+    classes = found.groupBy(*own).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first(F.struct("shingles", "keys")).alias("one"))
+    classes = written(classes.select(*own, "first_doc", "last_doc", "one.shingles", "one.keys").withColumn("node", F.monotonically_increasing_id()))
+    where = written(found.select("doc_id", "block", "tag", *own))
+    release(found)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = pairs.join(classes.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -126,29 +131,35 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
         return two.where(both * 100 >= 80 * (F.size("left") + F.size("right") - both)).select("a", "b")
 
     labels = linked(classes.select("node", "n", "keys", F.expr(_BITS).alias("bits")), verify, 80, LONGS)
-    of = classes.join(labels, "node", "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"))
-    low = written(of.groupBy("label").agg(F.min("first_doc").alias("low")))
-    node_low = written(of.join(low, "label").select(F.col("node").alias("set_hash"), "low"))
-    return found.select("doc_id", "block", "tag", "set_hash").join(node_low, "set_hash").where("low < doc_id").select("doc_id", "block", "tag")
+    of = classes.select("node", *own, "first_doc", "last_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    low = of.groupBy("label").agg(F.min("first_doc").alias("low"))
+    lows = written(of.join(low, "label").where("low < last_doc").select(*own, "low"))
+    release(classes)
+    return where.join(lows, own).where("low < doc_id").select("doc_id", "block", "tag")
 
 
 def remove_passages(docs: DataFrame, min_words: int = 15) -> DataFrame:
     """All columns of docs with text cut, and n_blocks, n_removed (words): runs of neighbouring
-    duplicate blocks of at least min_words words go from every document but that of smallest doc_id.
+    duplicate blocks of at least min_words words go from every document but that of smallest doc_id. Columns
+    of docs that bear those two names give way to these.
 
     Shorter repeats (common lines, licences, headings) stay. Passages that repeat inside one document
-    alone stay. A text loses the bytes from a run's first word to the word after its last."""
-    dup = duplicate_blocks(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("block").alias("_blocks"))
-    kept = docs.where("doc_id is not null")
-    joined = kept.join(dup, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left").drop("_doc", "_tag")
+    alone stay. A text loses the bytes from a run's first word to the word after its last. A null text stays null;
+    rows that share a doc_id lose nothing to one another."""
+    kept = docs.where("doc_id is not null").drop("n_blocks", "n_removed")
     names = kept.columns
     where = names.index("text")
+    dup = settled(docs.sparkSession, lambda: duplicate_blocks(docs).groupBy("doc_id", "tag").agg(F.collect_set("block").alias("blocks")))
+    # columns by place, whatever their names: the row in a struct beside the key and the blocks
+    rows = kept.select(F.struct(*names).alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(dup, (F.col("key") == F.col("doc_id")) & (F.col("hash") == F.col("tag")), "left").select("row", "blocks")
 
     def cut(batches):
         for batch in batches:
-            lists = batch.column(len(names))
+            row, lists = batch.column(0), batch.column(1)
             texts, counts, gone = [], [], []
-            for a, off, data in passes(batch.column(where)):
+            cols = row.flatten()
+            for a, off, data in passes(cols[where]):
                 h, doc, start, end, first = blocks(data, off)
                 own = doc[first[:-1]] if len(first) > 1 else np.zeros(0, np.int64)
                 edge = np.searchsorted(own, np.arange(len(off)))
@@ -171,15 +182,13 @@ def remove_passages(docs: DataFrame, min_words: int = 15) -> DataFrame:
                             parts.append(raw[at : int(start[f])])
                             at, lost = stop, lost + e - f
                     gone.append(lost)
-                    texts.append((b"".join(parts) + raw[at : off[i + 1]]).decode() if lost else whole.decode())
-            cols = [batch.column(k) for k in range(len(names))]
+                    null = not cols[where][a + i].is_valid
+                    texts.append(None if null else (b"".join(parts) + raw[at : off[i + 1]]).decode() if lost else whole.decode())
             cols[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], [*names, "n_blocks", "n_removed"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*kept.schema.fields, T.StructField("n_blocks", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    return joined.select(*names, "_blocks").mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema)
 
 
 def op9_substring_dedup(spark, sf_dir) -> DataFrame:
