@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmaps, linked, mix, passes, shingles, words, written
+from .common import bands_for, bitmaps, linked, mix, passes, release, settled, shingles, words, written
 
 U64 = np.uint64
 #: 32 bands of 5 bins: a pair of similarity 0.8 misses every band with odds of 3 in a million.
-BANDS, ROWS = 32, 5
+BANDS, ROWS = bands_for(0.8, 1 - 4e-6, 32)
 #: Longs of a set's bitmap: 1024 bits.
 LONGS = 16
 
@@ -85,10 +85,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
-    Documents with equal shingle sets are one class from the start, so thousands of copies are one node.
-    Classes meet in banded buckets, candidates are stars (see `linked`), and a link stands when
-    100 * intersection >= percent * union on the full sets, recomputed from the texts. A text without
-    words is linked with nothing. Rows that share a doc_id are one document with several texts.
+    Documents with equal shingle sets (equal by size and two 64-bit hashes) are one class from the start, so
+    thousands of copies are one node. Classes meet in banded buckets, candidates are stars (see `linked`),
+    and a link stands when 100 * intersection >= percent * union on the full sets of words, recomputed
+    from the texts. A text without words is linked with nothing. Rows that share a doc_id are one document with several texts.
     """
     sig = written(signatures(docs, size, bands, rows))
     own = ["n_shingles", "x", "y"]
@@ -104,9 +104,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
             for i in range(len(a)):
                 t = left[i].as_py() or ""
                 if held[0] != a[i] or held[1] != t:
-                    held = (a[i], t, _set(t, size))
-                s, o = held[2], _set(right[i].as_py() or "", size)
-                both = len(np.intersect1d(s, o, assume_unique=True))
+                    held = (a[i], t, word_set(t, size))
+                s, o = held[2], word_set(right[i].as_py() or "", size)
+                both = len(s & o)
                 good[i] = both > 0 and 100 * both >= percent * (len(s) + len(o) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
@@ -117,15 +117,17 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
 
     labels = linked(classes.select("node", F.col("n_shingles").cast("int").alias("n"), "keys", "bits"), verify, percent, LONGS)
     of = written(classes.join(labels, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in own], F.coalesce("label", "node").alias("component_id")))
+    release(classes)
     out = sig.join(of, (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _set(text: str, size: int) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]), size)[0]
+def word_set(text: str, size: int) -> set[tuple[bytes, ...]]:
+    """The distinct runs of `size` words of a text, A-Z lower-cased; of fewer words, the whole run."""
+    w = text.encode().lower().split()
+    return set(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else {tuple(w)} if w else set()
 
 
 def op7_minhash_near_dedup(spark, sf_dir) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = settled(spark, lambda: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
