@@ -1,4 +1,7 @@
-"""Exact substring dedup by suffix sorting with bucket-pointer refinement."""
+"""Exact substring dedup by suffix sorting with bucket-pointer refinement.
+
+Hashes only choose what meets: whole texts are taken for equal by length and SHA-256, everything else by its bytes.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parallelism, passes, powers, prefix, repeated_places, span_hash, written
+from .common import mix, parallelism, passes, powers, prefix, release, repeated_places, settled, span_hash, written
 
 U64 = np.uint64
-_TOP = np.iinfo(np.uint64).max
+#: Bytes of text whose keys or runs one task holds, about.
+BUCKET_BYTES = 64 << 20
+#: Documents that are sampled for keys with many contexts, at least, one in MOST at the least; contexts that make a key hot.
+SAMPLED, MOST, HOT = 16_384, 4096, 64
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -25,10 +31,11 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def runs(off: np.ndarray, data: np.ndarray, length: int, gram: int):
+def runs(off: np.ndarray, data: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None):
     """Runs of neighbouring windows of `length` bytes that share their least q-gram hash: (that hash,
     document index, first window, last window), places within the document. Equal windows have equal
-    least hashes, wherever they stand: they lie in runs of one key."""
+    least hashes, wherever they stand: they lie in runs of one key. Windows of a `hot` key (a sorted array), which would
+    bring too many contexts to one place, are runs by themselves, keyed by their own hash."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
@@ -42,6 +49,9 @@ def runs(off: np.ndarray, data: np.ndarray, length: int, gram: int):
     inside[off[:-1][~short]] += 1
     np.add.at(inside, off[1:][~short] - length + 1, -1)
     ok = np.cumsum(inside)[:n] > 0
+    if hot is not None and len(hot):
+        at = np.flatnonzero(ok & (hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least))
+        least[at] = mix(span_hash(sums, at, at + length) ^ U64(0x0DDB1A5E5BAD5EED))
     new = ok.copy()
     same = ok[1:] & ok[:-1] & (least[1:] == least[:-1])
     starts = np.zeros(n, bool)
@@ -53,43 +63,58 @@ def runs(off: np.ndarray, data: np.ndarray, length: int, gram: int):
     return least[first], doc, first - off[doc], after - off[doc]
 
 
-def bucket_refine(data: np.ndarray, starts: np.ndarray, length: int, base: int = 8) -> np.ndarray:
-    """Bucket number of the `length` bytes at each start: equal numbers, equal bytes.
+def bucket_refine(data: np.ndarray, starts: np.ndarray, length: int, base: int = 8, batch: int = 1 << 16) -> np.ndarray:
+    """Number of the `length` bytes at each start: equal numbers, equal bytes.
 
-    Bucket-pointer refinement: suffixes are first bucketed by their q-gram (`base` bytes, read as one
-    number), then each bucket is refined by sorting on the bucket of the suffix `depth` further on; the
-    refined numbers serve as the pointers of the next round, so the depth doubles each time.
+    Bucket-pointer refinement (Schürmann and Stoye, 2005). Suffixes are first sorted into buckets by their q-gram
+    (`base` bytes, read as one number); a suffix points at its bucket, the place where that begins. Buckets are then refined from left to
+    right, a batch of neighbouring ones at a time: a bucket's suffixes are sorted by the pointers of the suffixes `depth` further on, where
+    depth is how many bytes all of the bucket share, and its parts get pointers of their own at once, so that whatever is refined after
+    them, their own parts first of all, sorts by the finer pointers and gains as many bytes as the bucket pointed at shares. Sorted
+    neighbours are compared byte by byte at last.
     """
-    n = len(data) - base + 1
-    number = np.zeros(n, np.uint64)
+    base = min(base, length)
+    n = len(data)
+    long_ = np.concatenate([data, np.zeros(length + base, np.uint8)])
+    number = np.zeros(n + length, np.uint64)
     for i in range(base):
-        number = number << U64(8) | data[i : i + n].astype(np.uint64)
-    need = [(base, min(base, length - base))]
-    while sum(need[-1]) < length:
-        deep = sum(need[-1])
-        need.append((deep, min(deep, length - deep)))
-    # only places that a window can point at are sorted
-    used = np.zeros(len(data), bool)
-    reach = length - base
-    mark = np.zeros(len(data) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + reach + 1, len(data)), -1)
-    used = np.cumsum(mark)[:-1] > 0
-    pointer = np.zeros(len(data), np.int64)
-    at = np.flatnonzero(used[:n])
-    pointer[at] = np.unique(number[at], return_inverse=True)[1]
-    for k, (depth, step) in enumerate(need):
-        if k == len(need) - 1:
-            at = starts
-        else:
-            at = at[at + step < len(data)]
-        pair = pointer[at] << 32 | pointer[at + step]
-        refined = np.unique(pair, return_inverse=True)[1]
-        if k == len(need) - 1:
-            return refined
-        pointer = np.zeros(len(data), np.int64)
-        pointer[at] = refined
-    return pointer[starts]
+        number = number << U64(8) | long_[i : i + n + length]
+    order = np.argsort(number[:n], kind="stable")
+    new = np.r_[True, number[order][1:] != number[order][:-1]]
+    lead = np.flatnonzero(new)
+    pointer, depth = np.full(n + length, -1), np.full(n + length, length)
+    pointer[order] = np.repeat(lead, np.diff(np.r_[lead, n]))
+    depth[:n] = base
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    wanted = np.add.reduceat(begins[order].astype(np.int64), lead) > 0
+    size = np.diff(np.r_[lead, n])
+    live = lead[wanted & (size > 1)]
+    width = size[wanted & (size > 1)]
+    cut = np.searchsorted(np.cumsum(width), np.arange(0, width.sum(), batch), "right")
+    for a, b in zip(cut, [*cut[1:], len(live)], strict=False):
+        if a == b:
+            continue
+        at = np.repeat(live[a:b] - (np.cumsum(width[a:b]) - width[a:b]), width[a:b]) + np.arange(width[a:b].sum())
+        while len(at) and base < length:
+            p = order[at]
+            to = pointer[p + depth[p]]
+            o = np.lexsort((to, pointer[p]))
+            p, to = p[o], to[o]
+            order[at] = p
+            new = np.r_[True, (pointer[p][1:] != pointer[p][:-1]) | (to[1:] != to[:-1])]
+            lead = np.flatnonzero(new)
+            size = np.diff(np.r_[lead, len(p)])
+            deep = depth[p] + depth[p + depth[p]]
+            pointer[p], depth[p] = np.repeat(at[lead], size), deep
+            at = at[np.repeat(size > 1, size) & (deep < length)]
+    s = order[begins[order]]
+    same = np.ones(max(0, len(s) - 1), bool)
+    for i in [*range(0, length - base + 1, base), length - base]:
+        same &= number[s[1:] + i] == number[s[:-1] + i]
+    of = np.zeros(n, np.int64)
+    of[s] = np.cumsum(np.r_[False, ~same]) if len(s) else 0
+    return of[starts]
 
 
 _SEGMENT = "bucket int, done boolean, keys binary, docs binary, tags binary, starts binary, sizes binary, data binary"
@@ -100,12 +125,29 @@ def _ranges(doc, tag, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["doc_id", "tag", "start", "stop"])
 
 
-def later_copies(texts: DataFrame) -> DataFrame:
+def later_copies(own: DataFrame) -> DataFrame:
     """(doc_id, tag, start, stop): texts that a document with a smaller doc_id holds as they are; they lose
     all their bytes, and what they share with others that first document shares too."""
-    own = texts.select("doc_id", F.xxhash64("text").alias("h"), F.crc32("text").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0")
-    first = written(own.groupBy("h", "tag", "stop").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
-    return written(own.join(first, ["h", "tag", "stop"]).where("doc_id > first").select("doc_id", "tag", F.lit(0).alias("start"), "stop"))
+    first = own.groupBy("h", "stop").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return written(own.join(first, ["h", "stop"]).where("doc_id > first").select("doc_id", "tag", F.lit(0).alias("start"), "stop"))
+
+
+def hot_keys(texts: DataFrame, documents: int, length: int, gram: int) -> np.ndarray:
+    """Sorted keys that meet HOT different runs or more in a sample of the documents: a common line's edges. Which keys are listed
+    decides where windows meet, never whether; a million keys at the most are listed."""
+    every = max(1, min(documents // SAMPLED, MOST))
+
+    def run(batches):
+        for batch in batches:
+            for _, off, data in passes(batch.column(0)):
+                key, doc, first, last = runs(off, data, length, gram)
+                if len(key):
+                    a = off[doc] + first
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(span_hash(prefix(data), a, a + last - first + length).view(np.int64))], ["key", "run"])
+
+    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long, run long").distinct()
+    many = part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(1 << 20)
+    return np.sort(np.array([r["key"] for r in many.collect()], np.int64).view(np.uint64))
 
 
 def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
@@ -115,23 +157,30 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     Whole copies of an earlier document are settled at once (`later_copies`) and ship nothing.
 
     1. Runs of windows are keyed by their least q-gram hash (about one key for 13 bytes); keys held by one
-       document alone are dropped without loss.
+       document alone are dropped without loss. Windows of keys with many contexts are keyed each by itself (`hot_keys`).
     2. The runs that are left travel with their bytes to their key's bucket. Equal runs within a task
        travel once, for the smallest doc_id, and the others are settled where they stand: a passage in a
        third of all documents costs one run for each task.
     3. In a bucket equal runs again are one. Where a key has several, their windows' suffixes are
        bucketed and refined by bucket pointers down to `length` bytes, and each bucket's smallest doc_id
        decides.
+
+    Buckets follow the partitions and the bytes of text, so that a task's share is bounded.
     """
-    buckets = 2 * parallelism(docs.sparkSession)
+    spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    copies = later_copies(texts)
+    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.crc32("text").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
+    total = own.agg(F.coalesce(F.sum("stop"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    buckets = max(2 * parallelism(spark), -(-total["bytes"] // BUCKET_BYTES))
+    copies = later_copies(own)
+    release(own)
+    hot = hot_keys(texts, total["n"], length, gram)
 
     def keys_of(off, data):
-        key, doc, first, _ = runs(off, data, length, gram)
+        key, doc, first, _ = runs(off, data, length, gram, hot)
         return key, doc, first
 
-    found = repeated_places(texts, keys_of)
+    found = repeated_places(texts, keys_of, buckets)
     places = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
     def ship(batches):
@@ -160,7 +209,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(2)
             for a, off, data in passes(batch.column(1)):
-                key, doc, first, last = runs(off, data, length, gram)
+                key, doc, first, last = runs(off, data, length, gram, hot)
                 raw = data.tobytes()
                 cut = np.searchsorted(doc, np.arange(len(off)))
                 for i in range(len(off) - 1):
@@ -174,7 +223,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
                         piece = raw[base + f : base + e + length]
                         seen.setdefault(piece, []).append((k, d, tag, f))
                         size += len(piece) + 350
-                if size > 32 << 20:
+                if size > 16 << 20:
                     yield from flush()
                     seen.clear()
                     size = 0
@@ -196,8 +245,10 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
         held.clear()
         begin = np.cumsum(size.astype(np.int64)) - size
         # equal runs are one: the smallest document keeps them for now, the others lose them
-        order = np.lexsort((doc, own, key))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])]
+        order = np.lexsort((doc, own, size, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1]) | (size[order][1:] != size[order][:-1])]
+        like = np.flatnonzero(~new)
+        new[like[_differ(data, begin[order[like - 1]], begin[order[like]], size[order[like]])]] = True
         group = np.empty(len(key), np.int64)
         group[order] = np.cumsum(new) - 1
         one = order[new]
@@ -231,6 +282,21 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     return found.unionByName(copies.where(F.col("stop") >= length))
 
 
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the strings at a differ from those at b, byte by byte, about a million bytes at a time."""
+    end = np.cumsum(size.astype(np.int64))
+    out, i = np.zeros(len(size), bool), 0
+    while i < len(size):
+        from_ = end[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(end, from_ + (1 << 20), "right")))
+        lead = end[i:j] - size[i:j] - from_
+        inner = np.arange(end[j - 1] - from_) - np.repeat(lead, size[i:j])
+        unlike = data[np.repeat(a[i:j], size[i:j]) + inner] != data[np.repeat(b[i:j], size[i:j]) + inner]
+        out[i:j] = np.logical_or.reduceat(unlike, lead)
+        i = j
+    return out
+
+
 def _each_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each of the strings that lie end to end in data, about a million bytes at a time."""
     end = np.cumsum(size.astype(np.int64))
@@ -309,4 +375,4 @@ def remove_covered(docs: DataFrame, length: int = 50) -> DataFrame:
 
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
-    return remove_covered(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return settled(spark, lambda: remove_covered(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))

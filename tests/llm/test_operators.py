@@ -62,9 +62,22 @@ def rows(df):
 
 
 def test_suffix_dedup_is_brute_force(spark, docs, texts):
-    part = docs.where("doc_id < 400")
-    got = suffix_dedup.remove_covered(part).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert sorted(map(tuple, got.collect())) == brute_cover([x for x in texts if x[0] < 400])
+    got = suffix_dedup.remove_covered(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute_cover(texts)
+
+
+def test_suffix_dedup_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    line = passage(5, 12)
+    data = [(i, f"{passage(600 + i % 40, 4)} {line} {passage(700 + i % 30, 4)} {line[:70]}", "a") for i in range(90)]
+    assert len(suffix_dedup.hot_keys(frame(spark, data), 90, 50, 25))
+    got = suffix_dedup.remove_covered(frame(spark, data)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute_cover([(d, t) for d, t, _ in data])
+
+
+def test_runs_whose_hashes_agree_are_compared():
+    data = np.frombuffer(b"abcdefabcdxfabc", np.uint8)
+    assert suffix_dedup._differ(data, np.array([0, 0]), np.array([6, 12]), np.array([6, 3])).tolist() == [True, False]
 
 
 def test_suffix_dedup_odd_rows(spark):
@@ -75,9 +88,11 @@ def test_suffix_dedup_odd_rows(spark):
 def test_bucket_refine_names_equal_strings():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
-    for length in (9, 16, 24, 50):
+    data[2000:2600] = data[100:700]
+    data[2700:2900] = 97
+    for length, batch in ((5, 64), (8, 64), (9, 64), (16, 1 << 16), (24, 300), (50, 64), (50, 1 << 16)):
         at = np.arange(len(data) - length + 1)
-        got = suffix_dedup.bucket_refine(data, at, length)
+        got = suffix_dedup.bucket_refine(data, at, length, batch=batch)
         name: dict[bytes, int] = {}
         raw = data.tobytes()
         assert all(name.setdefault(raw[i : i + length], got[i]) == got[i] for i in at)
