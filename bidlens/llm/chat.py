@@ -52,9 +52,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, chunk) in order within each partition: a conversation's chunks, end to end, are its
-    formatted text."""
+    formatted text. Dealt by conv_id, which is free after `fold_events`."""
     chunk = F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit(" [/INST]\n"), escape(F.col("text")), F.lit("</s>\n"))
-    return messages.sortWithinPartitions("conv_id", "opened", "msg").select("conv_id", chunk.alias("chunk"))
+    return messages.repartition("conv_id").sortWithinPartitions("conv_id", "opened", "msg").select("conv_id", chunk.alias("chunk"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,7 +16,8 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     Weights go round over the sources by code point, null last. Shares of share * total by weight stop
     at most * size; what is over is dealt again by weight until none is above. That end state is
     target = min(most * size, level * weight) at one level, found by sorting sources by where they
-    stop. One small row a source, the only rows that meet in one task.
+    stop. One small row a source, the only rows that meet in one task: for a source a site, some 100 bytes each,
+    not for a source a document.
     """
     by = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -31,31 +32,37 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     return s.select("source", "source_size", F.when(level.isNull() | (level * F.col("weight") > most * F.col("source_size")), most * F.col("source_size")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of docs.
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of docs, and with `keep` those
+    columns in a struct `row`, so that each row's copies stay with it.
 
     A document's expected copies are its source's target / size. Within a source the documents stand
-    in order of size, then doc_id; the prefix sums of the copies plus one random offset a source give a
+    in order of size, then doc_id, then a hash of the text; the prefix sums of the copies plus one random offset a source give a
     document one copy for each whole number that they cross, so a source's words differ from its target
-    by about one document's. The order, not the layout, decides: reruns agree. A document without words
-    has 0 taken words. Repeated rows each stand for themselves.
+    by about one document's. The order, not the layout, decides: reruns agree. A document without words (empty or null text)
+    has 0 taken words. Repeated rows each stand for themselves. A null source is one source.
 
-    A range sort on (source, size, doc_id) deals a hot source over many tasks; ranks are a row's place
+    A range sort on (source, size, doc_id, hash, place) deals a hot source, and a row that is repeated without end, over many tasks; ranks are a row's place
     in its partition plus the rows of its source in earlier partitions (one count a partition and
-    source). Only sizes and ids are sorted, never texts.
+    source). Without `keep` only sizes and ids are sorted, never texts.
     """
-    sized = written(docs.where("doc_id is not null").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    row = [F.struct(*keep).alias("row")] if keep else []
+    named = ["row"] if keep else []
+    sized = docs.where("doc_id is not null").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"), *row)
+    sized = written(sized.withColumn("tie", F.hash(F.monotonically_increasing_id())))
     goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    laid = written(sized.repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id").withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
+    order = [F.col("source").asc_nulls_last(), "size", "doc_id", "hash", "tie"]
+    laid = written(sized.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", "size", *named, F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part")))
+    release(sized)
     parts = laid.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = written(parts.select(F.col("source").alias("s"), F.col("part").alias("p"), "first", before.alias("before")))
     goal = goal.withColumnRenamed("source", "s")
-    ranked = laid.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", (F.col("before") + F.col("place") - F.col("first")).alias("rank"))
-    all_ = ranked.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, F.col("source").eqNullSafe(F.col("s")))
+    ranked = laid.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", *named, (F.col("before") + F.col("place") - F.col("first")).alias("rank"))
+    all_ = ranked.join(goal, F.col("source").eqNullSafe(F.col("s")))
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit("|" + seed))), 1, 4), 16, 10).cast("double") / 65536.0
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    return all_.withColumn("e", copies).withColumn("u", offset).select("doc_id", "size", "source", "source_size", "target", (F.floor(F.col("e") * (F.col("rank") + 1) + F.col("u")) - F.floor(F.col("e") * F.col("rank") + F.col("u"))).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return all_.withColumn("e", copies).withColumn("u", offset).select("doc_id", "size", "source", "source_size", "target", *named, (F.floor(F.col("e") * (F.col("rank") + 1) + F.col("u")) - F.floor(F.col("e") * F.col("rank") + F.col("u"))).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op8_mix_sources(spark, sf_dir) -> DataFrame:

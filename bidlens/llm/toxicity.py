@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, passes, words
 
@@ -85,9 +86,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.7, bits: int = BITS) -> DataFrame:
-    """All columns of docs with score (0 to 1) and predicted (1 if score >= threshold). Each distinct
-    feature of a text counts once. The weights, at most 2**bits, are broadcast. No shuffle."""
+    """All columns of docs with score (0 to 1) and predicted (1 if score >= threshold); columns of docs that
+    bear those two names give way to these. Each distinct feature of a text counts once; a text without
+    words, or null, has the bias's score. The weights, at most 2**bits, are broadcast. No shuffle."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score", "predicted")
     names = docs.columns
 
     def run(batches):
@@ -105,8 +108,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(out), -35, 35))) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
