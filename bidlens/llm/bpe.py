@@ -1,4 +1,5 @@
-"""Byte-pair ids of many texts at once: words are split and looked up with numpy, new ones encoded."""
+"""Byte-pair ids of many texts at once: words are split and looked up with numpy, new ones encoded. A hash finds a
+word; its bytes confirm it."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ import re
 
 import numpy as np
 
-from .common import PASS_BYTES, prefix, span_hash
+from .common import PASS_BYTES, differ, prefix, span_hash
 
 #: What tokenizer files of this kind split texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,8 +74,9 @@ class Encoder:
 
     def clear(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.at = self.count = np.zeros(0, np.int64)
+        self.at = self.count = self.text_at = self.text_size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.text = np.zeros(0, np.uint8)
 
     def learn(self, new: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Adds the words at start to end; new: their hashes, sorted."""
@@ -84,6 +86,9 @@ class Encoder:
         where = np.searchsorted(self.hash, new)
         self.at = np.insert(self.at, where, len(self.flat) + np.cumsum(count) - count)
         self.count = np.insert(self.count, where, count)
+        self.text_at = np.insert(self.text_at, where, len(self.text) + np.cumsum(end - start) - (end - start))
+        self.text_size = np.insert(self.text_size, where, end - start)
+        self.text = np.r_[self.text, np.concatenate([data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])]
         self.hash = np.insert(self.hash, where, new)
         self.flat = np.r_[self.flat, np.array([i for x in ids for i in x], np.uint32)]
 
@@ -132,6 +137,13 @@ class Encoder:
         if len(miss):
             self.learn(h[miss], data, start[first[miss]], end[first[miss]])
             k = np.searchsorted(self.hash, h)
+        # words whose hashes agree but not their bytes, with those before them in this pass or in the table
+        size = end - start
+        same = size == self.text_size[k][word]
+        same[same] = ~differ(data, start[same], self.text, self.text_at[k][word][same], size[same])
+        for i in np.unique(np.searchsorted(off, start[~same], "right") - 1):
+            bad[i] = True
+            out[i] = np.array(self.bpe.encode_ordinary(data[off[i] : off[i + 1]].tobytes().decode()), "<u4").tobytes()
         count, at = self.count[k][word], self.at[k][word]
         total = np.r_[0, np.cumsum(count)]
         flat = self.flat[np.arange(total[-1]) + np.repeat(at - total[:-1], count)]

@@ -21,7 +21,7 @@ U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer document is a pass of its own.
 PASS_BYTES = 1 << 19
 #: Key entries gathered before they are packed for the shuffle.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 # -- written tables ---------------------------------------------------------------------------
@@ -91,6 +91,16 @@ def settled(spark: SparkSession, build) -> DataFrame:
     return out
 
 
+#: Bytes of text whose keys one task of a search holds, about.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(texts: DataFrame) -> int:
+    """Twice the shuffle partitions, and more where that many would hold too much text each."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(2 * parallelism(texts.sparkSession), -(-total // BUCKET_BYTES))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -139,6 +149,22 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def differ(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the strings of x at a differ from those of y at b, byte by byte, about a million bytes at a time."""
+    end = np.cumsum(size.astype(np.int64))
+    out, i = np.zeros(len(size), bool), 0
+    while i < len(size):
+        from_ = end[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(end, from_ + (1 << 20), "right")))
+        lead = end[i:j] - size[i:j] - from_
+        inner = np.arange(end[j - 1] - from_)
+        unlike = x[np.repeat(a[i:j] - lead, size[i:j]) + inner] != y[np.repeat(b[i:j] - lead, size[i:j]) + inner]
+        at = np.flatnonzero(unlike)
+        out[i + np.searchsorted(lead + size[i:j], at, "right")] = True
+        i = j
+    return out
+
+
 def passes(col: pa.Array, most: int = PASS_BYTES):
     """(first row, offsets, bytes) of runs of texts, each about `most` bytes at the most."""
     if isinstance(col, pa.ChunkedArray):
@@ -239,7 +265,7 @@ def _pack(key: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int):
         yield _rows(rows[a : a + 256])
 
 
-def repeated_places(docs: DataFrame, keys_of, buckets: int | None = None) -> DataFrame:
+def repeated_places(docs: DataFrame, keys_of, buckets: int) -> DataFrame:
     """(doc_id, place) of every key that documents with different doc_id hold.
 
     keys_of(offsets, bytes) gives (key uint64, document index, place) arrays for a run of texts. The
@@ -247,8 +273,6 @@ def repeated_places(docs: DataFrame, keys_of, buckets: int | None = None) -> Dat
     keys can agree in their five bytes and bucket with odds of about a millionth, which only adds work
     for the exact step that follows. Work and memory of a task follow its share of the keys.
     """
-    buckets = buckets or 2 * parallelism(docs.sparkSession)
-
     def emit(batches):
         held, n = [], 0
         for batch in batches:
@@ -302,24 +326,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until only stars are left: O(log^2)
     rounds, each a minimum by key, which combines before the shuffle, and a join with those minima.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e, own = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(e, large)
-        e = now
+        e = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(large, *([own] if own else []))
+        own = e
         # stars: each node hangs on one other, and none hangs on a node that hangs itself
         many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         if many.unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")).isEmpty():
             break
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots))
-    release(e)
-    return out
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
 # -- links between the classes of a banded index ----------------------------------------------
@@ -361,16 +383,15 @@ def bands_for(threshold: float, recall: float, keys: int) -> tuple[int, int]:
     return found
 
 
-def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3) -> DataFrame:
+def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3, few: int = 64) -> DataFrame:
     """(node, label) of nodes (node long, n int, keys array<long>, bits array<long>) that verified links join.
 
     Star-shaped candidates bound the pairs: a bucket's members are held against one of them alone, the one
     that meets most others over all its buckets (in a family of near copies, the text they stem from).
-    Those links' components settle most buckets. In a bucket that still holds several, a new centre is taken from
-    outside the first one's component, again for a star, for up to `rounds` stars as long as they find links. Members
-    still outside the first centre's component are then held against all of the bucket's members in other
-    components, so no link between members
-    of a bucket is lost and no pair inside a component is made. That join compares the sets' bitmaps
+    Those links' components settle most buckets. A bucket may still hold several. While one has over `few` members outside
+    the first centre's component, a new centre is taken from those, again for a star, `rounds` stars in all at the most. Members
+    still outside are then held against all of the bucket's members in other components, so no link between members
+    of a bucket is lost and no pair inside a component is made. From the second star on, pairs must pass the sets' bitmaps
     (n members each, `longs` longs in bits), whose bound lets through every link and few others, so that
     families of texts that are alike but never enough make few pairs. verify(pairs) gets (a, b) and
     returns those that are links, of at least `percent`; sizes in a lower ratio can't be links.
@@ -381,45 +402,40 @@ def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3)
     rows = written(every.join(every.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"))
     scored = rows.join(rows.groupBy("node").agg(F.sum("many").alias("score")), "node").drop("many")
     best = F.max_by(F.struct("node", "n"), F.struct("score", -F.col("node")))
-    of = written(scored.join(scored.groupBy("key").agg(best.alias("hub")), "key").select("key", "node", "n", "score", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
+    live = written(scored.join(scored.groupBy("key").agg(best.alias("hub")), "key").select("key", "node", "n", "score", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
     release(rows)
-    tried = written(of.where("node <> hub").where(fits).withColumnRenamed("hub", "x").select(*pair).distinct())
+    tried = written(live.where("node <> hub").where(fits).withColumnRenamed("hub", "x").select(*pair).distinct())
     good = written(verify(tried))
     label = components(good)
-    live = of
-    for turn in range(rounds):
-        own = label.select("node", "label")
+    for turn in range(1, rounds + 1):
         main = label.select(F.col("node").alias("hub"), F.col("label").alias("main"))
-        now = live.drop("label", "main").join(own, "node", "left").join(main, "hub", "left")
+        now = live.drop("label", "main").join(label, "node", "left").join(main, "hub", "left")
         now = now.select("key", "node", "n", "score", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("main", "hub").alias("main"))
-        held = written(now)
-        mixed = held.where("label <> main").select("key").distinct()
+        now = written(now.join(now.where("label <> main").select("key").distinct(), "key", "left_semi"))
         release(live)
-        live = written(held.join(mixed, "key", "left_semi"))
-        release(held)
-        if live.isEmpty():
-            release(live, tried, good)
+        live, apart = now, now.where("label <> main")
+        most = apart.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if not most:
             return label
-        if turn == rounds - 1:
-            break
-        centre = live.where("label <> main").groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.struct("score", -F.col("node"))).alias("c"))
-        star = live.join(centre.select("key", F.col("c.node").alias("x"), F.col("c.n").alias("m"), F.col("c.label").alias("other")), "key").where("label <> other").where(fits)
-        star = written(star.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+        if turn == 1:
+            bits = written(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
+        if turn < rounds and most > few:
+            best = F.max_by(F.struct("node", "n", "label"), F.struct("score", -F.col("node")))
+            others = apart.groupBy("key").agg(best.alias("c")).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
+        else:
+            others = apart.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
+        inside = live.select("key", "node", "n", "label").join(bits.select("node", F.col("bits").alias("p"), F.col("room").alias("r")), "node")
+        others = others.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q"), F.col("room").alias("s")), "x")
+        pairs = inside.join(others, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(*pair).distinct()
+        star = written(pairs.join(tried, ["a", "b"], "left_anti"))
         more = written(verify(star))
+        tried = tried.unionByName(star)
+        last = turn == rounds or most <= few
         if more.isEmpty():
-            release(star, more)
-            break
-        tried, good = tried.unionByName(star), good.unionByName(more)
-        label = components(good)
-    bits = written(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
-    inside = live.select("key", "node", "n", "label").join(bits.select("node", F.col("bits").alias("p"), F.col("room").alias("r")), "node")
-    apart = live.where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
-    apart = apart.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("q"), F.col("room").alias("s")), "x")
-    pairs = inside.join(apart, "key").where("label <> other").where(fits).where(may_link(percent, longs)).select(*pair).distinct()
-    star = written(pairs.join(tried, ["a", "b"], "left_anti"))
-    release(live, bits)
-    more = written(verify(star))
-    release(star)
-    if more.isEmpty():
-        return label
-    return components(good.unionByName(more))
+            few = most  # further stars would find no more: all that is left is held against all
+        else:
+            good = good.unionByName(more)
+            label = components(good)
+        if last:
+            return label
+    return label

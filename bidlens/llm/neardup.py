@@ -111,8 +111,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-        two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
+        # few documents are in pairs: a written list of them, if small enough to broadcast, spares the others the shuffle
+        named = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        own = texts.join(named, "doc_id", "left_semi")
+        one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+        two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
         return two.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long").distinct()
 
     labels = linked(classes.select("node", F.col("n_shingles").cast("int").alias("n"), "keys", "bits"), verify, percent, LONGS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bands_for, linked, mix, passes, release, repeated_places, settled, shingles, words, written
+from .common import bands_for, buckets_for, linked, mix, passes, release, repeated_places, settled, shingles, words, written
 
 U64 = np.uint64
 REACH, SHINGLE = 5, 5
@@ -89,7 +89,7 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
         place = np.arange(len(own)) - np.searchsorted(own, own)
         return keys.ravel(), np.repeat(own, keys.shape[1]), np.repeat(place, keys.shape[1])
 
-    places = repeated_places(texts, keys_of).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = repeated_places(texts, keys_of, buckets_for(texts)).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
     def describe(batches):
         names = ["doc_id", "block", "tag", "n", "x", "y", "shingles", "keys"]
@@ -125,8 +125,10 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
     release(found)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(classes.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        two = one.join(classes.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        named = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        sets = classes.select("node", "shingles").join(named, "node", "left_semi")
+        one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         both = F.size(F.array_intersect("left", "right"))
         return two.where(both * 100 >= 80 * (F.size("left") + F.size("right") - both)).select("a", "b")
 

@@ -13,11 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parallelism, passes, powers, prefix, release, repeated_places, settled, span_hash, written
+from .common import BUCKET_BYTES, differ, mix, parallelism, passes, powers, prefix, release, repeated_places, settled, span_hash, written
 
 U64 = np.uint64
-#: Bytes of text whose keys or runs one task holds, about.
-BUCKET_BYTES = 64 << 20
 #: Documents that are sampled for keys with many contexts, at least, one in MOST at the least; contexts that make a key hot.
 SAMPLED, MOST, HOT = 16_384, 4096, 64
 
@@ -248,7 +246,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
         order = np.lexsort((doc, own, size, key))
         new = np.r_[True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1]) | (size[order][1:] != size[order][:-1])]
         like = np.flatnonzero(~new)
-        new[like[_differ(data, begin[order[like - 1]], begin[order[like]], size[order[like]])]] = True
+        new[like[differ(data, begin[order[like - 1]], data, begin[order[like]], size[order[like]])]] = True
         group = np.empty(len(key), np.int64)
         group[order] = np.cumsum(new) - 1
         one = order[new]
@@ -282,21 +280,6 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     return found.unionByName(copies.where(F.col("stop") >= length))
 
 
-def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of the strings at a differ from those at b, byte by byte, about a million bytes at a time."""
-    end = np.cumsum(size.astype(np.int64))
-    out, i = np.zeros(len(size), bool), 0
-    while i < len(size):
-        from_ = end[i] - size[i]
-        j = max(i + 1, int(np.searchsorted(end, from_ + (1 << 20), "right")))
-        lead = end[i:j] - size[i:j] - from_
-        inner = np.arange(end[j - 1] - from_) - np.repeat(lead, size[i:j])
-        unlike = data[np.repeat(a[i:j], size[i:j]) + inner] != data[np.repeat(b[i:j], size[i:j]) + inner]
-        out[i:j] = np.logical_or.reduceat(unlike, lead)
-        i = j
-    return out
-
-
 def _each_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each of the strings that lie end to end in data, about a million bytes at a time."""
     end = np.cumsum(size.astype(np.int64))
