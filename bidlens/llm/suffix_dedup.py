@@ -41,7 +41,7 @@ def runs(off: np.ndarray, data: np.ndarray, length: int, gram: int, hot: np.ndar
     sums = prefix(data)
     _, down = powers(len(sums))
     h = mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
-    least = _sliding(h, length - gram + 1, np.minimum)[:n]
+    least = mix(_sliding(h, length - gram + 1, np.minimum)[:n])  # least hashes crowd at 0; buckets take equal ranges
     inside = np.zeros(len(data) + 1, np.int32)
     short = np.diff(off) < length
     inside[off[:-1][~short]] += 1
