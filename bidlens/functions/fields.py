@@ -14,6 +14,17 @@ DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 #: Hours that listing times are behind the clock in use.
 OFFSET_HOURS = 7
 _CLOCK = r"([01]?\d|2[0-3]):([0-5]\d)"
+# The elements of a result card.
+LINK = r'(?s)<a href="([^"]*)"'
+TITLE = r'(?s)class="s-card__title">(.*?)</div>'
+PRICE = r'(?s)class="s-card__price">(.*?)</span>'
+SHIPPING = r'(?s)class="su-styled-text secondary large"><span[^>]*>(.*?)</span>'
+BIDS = r'(?s)class="su-styled-text secondary[^"]*">([^<]*bid[^<]*)</span>'
+REVIEWS = r'(?s)class="s-item__reviews-count"[^>]*>\s*<span[^>]*>([^<]*)</span>'
+TIME_LEFT = r'(?s)class="s-card__time-left">([^<]*)</span>'
+TIME_END = r'(?s)class="s-card__time-end">([^<]*)</span>'
+SOLD = r'(?s)class="su-styled-text positive default">([^<]*)</span>'
+ELEMENTS = {"link": LINK, "heading": TITLE, "cost": PRICE, "postage": SHIPPING, "bidding": BIDS, "reviews": REVIEWS, "left": TIME_LEFT, "end": TIME_END, "sale": SOLD}
 
 
 def _got(c: Column, pattern: str, group: int = 1) -> Column:
@@ -24,39 +35,44 @@ def parse_price(s: Column) -> Column:
     return _got(F.replace(s, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)").try_cast("double")
 
 
+def elements(card: Column) -> Column:
+    """A card's elements by name, as generator: what follows works on short strings, and no filter on them is
+    pushed below, where it would search the card again. An element fits its parser as the card does."""
+    return F.inline(F.array(F.struct(*[F.regexp_extract(card, p, 0).alias(n) for n, p in ELEMENTS.items()])))
+
+
 def parse_title(card: Column) -> Column:
-    spans = F.regexp_extract_all(F.regexp_extract(card, r'(?s)class="s-card__title">(.*?)</div>', 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), F.lit(1))
+    spans = F.regexp_extract_all(F.regexp_extract(card, TITLE, 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), F.lit(1))
     return F.when(F.get(spans, F.lit(0)) == "New listing", F.get(spans, F.lit(1))).otherwise(F.get(spans, F.lit(0)))
 
 
 def parse_card_price(card: Column) -> Column:
-    return parse_price(_got(card, r'(?s)class="s-card__price">(.*?)</span>'))
+    return parse_price(_got(card, PRICE))
 
 
 def parse_shipping(card: Column) -> Column:
     """No element: 0; an element without a price, as for free postage: null."""
-    there = r'(?s)class="su-styled-text secondary large"><span[^>]*>(.*?)</span>'
-    return F.when(card.rlike(there), parse_price(F.regexp_extract(card, there, 1))).otherwise(0.0)
+    return F.when(card.rlike(SHIPPING), parse_price(F.regexp_extract(card, SHIPPING, 1))).otherwise(0.0)
 
 
-def _digits(card: Column, word: str) -> Column:
-    return F.coalesce(F.regexp_replace(_got(card, rf'(?s)class="su-styled-text secondary[^"]*">([^<]*{word}[^<]*)</span>'), "[^0-9]", "").try_cast("int"), F.lit(0))
+def _digits(card: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_replace(_got(card, pattern), "[^0-9]", "").try_cast("int"), F.lit(0))
 
 
 def parse_bids(card: Column) -> Column:
-    return _digits(card, "bid")
+    return _digits(card, BIDS)
 
 
 def parse_reviews(card: Column) -> Column:
-    return F.coalesce(F.regexp_replace(_got(card, r'(?s)class="s-card__reviews-count">([^<]*)</span>'), "[^0-9]", "").try_cast("int"), F.lit(0))
+    return _digits(card, REVIEWS)
 
 
 def parse_item_id(card: Column) -> Column:
-    return _got(_got(card, r'(?s)<a href="([^"]*)"'), r"/itm/(\d+)").try_cast("bigint")
+    return _got(_got(card, LINK), r"/itm/(\d+)").try_cast("bigint")
 
 
 def parse_time_left(card: Column) -> Column:
-    return F.regexp_extract(card, r'(?s)class="s-card__time-left">([^<]*)</span>', 1)
+    return F.regexp_extract(card, TIME_LEFT, 1)
 
 
 def parse_sold_date(s: Column) -> Column:
@@ -90,12 +106,10 @@ def parse_end_time_weekday(s: Column, ref: Column, hours: float = OFFSET_HOURS)
 def parse_end_time_date(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Column:
     p = rf"^(\d\d?)/(\d\d?), {_CLOCK}"
     g = [F.regexp_extract(s, p, i).try_cast("int") for i in range(1, 5)]
-
-    def on(year: Column) -> Column:
-        return F.unix_seconds(F.try_make_timestamp(year, g[1], g[0], g[2], g[3], F.lit(0)))
-
-    at = on(F.year(ref))
-    at = F.when(at < F.unix_seconds(ref), on(F.year(ref) + 1)).otherwise(at)
+    day = F.try_make_timestamp(F.year(ref), g[1], g[0], g[2], g[3], F.lit(0))
+    # a day of this year that is past is next year's
+    passed = F.coalesce(day < ref, F.lit(False))
+    at = F.unix_seconds(F.when(passed, F.try_make_timestamp(F.year(ref) + 1, g[1], g[0], g[2], g[3], F.lit(0))).otherwise(day))
     return F.when(s.rlike(p), F.timestamp_seconds(at + F.lit(int(hours * 3600))))
 
 
@@ -106,11 +120,11 @@ def parse_end_time(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Colum
 
 
 def parse_card_end(card: Column) -> Column:
-    return F.regexp_extract(card, r'(?s)class="s-card__time-end">([^<]*)</span>', 1)
+    return F.regexp_extract(card, TIME_END, 1)
 
 
 def parse_card_sold(card: Column) -> Column:
-    return parse_sold_date(F.regexp_extract(card, r'(?s)class="su-styled-text positive default">([^<]*)</span>', 1))
+    return parse_sold_date(F.regexp_extract(card, SOLD, 1))
 
 
 def _choice(c: Column, table: dict[str, str], what: str) -> Column:

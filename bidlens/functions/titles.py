@@ -13,6 +13,7 @@ CORE_NAMES = (("dual", 2), ("triple", 3), ("quad", 4), ("hexa", 6), ("octa", 8),
 HDD_BRANDS = (("SEAGATE", "Seagate"), ("TOSHIBA", "Toshiba"), ("SAMSUNG", "Samsung"), ("HITACHI", "Hitachi"), ("HGST", "Hgst"), ("FUJITSU", "Fujitsu"), ("MAXTOR", "Maxtor"))
 RAM_BRANDS = (("CORSAIR", "Corsair"), ("G.SKILL", "G.Skill"), ("GSKILL", "G.Skill"), ("KINGSTON", "Kingston"), ("SAMSUNG", "Samsung"), ("CRUCIAL", "Crucial"), ("HYPERX", "HyperX"), ("PATRIOT", "Patriot"), ("TEAMGROUP", "TeamGroup"), ("TEAM GROUP", "TeamGroup"), ("ADATA", "ADATA"), ("PNY", "PNY"), ("SK HYNIX", "Hynix"), ("HYNIX", "Hynix"), ("MICRON", "Micron"), ("LEXAR", "Lexar"), ("BALLISTIX", "Ballistix"))
 GPU_MODEL = r"(RTX|GTX|TITAN|RX)\s*(\d{2,4})\s*(Ti|SUPER|Ti\s*SUPER|XT|XTX)?"
+GPU_MODEL_LONGEST = r"(RTX|GTX|TITAN|RX)\s*(\d{2,4})\s*(Ti\s*SUPER|SUPER|Ti|XTX|XT)?"
 VRAM = r"(\d{1,2})\s*GB"
 RAM_SIZE, DISK_SIZE = r"\d+\s*gb\s*(ddr\d?|ram)", r"\d+\s*(tb|gb)\s*(ssd|nvme|hdd|m\.2)"
 AMD_MODEL = r"Ryzen\s*(?:Threadripper\s*(?:PRO\s*)?)?R?(\d+)\s+(\d+[A-Z0-9]*)"
@@ -25,6 +26,11 @@ RPM, RPM_K = r"(\d{4,5})\s*rpm", r"(\d+(?:\.\d+)?)\s*K(?:\s*rpm|\b)"
 RAM_TYPE, RAM_KIT, RAM_GB, RAM_SPEED = r"\b(DDR[345])\b", r"(\d+)\s*[X×]\s*(\d+)\s*GB", r"(\d+)\s*GB", r"(\d{3,5})\s*[Mm][Hh][Zz]"
 
 
+def whole(c: Column) -> Column:
+    """The whole part of a number, null if an int can't hold it: titles state sizes of any length."""
+    return F.floor(c).try_cast("int")
+
+
 def found(c: Column, pattern: str, group: int = 1, any_case: bool = True) -> Column:
     return F.nullif(F.regexp_extract(c, f"(?i){pattern}" if any_case else pattern, group), F.lit(""))
 
@@ -45,10 +51,13 @@ def any_of(c: Column, words) -> Column:
     return out
 
 
-def gpu_model(t: Column) -> Column:
-    variant = F.upper(F.regexp_extract(t, f"(?i){GPU_MODEL}", 3))
-    head = F.concat_ws(" ", F.upper(F.regexp_extract(t, f"(?i){GPU_MODEL}", 1)), F.regexp_extract(t, f"(?i){GPU_MODEL}", 2))
-    return F.nullif(F.trim(F.concat_ws(" ", head, F.replace(variant, F.lit("  "), F.lit(" ")))), F.lit(""))
+def gpu_model(t: Column, fix_variants: bool = False) -> Column:
+    """Family, number, variant. The first fitting variant counts, so `Ti SUPER` gives TI and `XTX` gives XT, and
+    such cards share a product with the plain ones; fix_variants takes the longest one instead."""
+    pattern = f"(?i){GPU_MODEL_LONGEST if fix_variants else GPU_MODEL}"
+    variant = F.regexp_replace(F.upper(F.regexp_extract(t, pattern, 3)), r"\s+", " ")
+    head = F.concat_ws(" ", F.upper(F.regexp_extract(t, pattern, 1)), F.regexp_extract(t, pattern, 2))
+    return F.nullif(F.trim(F.concat_ws(" ", head, variant)), F.lit(""))
 
 
 def gpu_vram(t: Column) -> Column:
@@ -90,8 +99,8 @@ def hdd_brand(t: Column) -> Column:
 
 
 def hdd_capacity_gb(t: Column) -> Column:
-    value = found(t, CAPACITY, 1).cast("double")
-    return F.when(F.upper(found(t, CAPACITY, 2)) == "TB", value * 1000).otherwise(value).cast("int")
+    value = found(t, CAPACITY, 1).try_cast("double")
+    return whole(F.when(F.upper(found(t, CAPACITY, 2)) == "TB", value * 1000).otherwise(value))
 
 
 def hdd_interface(t: Column) -> Column:
@@ -103,7 +112,7 @@ def hdd_form_factor(t: Column) -> Column:
 
 
 def hdd_rpm(t: Column) -> Column:
-    return F.coalesce(found(t, RPM).cast("int"), (found(t, RPM_K).cast("double") * 1000).cast("int"))
+    return F.coalesce(found(t, RPM).cast("int"), whole(found(t, RPM_K).try_cast("double") * 1000))
 
 
 def is_full_system_ram(t: Column) -> Column:
@@ -116,10 +125,10 @@ def ram_type(t: Column) -> Column:
 
 def ram_capacity_gb(t: Column) -> Column:
     u = F.upper(t)
-    kit = found(u, RAM_KIT, 1, False).try_cast("int") * found(u, RAM_KIT, 2, False).try_cast("int")
-    most = F.array_max(F.transform(F.regexp_extract_all(u, F.lit(RAM_GB), F.lit(1)), lambda x: x.try_cast("int")))
+    kit = found(u, RAM_KIT, 1, False).try_cast("double") * found(u, RAM_KIT, 2, False).try_cast("double")
+    most = F.array_max(F.transform(F.regexp_extract_all(u, F.lit(RAM_GB), F.lit(1)), lambda x: x.try_cast("double")))
     size = F.coalesce(kit, most)
-    return F.when(size.between(2, 256), size)
+    return F.when(size.between(2, 256), size.cast("int"))
 
 
 def ram_speed(t: Column) -> Column:

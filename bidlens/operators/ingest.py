@@ -16,8 +16,18 @@ def landed_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("query", "mode").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("html", "fetched_at").alias("html"))
 
 
-def land_pages(pages: DataFrame, path: str) -> None:
-    pages.write.mode("append").partitionBy("mode").parquet(path)
+def land_pages(pages: DataFrame, path: str, landed: DataFrame | None = None) -> None:
+    """Appends the pages (query, mode, fetched_at, html) that `landed`, the folder's own rows, lacks; one
+    folder for each mode. A run that is repeated appends nothing."""
+    key = ["query", "mode", "fetched_at"]
+    new = pages.dropDuplicates(key)
+    new = new.join(landed.select(*key), key, "left_anti") if landed is not None else new
+    new.select("query", "fetched_at", "html", "mode").write.mode("append").partitionBy("mode").parquet(path)
+
+
+def to_fetch(requests: DataFrame, landed: DataFrame) -> DataFrame:
+    """The (query, mode) requests that no landed page answers; the others reuse theirs."""
+    return requests.join(landed.select("query", "mode").distinct(), ["query", "mode"], "left_anti")
 
 
 def quality_gate(pages: DataFrame, min_chars: int = 50_000) -> DataFrame:
@@ -31,24 +41,37 @@ def split_cards(pages: DataFrame, skip_first: int = 1) -> DataFrame:
     return pages.select("query", "mode", parts.alias("n", "card")).where(F.col("n") > skip_first).select("query", "mode", (F.col("n") - skip_first - 1).alias("position"), "card")
 
 
-def normalise(cards: DataFrame, ref, hours: float = fields.OFFSET_HOURS) -> DataFrame:
-    """Typed rows; cards without an id or a title are left out."""
-    c = F.col("card")
-    out = cards.select(
-        "query",
-        "mode",
-        *[x for x in ("position", "category") if x in cards.columns],
-        fields.parse_item_id(c).alias("id"),
-        fields.parse_title(c).alias("title"),
-        fields.parse_card_price(c).alias("price"),
-        fields.parse_shipping(c).alias("shipping"),
-        fields.parse_time_left(c).alias("time_left"),
-        fields.parse_end_time(fields.parse_card_end(c), ref, hours).alias("time_end"),
-        fields.parse_card_sold(c).alias("sold_date"),
-        fields.parse_bids(c).alias("bid_count"),
-        fields.parse_reviews(c).alias("reviews_count"),
+def _typed(cards: DataFrame, ref, hours: float) -> DataFrame:
+    rest = [c for c in ("query", "mode", "position", "category") if c in cards.columns]
+    c = {n: F.col(n) for n in fields.ELEMENTS}
+    return cards.select(*rest, fields.elements(F.col("card"))).select(
+        *rest,
+        fields.parse_item_id(c["link"]).alias("id"),
+        fields.parse_title(c["heading"]).alias("title"),
+        fields.parse_card_price(c["cost"]).alias("price"),
+        fields.parse_shipping(c["postage"]).alias("shipping"),
+        fields.parse_time_left(c["left"]).alias("time_left"),
+        fields.parse_end_time(fields.parse_card_end(c["end"]), ref, hours).alias("time_end"),
+        fields.parse_card_sold(c["sale"]).alias("sold_date"),
+        fields.parse_bids(c["bidding"]).alias("bid_count"),
+        fields.parse_reviews(c["reviews"]).alias("reviews_count"),
+        (fields.parse_card_end(c["end"]) != "").alias("has_end"),
     )
-    return out.where("id is not null and title is not null")
+
+
+def normalise(cards: DataFrame, ref, hours: float = fields.OFFSET_HOURS) -> DataFrame:
+    """Typed rows; cards without an id, a title or a readable price are left out (see `quarantine`)."""
+    return _typed(cards, ref, hours).where("id is not null and title is not null and price is not null").drop("has_end")
+
+
+def quarantine(cards: DataFrame, ref, by: list[str], hours: float = fields.OFFSET_HOURS) -> DataFrame:
+    """How many cards there are, are left out and why (the first lack in the order title, price, id
+    counts), and how many of those kept have an end time that can't be read, which is null then."""
+    t = _typed(cards, ref, hours)
+    lack = F.when(F.col("title").isNull(), "title").when(F.col("price").isNull(), "price").when(F.col("id").isNull(), "id")
+    t = t.withColumn("lack", lack)
+    reasons = [F.count_if(F.col("lack") == r).alias(f"no_{r}") for r in ("title", "price", "id")]
+    return t.groupBy(*by).agg(F.count("*").alias("cards"), *reasons, F.count_if(F.col("lack").isNull() & F.col("has_end") & F.col("time_end").isNull()).alias("bad_end"))
 
 
 def enrich(listings: DataFrame) -> DataFrame:
@@ -66,7 +89,8 @@ def trim_one_sigma(rows: DataFrame, page: list[str], price: str = "price_pence")
 
 
 def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
-    """Last write of each key. An aggregate: repeats collapse before the shuffle, nothing is sorted."""
+    """Last write of each key. An aggregate: repeats collapse before the shuffle. All columns of rows travel: select
+    those needed before."""
     rest = [c for c in rows.columns if c not in (key, order)]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
@@ -128,9 +152,18 @@ def sample_stdev_or_zero(rows: DataFrame, by: list[str], column: str) -> DataFra
 
 
 def page_price_summary(rows: DataFrame, page: list[str]) -> DataFrame:
-    """Counts and sums of the trimmed prices and postages of each page; unparsed postage is 0."""
-    t = trim_one_sigma(rows.withColumn("ship_pence", F.coalesce("ship_pence", F.lit(0))), page)
-    return t.groupBy(*page).agg(F.count("*").alias("n"), F.sum("price_pence").alias("price_sum"), F.min("price_pence").alias("price_min"), F.max("price_pence").alias("price_max"), F.sum("ship_pence").alias("ship_sum"))
+    """price_list and shipping_list of each page, sorted: its prices, and its postages (unread ones are 0), each
+    without those over a sample deviation from their own mean. One shuffle; a page is some thousand cards at most."""
+    r = rows.withColumn("ship_pence", F.coalesce("ship_pence", F.lit(0).cast("long")))
+
+    def stats(c: str):
+        return [F.collect_list(c).alias(c), F.avg(c).alias(f"{c}_m"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_s"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
+
+    def trimmed(c: str):
+        m, s = F.col(f"{c}_m"), F.col(f"{c}_s")
+        return F.array_sort(F.filter(c, lambda x: (F.col(f"{c}_lo") == F.col(f"{c}_hi")) | x.between(m - s, m + s)))
+
+    return r.groupBy(*page).agg(*stats("price_pence"), *stats("ship_pence")).select(*page, trimmed("price_pence").alias("price_list"), trimmed("ship_pence").alias("shipping_list"))
 
 
 def match_by_id(requests: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, titles
 from ..operators import ingest, market, outcomes, repair
 from ..sources import adapters
-from ..streaming import lifecycle, upserts
-from .sql import EXPR, NOW, build, day, lit, ts
+from ..streaming import lifecycle, refresh, upserts
+from .sql import EXPR, NOW, build, day, ts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,11 +78,15 @@ def scan_listings(s, d):
     return enriched(s, d).select("id", "category", "brand", "model", "title", "price_pence", stamp("end_time"))
 
 
-@query("raw_page_landing", f"SELECT DISTINCT query, mode, '{adapters.AS_OF}' AS fetched_at, CAST(2 * (length(query) % 2 = 0)::INT + (length(query) % 2 = 1)::INT AS BIGINT) AS versions FROM snap", "snap")
+@query("raw_page_landing", f"SELECT DISTINCT query, mode, '{adapters.AS_OF}' AS fetched_at, CAST(1 + (length(query) % 2 = 0)::INT AS BIGINT) AS versions FROM snap", "snap")
 def raw_page_landing(s, d):
-    p = adapters.raw_pages(s, d)
-    n = p.groupBy("query", "mode").agg(F.count("*").alias("versions"))
-    return ingest.landed_pages(p).join(n, ["query", "mode"]).select("query", "mode", stamp("fetched_at"), "versions")
+    """Pages land in a folder, the older versions first; what a second run brings again is not landed again."""
+    p, path = adapters.raw_pages(s, d), f"{upserts.shared_dir(s)}/pages-{uuid.uuid4().hex}"
+    ingest.land_pages(p.where(F.col("fetched_at") < adapters.as_of()), path)
+    ingest.land_pages(p, path, s.read.schema("query string, fetched_at timestamp, html string, mode string").parquet(path))
+    landed = s.read.schema("query string, fetched_at timestamp, html string, mode string").parquet(path)
+    n = landed.groupBy("query", "mode").agg(F.count("*").alias("versions"))
+    return ingest.landed_pages(landed).join(n, ["query", "mode"]).select("query", "mode", stamp("fetched_at"), "versions")
 
 
 @query("page_quality_gate", "SELECT page_id, length(html) AS chars, coalesce(length(html) >= 5000, false) AS accepted FROM pages")
@@ -88,10 +94,23 @@ def page_quality_gate(s, d):
     return ingest.quality_gate(s.read.parquet(f"{d}/pages.parquet"), 5000).select("page_id", F.col("chars").cast("long"), "accepted")
 
 
-@query("split_cards", "SELECT query, mode, count(*) AS cards, CAST(max(CASE WHEN true THEN 1 END) * (count(*) - 1) AS BIGINT) AS last_position FROM snap GROUP BY ALL", "snap")
+_CLOCK = "lpad(CAST(id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id % 60 AS VARCHAR), 2, '0')"
+_CARD = f"""('<a href="' || CASE WHEN id % 97 = 0 THEN 'https://www.example.com/shop' ELSE url END || '"></a><div class="s-card__title">'
+  || CASE WHEN id % 3 = 0 THEN '<span>New listing</span>' ELSE '' END || '<span>' || title || '</span></div><span class="s-card__price">£'
+  || coalesce(CAST(price_pence // 100 AS VARCHAR) || '.' || lpad(CAST(price_pence % 100 AS VARCHAR), 2, '0'), '') || '</span>'
+  || CASE id % 4 WHEN 0 THEN '<span class="su-styled-text secondary large"><span>Free postage</span></span>' WHEN 1 THEN '<span class="su-styled-text secondary large"><span>+£' || CAST(id % 9 AS VARCHAR) || '.50 postage</span></span>' ELSE '' END
+  || '<span class="su-styled-text secondary large">1,' || lpad(CAST(bids AS VARCHAR), 3, '0') || ' bids</span>'
+  || CASE WHEN id % 6 = 0 THEN '<span class="s-item__reviews-count"><span>' || CAST(id % 1000 AS VARCHAR) || ' reviews</span></span>' ELSE '' END
+  || '<span class="s-card__time-left">' || CASE WHEN id % 2 = 0 THEN CAST(id % 24 AS VARCHAR) || 'h left' ELSE '' END || '</span><span class="s-card__time-end">'
+  || CASE id % 5 WHEN 0 THEN 'Today ' || {_CLOCK} WHEN 1 THEN ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][1 + CAST(id % 7 AS INT)] || ', ' || {_CLOCK}
+    WHEN 2 THEN '(' || lpad(CAST(id % 31 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') || ', ' || {_CLOCK} || ')' WHEN 3 THEN 'soon' ELSE '' END || '</span>'
+  || CASE WHEN sold_date IS NOT NULL THEN '<span class="su-styled-text positive default">Sold ' || strftime(sold_date, '%-d %b %Y') || '</span>' ELSE '' END || '</div>')"""
+
+
+@query("split_cards", f"""SELECT query, mode, CAST(n - 1 AS INT) AS position, md5(card || CASE WHEN n = count(*) OVER (PARTITION BY query, mode) THEN '</body></html>' ELSE '' END) AS card_md5
+  FROM (SELECT query, mode, card, row_number() OVER (PARTITION BY query, mode ORDER BY card) AS n FROM (SELECT query, mode, {_CARD} AS card FROM snap))""", "snap")
 def split_cards(s, d):
-    c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d)))
-    return c.groupBy("query", "mode").agg(F.count("*").alias("cards"), F.max("position").cast("long").alias("last_position"))
+    return ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d))).select("query", "mode", "position", F.md5("card").alias("card_md5"))
 
 
 LISTING = f"id, title, price_pence, bids, {ts('end_time')} AS end_time, {day('sold_date')} AS sold_date, url"
@@ -110,13 +129,16 @@ def upsert_listings(s, d):
 
 
 def _attrs(category: str, columns: tuple[str, ...]):
+    """The old table holds even ids with a brand since corrected; the batch writes every third id twice."""
     name = f"upsert_attrs_{category.lower()}"
+    first, rest = columns[0], ", ".join(columns[1:])
 
-    @query(name, f"SELECT id, {', '.join(columns)} FROM enriched WHERE category = '{category}'", "enriched")
+    @query(name, f"SELECT id, CASE WHEN id % 3 = 0 THEN {first} ELSE 'stale' END AS {first}, {rest} FROM enriched WHERE category = '{category}' AND (id % 2 = 0 OR id % 3 = 0)", "enriched")
     def attrs(s, d):
         e = enriched(s, d).where(F.col("category") == category).select("id", *columns)
-        new = e.withColumn("seq", F.lit(1))
-        return ingest.upsert(e.where("id % 2 = 0").limit(0), new)
+        batch = e.where("id % 3 = 0").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+        batch = batch.withColumn(first, F.when(F.col("seq") == 2, F.col(first)).otherwise("first write"))
+        return ingest.upsert(e.where("id % 2 = 0").withColumn(first, F.lit("stale")), batch)
 
     return attrs
 
@@ -164,7 +186,12 @@ def run_marker(s, d):
     return ingest.run_marker(run_log(s, d)).select("id", stamp("last_scrape_at"))
 
 
-@query("json_export")
+@query(
+    "json_export",
+    """SELECT id, CAST(to_json(struct_pack(id := id, title := title, price_pence := price_pence, bids := bids, end_time := strftime(end_time, '%Y-%m-%dT%H:%M:%S'),
+      sold_date := sold_date, label := label, discount_pct := discount_pct)) AS VARCHAR) AS json FROM deal""",
+    "deal",
+)
 def json_export(s, d):
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     cols = all_deals(s, d).select("id", "title", "price_pence", "bids", F.date_format("end_time", iso).alias("end_time"), "sold_date", "label", "discount_pct")
@@ -221,7 +248,6 @@ SQL["semi_join_keyset"] = with_suspects("SELECT id, price_pence FROM listing WHE
 
 # -- fields of a card ------------------------------------------------------------------------
 
-_CLOCK = "lpad(CAST(id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id % 60 AS VARCHAR), 2, '0')"
 _MIDNIGHT = f"date_trunc('day', {NOW})"
 _HM = "to_hours(id % 24) + to_minutes(id % 60)"
 _TODAY = f"CASE WHEN id % 5 = 0 THEN {_MIDNIGHT} + {_HM} + INTERVAL 7 HOUR END"
@@ -263,7 +289,7 @@ def search_url(s, d):
 
 
 _NORMAL = f"""SELECT query, mode, id, title, price_pence / 100.0::DOUBLE AS price, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id % 9 + 0.5::DOUBLE ELSE 0.0::DOUBLE END AS shipping,
-  CAST(1000 + bids AS INT) AS bid_count, {ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")} AS time_end, {day('sold_date')} AS sold_date FROM snap WHERE id % 97 <> 0"""
+  CAST(1000 + bids AS INT) AS bid_count, {ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")} AS time_end, {day('sold_date')} AS sold_date FROM snap WHERE id % 97 <> 0 AND price_pence IS NOT NULL"""
 
 
 @query("normalise_listing", _NORMAL, "snap")
@@ -273,6 +299,18 @@ def normalise_listing(s, d):
     return ingest.normalise(c, adapters.as_of()).select("query", "mode", "id", "title", "price", "shipping", "bid_count", stamp("time_end"), date("sold_date"))
 
 
+@query(
+    "card_quarantine",
+    f"""SELECT category, count(*) AS cards, CAST(0 AS BIGINT) AS no_title, count(*) FILTER (WHERE price_pence IS NULL) AS no_price, count(*) FILTER (WHERE price_pence IS NOT NULL AND id % 97 = 0) AS no_id,
+      count(*) FILTER (WHERE price_pence IS NOT NULL AND id % 97 <> 0 AND id % 5 < 4 AND coalesce({_TODAY}, {_WEEK}, {_DATE}) IS NULL) AS bad_end FROM snap GROUP BY 1""",
+    "snap",
+)
+def card_quarantine(s, d):
+    """What `normalise_listing` leaves out, and end times that it can't read, by category."""
+    c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d))).withColumn("category", F.substring("query", 1, 3))
+    return ingest.quarantine(c, adapters.as_of(), ["category"])
+
+
 # -- title attributes ------------------------------------------------------------------------
 
 
@@ -485,15 +523,25 @@ def sample_stdev_or_zero(s, d):
     return ingest.sample_stdev_or_zero(adapters.snapshots(s, d), ["query", "mode"], "price_pence").select("query", "mode", F.round("stdev", 3).alias("stdev"))
 
 
-_TRIM = "(SELECT * FROM snap WHERE price_pence IS NOT NULL QUALIFY min(price_pence) OVER w = max(price_pence) OVER w OR price_pence BETWEEN avg(price_pence) OVER w - coalesce(stddev_samp(price_pence) OVER w, 0) AND avg(price_pence) OVER w + coalesce(stddev_samp(price_pence) OVER w, 0) WINDOW w AS (PARTITION BY query, mode))"
 _TRIM = "(SELECT s.* FROM snap s JOIN (SELECT query, mode, avg(price_pence) AS m, coalesce(stddev_samp(price_pence), 0) AS sd, min(price_pence) AS lo, max(price_pence) AS hi FROM snap GROUP BY ALL) t USING (query, mode) WHERE s.price_pence IS NOT NULL AND (lo = hi OR s.price_pence BETWEEN m - sd AND m + sd))"
 
 
-@query("page_price_summary", f"SELECT query, mode, count(*) AS n, CAST(sum(price_pence) AS BIGINT) AS price_sum, min(price_pence) AS price_min, max(price_pence) AS price_max, CAST(sum(CASE id % 4 WHEN 1 THEN 100 * (id % 9) + 50 ELSE 0 END) AS BIGINT) AS ship_sum FROM {_TRIM} GROUP BY ALL", "snap")
+def _list(value: str) -> str:
+    """Each page's sorted values within a sample deviation of their mean, as text."""
+    return f"""(SELECT query, mode, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS l FROM (SELECT query, mode, {value} AS v FROM snap) s JOIN
+      (SELECT query, mode, avg({value}) AS m, coalesce(stddev_samp({value}), 0) AS sd, min({value}) AS lo, max({value}) AS hi FROM snap GROUP BY ALL) t USING (query, mode) WHERE v IS NOT NULL AND (lo = hi OR v BETWEEN m - sd AND m + sd) GROUP BY ALL)"""
+
+
+_SHIP = "CAST(CASE id % 4 WHEN 1 THEN 100 * (id % 9) + 50 ELSE 0 END AS BIGINT)"
+
+
+@query("page_price_summary", f"SELECT query, mode, coalesce(p.l, '') AS price_list, coalesce(q.l, '') AS shipping_list FROM (SELECT DISTINCT query, mode FROM snap) LEFT JOIN {_list('price_pence')} p USING (query, mode) LEFT JOIN {_list(_SHIP)} q USING (query, mode)", "snap")
 def page_price_summary(s, d):
+    """The trimmed lists as text, which compares alike everywhere."""
     c = adapters.cards(s, d)
     rows = c.select("query", "mode", F.round(fields.parse_card_price(F.col("card")) * 100).cast("long").alias("price_pence"), F.round(fields.parse_shipping(F.col("card")) * 100).cast("long").alias("ship_pence"))
-    return ingest.page_price_summary(rows, ["query", "mode"])
+    text = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("price_list", "shipping_list")]
+    return ingest.page_price_summary(rows, ["query", "mode"]).select("query", "mode", *text)
 
 
 @query("trim_one_sigma", f"SELECT id, query, mode, price_pence FROM {_TRIM}", "snap")
@@ -654,6 +702,19 @@ def stream_upsert(s, d):
     return upserts.run(s, d).select("id", F.round("price", 6).alias("price"), "mode", "seq")
 
 
+@query(
+    "stream_refresh_due",
+    """WITH RECURSIVE t AS (SELECT user_id AS id, event_id AS seq, epoch_us(ts) // 1000 AS ms, (epoch_us(ts) // 1000 // 3600000 + 1) * 3600000 - epoch_us(ts) // 1000 AS left_ms,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  i AS (SELECT *, CASE WHEN left_ms <= 300000 THEN 1 WHEN left_ms <= 900000 THEN 5 ELSE 15 END AS minutes FROM t),
+  r AS (SELECT id, seq, n, minutes, true AS due, ms AS last_ms FROM i WHERE n = 1
+    UNION ALL SELECT i.id, i.seq, i.n, i.minutes, i.ms - r.last_ms >= i.minutes * 60000, CASE WHEN i.ms - r.last_ms >= i.minutes * 60000 THEN i.ms ELSE r.last_ms END FROM r JOIN i ON i.id = r.id AND i.n = r.n + 1)
+  SELECT id, seq, minutes FROM r WHERE due""",
+)
+def stream_refresh_due(s, d):
+    return refresh.run(s, d)
+
+
 @query("stream_deal_lifecycle", "SELECT user_id AS id, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'SOLD' ELSE 'PENDING' END AS status, min(event_id) FILTER (WHERE event_type = 'purchase') AS sale FROM events WHERE event_type <> 'error' GROUP BY 1")
 def stream_deal_lifecycle(s, d):
     return lifecycle.run(s, d)
@@ -669,17 +730,37 @@ def stream_deal_outcomes(s, d):
     return lifecycle.outcomes(s, d)
 
 
+_RUN = f"""WITH seen AS (SELECT s.id, s.category, s.title, s.price_pence, s.sold_date, s.mode, s.query, k.n FROM snap s JOIN
+  (SELECT id, query, mode, seq, row_number() OVER (PARTITION BY query, mode ORDER BY {_CARD}) AS n FROM snap) k USING (id, query, mode, seq) WHERE id % 97 <> 0 AND price_pence IS NOT NULL),
+kept AS (SELECT s.* FROM seen s JOIN (SELECT query, mode, avg(price_pence) AS m, coalesce(stddev_samp(price_pence), 0) AS sd, min(price_pence) AS lo, max(price_pence) AS hi FROM seen GROUP BY ALL) t USING (query, mode) WHERE lo = hi OR price_pence BETWEEN m - sd AND m + sd),
+last_ AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY mode = 'active' DESC, query DESC, n DESC) = 1)
+"""
+
+
 @query("full_run")
 def full_run(s, d):
-    """Pages to market in one job for all categories; rows that can't be read are counted, not fatal."""
+    """Pages to market in one job for all categories; rows that can't be read don't stop it (`card_quarantine`
+    counts them)."""
     c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d)))
-    rows = ingest.normalise(c, adapters.as_of()).withColumn("category", F.substring("query", 1, 3)).withColumn("price_pence", F.round(F.col("price") * 100).cast("long"))
+    rows = ingest.normalise(c, adapters.as_of()).select("query", "mode", "position", "id", "title", "sold_date", F.substring("query", 1, 3).alias("category"), F.round(F.col("price") * 100).cast("long").alias("price_pence"))
     kept = ingest.trim_one_sigma(rows, ["query", "mode"])
-    both = ingest.sold_plus_active(kept.where("mode = 'sold'"), kept.where("mode = 'active'")).withColumn("seq", F.struct("mode_seq", "query", "position"))
+    both = ingest.sold_plus_active(kept.where("mode = 'sold'"), kept.where("mode = 'active'")).select("id", "category", "title", "price_pence", "sold_date", F.struct("mode_seq", "query", "position").alias("seq"))
     m = market.market_listing(ingest.enrich(ingest.latest(both)))
     return m.groupBy("category", "k1", "k2").agg(F.count("*").alias("listings"), F.count_if(F.col("sold_date").isNotNull()).alias("sold"), F.sum("price_pence").alias("total_pence"))
 
 
+def _full_run_sql() -> str:
+    """The shared statements, on this run's listings in place of the latest snapshots."""
+    ctes = build("", "market").rstrip()
+    old = "listing AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
+    assert old in ctes
+    run = _RUN.strip().removeprefix("WITH ") + ",\nlisting AS (SELECT * FROM last_)"
+    return ctes.replace(old, run) + "\nSELECT category, k1, k2, count(*) AS listings, count(*) FILTER (WHERE sold_date IS NOT NULL) AS sold, CAST(sum(price_pence) AS BIGINT) AS total_pence FROM market GROUP BY ALL"
+
+
+SQL["full_run"] = _full_run_sql()
+
+
 # -- presentation -----------------------------------------------------------------------------
 
 
@@ -737,5 +818,3 @@ def guide_search(s, d):
 def outcome_verdict(s, d):
     return outcomes.resolved(ledger(s, d), listings(s, d)).select("id", F.when(F.col("paid_pence") < F.col("avg_market_pence"), "DEAL").otherwise("MISS").alias("verdict"))
 
-
-assert lit

@@ -1,10 +1,10 @@
-"""DuckDB SQL for the named queries, built on shared CTEs. Independent of the Spark expressions but for
-the fixed word lists."""
+"""DuckDB SQL for the named queries, built on shared CTEs. Independent of the Spark expressions, patterns
+included, but for the fixed word lists."""
 
 from __future__ import annotations
 
 from ..functions import titles as T
-from ..sources.adapters import AS_OF, CATEGORIES, TITLES
+from ..sources.adapters import AS_OF, CATEGORIES, HUGE, TITLES
 
 
 def lit(s: str) -> str:
@@ -26,27 +26,43 @@ def ex(pattern: str, group: int = 1, flags: str = "i", x: str = "title") -> str:
 NOW = f"TIMESTAMP '{AS_OF}'"
 _LISTS = "[" + ", ".join("[" + ", ".join(lit(t) for t in TITLES[c]) + "]" for c in CATEGORIES) + "]"
 
+# written from the rules, not from the Spark side's patterns
+CARD = r"(rtx|gtx|titan|rx)[ \t]*([0-9]{2,4})[ \t]*(ti|super|xt)?"
+RYZEN = r"ryzen[ \t]*(?:threadripper[ \t]*(?:pro[ \t]*)?)?r?([0-9]+)[ \t]+([0-9]+[a-z0-9]*)"
+CORE_I = r"i([3579])[ \t-](?:cpu[ \t]+)?([0-9]{3,5}[a-z0-9]*)"
+SIZE = r"([0-9]+(?:\.[0-9]+)?)[ \t]*(tb|gb)"
+KIT = r"([0-9]+)[ \t]*(?:X|×)[ \t]*([0-9]+)[ \t]*GB"
+
+
+def number(pattern: str, group: int = 1, flags: str = "i", x: str = "title") -> str:
+    return f"CAST({ex(pattern, group, flags, x)} AS DOUBLE)"
+
+
+def whole(x: str) -> str:
+    return f"TRY_CAST(trunc({x}) AS INT)"
+
+
 EXPR = {
-    "gpu_model": f"nullif(trim(upper(coalesce({ex(T.GPU_MODEL, 1)}, '')) || ' ' || coalesce({ex(T.GPU_MODEL, 2)}, '') || ' ' || upper(coalesce({ex(T.GPU_MODEL, 3)}, ''))), '')",
-    "gpu_vram": f"CAST({ex(T.VRAM)} AS INT)",
+    "gpu_model": f"nullif(trim(upper(coalesce({ex(CARD, 1)}, '')) || ' ' || coalesce({ex(CARD, 2)}, '') || ' ' || upper(coalesce({ex(CARD, 3)}, ''))), '')",
+    "gpu_vram": f"CAST({ex('([0-9]{1,2})[ ]*gb')} AS INT)",
     "gpu_brand": case("upper(title)", T.GPU_BRANDS, f"CASE WHEN {any_of('upper(title)', T.AMD_MARKS)} THEN 'AMD' ELSE 'NVIDIA' END"),
-    "is_full_system_cpu": f"({any_of('lower(title)', T.SYSTEM_WORDS)} OR (regexp_matches(lower(title), {lit(T.RAM_SIZE)}) AND regexp_matches(lower(title), {lit(T.DISK_SIZE)})))",
+    "is_full_system_cpu": f"({any_of('lower(title)', T.SYSTEM_WORDS)} OR (regexp_matches(lower(title), '[0-9]+ *gb *(ddr[0-9]?|ram)') AND regexp_matches(lower(title), '[0-9]+ *[tg]b *(ssd|nvme|hdd|m[.]2)')))",
     "cpu_brand": case("upper(title)", (("AMD", "AMD"), ("INTEL", "Intel")), "''"),
-    "cpu_model": f"coalesce('Ryzen ' || {ex(T.AMD_MODEL, 1)} || ' ' || upper({ex(T.AMD_MODEL, 2)}), 'i' || {ex(T.INTEL_MODEL, 1)} || '-' || upper({ex(T.INTEL_MODEL, 2)}))",
-    "cpu_socket": rf"upper(regexp_replace({ex(T.SOCKET)}, '\s+', '', 'g'))",
-    "cpu_cores": f"coalesce(CAST({ex(T.CORES, 1, 'c')} AS INT), {case('lower(title)', T.CORE_NAMES)})",
+    "cpu_model": f"coalesce('Ryzen ' || {ex(RYZEN, 1)} || ' ' || upper({ex(RYZEN, 2)}), 'i' || {ex(CORE_I, 1)} || '-' || upper({ex(CORE_I, 2)}))",
+    "cpu_socket": f"upper(replace({ex('(lga *[0-9]{3,4}|am *[2-5]|fm[12]|trx?[0-9]+)')}, ' ', ''))",
+    "cpu_cores": f"coalesce(TRY_CAST({ex('([0-9]+) *[Cc]ore', 1, 'c')} AS INT), {case('lower(title)', T.CORE_NAMES)})",
     "hdd_brand": f"CASE WHEN contains(upper(title), 'WESTERN DIGITAL') OR starts_with(upper(title), 'WD ') OR contains(upper(title), ' WD ') THEN 'Western Digital' ELSE {case('upper(title)', T.HDD_BRANDS, chr(39) * 2)} END",
-    "hdd_capacity_gb": f"CAST(trunc(CAST({ex(T.CAPACITY, 1)} AS DOUBLE) * CASE WHEN upper({ex(T.CAPACITY, 2)}) = 'TB' THEN 1000 ELSE 1 END) AS INT)",
+    "hdd_capacity_gb": whole(f"{number(SIZE)} * CASE WHEN upper({ex(SIZE, 2)}) = 'TB' THEN 1000 ELSE 1 END"),
     "hdd_interface": "CASE WHEN contains(upper(title), 'SAS') THEN 'SAS' ELSE 'SATA' END",
-    "hdd_form_factor": f"coalesce({ex(T.FORM_FACTOR)}, '3.5') || '\"'",
-    "hdd_rpm": f"coalesce(CAST({ex(T.RPM)} AS INT), CAST(trunc(CAST({ex(T.RPM_K)} AS DOUBLE) * 1000) AS INT))",
+    "hdd_form_factor": f"coalesce({ex('([23][.]5)')}, '3.5') || '\"'",
+    "hdd_rpm": f"coalesce(CAST({ex('([0-9]{4,5}) *rpm')} AS INT), {whole(number('([0-9]+(?:[.][0-9]+)?) *k(?: *rpm|' + chr(92) + 'b)') + ' * 1000')})",
     "is_full_system_ram": any_of("lower(title)", T.SYSTEM_WORDS),
-    "ram_type": f"upper({ex(T.RAM_TYPE)})",
-    "ram_capacity_any": f"coalesce(CAST({ex(T.RAM_KIT, 1, 'c', 'upper(title)')} AS INT) * CAST({ex(T.RAM_KIT, 2, 'c', 'upper(title)')} AS INT), list_max(list_transform(regexp_extract_all(upper(title), {lit(T.RAM_GB)}, 1), lambda x: CAST(x AS INT))))",
-    "ram_speed": f"CAST({ex(T.RAM_SPEED, 1, 'c')} AS INT)",
+    "ram_type": rf"upper({ex(r'\b(ddr[3-5])\b')})",
+    "ram_capacity_any": f"coalesce({number(KIT, 1, 'c', 'upper(title)')} * {number(KIT, 2, 'c', 'upper(title)')}, list_max(list_transform(regexp_extract_all(upper(title), '([0-9]+) *GB', 1), lambda x: CAST(x AS DOUBLE))))",
+    "ram_speed": f"CAST({ex('([0-9]{3,5}) *[Mm][Hh][Zz]', 1, 'c')} AS INT)",
     "ram_brand": case("upper(title)", T.RAM_BRANDS),
 }
-EXPR["ram_capacity_gb"] = f"CASE WHEN {EXPR['ram_capacity_any']} BETWEEN 2 AND 256 THEN {EXPR['ram_capacity_any']} END"
+EXPR["ram_capacity_gb"] = f"CASE WHEN {EXPR['ram_capacity_any']} BETWEEN 2 AND 256 THEN CAST({EXPR['ram_capacity_any']} AS INT) END"
 
 E = EXPR
 CTES = {
@@ -54,7 +70,7 @@ CTES = {
       CAST(round(l_extendedprice * 100) AS BIGINT) AS pence, CAST(l_quantity AS INT) AS bids, l_shipdate AS ship,
       row_number() OVER (ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS seq FROM lineitem""",
     "snap": f"""SELECT id, ({list(CATEGORIES)})[c + 1] AS category,
-      CASE WHEN c = 0 AND id % 499 = 0 THEN 'Asus GTX 9' || CAST(50 + id % 40 AS VARCHAR) ELSE ({_LISTS})[c + 1][n + 1] END AS title,
+      CASE WHEN c = 0 AND id % 499 = 0 THEN 'Asus GTX 9' || CAST(50 + id % 40 AS VARCHAR) ELSE ({_LISTS})[c + 1][n + 1] END || CASE WHEN id % 251 = 5 THEN {lit(HUGE)} ELSE '' END AS title,
       CASE WHEN NOT (sold AND id % 17 = 0) THEN pence * CASE WHEN id % 41 = 0 THEN 8 ELSE 1 END END AS price_pence, bids,
       CASE WHEN sold THEN ship + INTERVAL 12 HOUR ELSE {NOW} + to_minutes((id * 7 + l_suppkey * 13) % 2880 - 720) END AS end_time,
       CASE WHEN sold THEN CAST(ship AS DATE) END AS sold_date, 'https://www.example.com/itm/' || CAST(id AS VARCHAR) AS url,

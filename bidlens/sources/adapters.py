@@ -14,6 +14,8 @@ TITLES = {
     "HDD": ('Seagate Exos 8TB SAS 7.2K 3.5"', "WD Red 4TB SATA 5400rpm", 'Toshiba 1.5 TB 2.5"', "HGST 600GB SAS 10K rpm 2.5", "Hitachi 12TB SATA 7200 RPM", "Western Digital Gold 6TB", "Samsung Spinpoint 500 GB", "Generic hard drive", "New WD Purple 10TB", "Dell 900GB SAS 15K", "Maxtor 250GB", "Fujitsu 4.1TB SAS"),
     "RAM": ("Corsair Vengeance 16GB (2x8GB) DDR4 3200MHz", "Kingston HyperX 8GB DDR3 1600 MHz", "G.Skill 32GB 2 x 16GB DDR5-6000", "Crucial 8GB DDR3L", "SK Hynix 4GB DDR4 2400MHz", "Gaming PC 16GB DDR4", "Samsung 512GB DDR4", "Micron 64GB 32GB DDR5", "Generic DDR4", "ddr5 16gb teamgroup", "4×8GB DDR4 PNY 2666MHz", "Lexar 1GB DDR3"),
 }
+# what a few titles end with: sizes that no column could hold
+HUGE = " 99999999999 x 99999999999 GB 99999999999K"
 
 
 def as_of():
@@ -28,6 +30,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.floor(F.col("l_partkey") / 4) % 12).cast("int")
     names = F.array(*[F.array(*map(F.lit, TITLES[c])) for c in CATEGORIES])
     title = F.when((F.col("c") == 0) & (F.col("id") % 499 == 0), F.concat(F.lit("Asus GTX 9"), (50 + F.col("id") % 40).cast("string"))).otherwise(F.get(F.get(names, F.col("c")), n))
+    title = F.when(F.col("id") % 251 == 5, F.concat(title, F.lit(HUGE))).otherwise(title)
     price = F.round(F.col("l_extendedprice") * 100).cast("long") * F.when(F.col("id") % 41 == 0, 8).otherwise(1)
     ahead = (F.col("id") * 7 + F.col("l_suppkey") * 13) % 2880 - 720
     category = F.get(F.array(*map(F.lit, CATEGORIES)), F.col("c"))
@@ -67,13 +70,13 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<span>"),
         F.col("title"),
         F.lit('</span></div><span class="s-card__price">£'),
-        F.coalesce(pounds, F.lit("")),
+        F.when(F.col("price_pence").isNotNull(), pounds).otherwise(""),
         F.lit("</span>"),
         F.when(F.col("id") % 4 == 0, '<span class="su-styled-text secondary large"><span>Free postage</span></span>').when(F.col("id") % 4 == 1, F.concat(F.lit('<span class="su-styled-text secondary large"><span>+£'), (F.col("id") % 9).cast("string"), F.lit(".50 postage</span></span>"))).otherwise(""),
         F.lit('<span class="su-styled-text secondary large">'),
         F.format_string("1,%03d bids", F.col("bids")),
         F.lit("</span>"),
-        F.when(F.col("id") % 6 == 0, F.concat(F.lit('<span class="s-card__reviews-count">'), (F.col("id") % 1000).cast("string"), F.lit(" reviews</span>"))).otherwise(""),
+        F.when(F.col("id") % 6 == 0, F.concat(F.lit('<span class="s-item__reviews-count"><span>'), (F.col("id") % 1000).cast("string"), F.lit(" reviews</span></span>"))).otherwise(""),
         F.lit('<span class="s-card__time-left">'),
         F.when(F.col("id") % 2 == 0, F.concat((F.col("id") % 24).cast("string"), F.lit("h left"))).otherwise(""),
         F.lit('</span><span class="s-card__time-end">'),
@@ -90,9 +93,11 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page where the query's hash is even, the older one cut short. A page holds at most some thousand cards."""
     head = '<html><body><div class="su-card-container su-card-container--horizontal">Shop on site</div>'
     p = cards(spark, sf_dir).groupBy("query", "mode").agg(F.array_sort(F.collect_list("card")).alias("cards"))
-    p = p.select("query", "mode", as_of().alias("fetched_at"), F.concat(F.lit(head), F.concat_ws("", "cards"), F.lit("</body></html>")).alias("html"))
-    old = p.where(F.length("query") % 2 == 0).select("query", "mode", F.timestamp_seconds(F.unix_seconds("fetched_at") - 3600).alias("fetched_at"), F.substring("html", 1, 400).alias("html"))
-    return p.unionByName(old)
+    html = F.concat(F.lit(head), F.concat_ws("", "cards"), F.lit("</body></html>"))
+    p = p.select("query", "mode", html.alias("whole"))
+    now = F.struct(as_of().alias("fetched_at"), F.col("whole").alias("html"))
+    old = F.struct(F.timestamp_seconds(F.unix_seconds(as_of()) - 3600).alias("fetched_at"), F.substring("whole", 1, 400).alias("html"))
+    return p.select("query", "mode", F.inline(F.when(F.length("query") % 2 == 0, F.array(now, old)).otherwise(F.array(now))))
 
 
 def ledger(listings: DataFrame) -> DataFrame:

@@ -16,21 +16,31 @@ from .upserts import shared_dir, snapshots
 OUT = "id long, status string, sale long, batch long, late long"
 STATE = "sale long, n long, unsold boolean, over boolean"
 WEEK_MS = 7 * 86400 * 1000
+#: How long a settled deal's state is kept after its last sighting or its giving up.
+KEEP_MS = 5 * WEEK_MS
 
 
 def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of one deal: the first sale's seq, or none, how often it was written, whether a completed
+    """The state of one deal: the first sale's seq, or none, when it was written last, whether a completed
     page was seen, and whether it was given up. An event-time timer a week after the latest sighting gives a
-    deal up; sightings after that open it again, but for those before the watermark, which are late. The
-    count outlives the timer, so that it orders all that is written of a deal."""
+    deal up; sightings after that open it again, but for those before the watermark, which are late. A settled deal (sold,
+    unsold or given up) is forgotten five weeks on; a row before the watermark for a deal that is not known is late too. Writes are
+    ordered by the watermark, and by one more than the last, so that what is written after forgetting comes later."""
+    mark = state.getCurrentWatermarkMs()
+    known = state.exists
     sale, count, unsold, over = state.getOption or (-1, 0, False, False)
+    turn = max(count + 1, mark)
     if state.hasTimedOut:
-        state.update((sale, count + 1, unsold, True))
-        yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "batch": [count + 1], "late": [None]})
+        if over or unsold or sale >= 0:
+            state.remove()
+            return
+        state.update((sale, turn, unsold, True))
+        state.setTimeoutTimestamp(mark + KEEP_MS)
+        yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "batch": [turn], "late": [None]})
         return
-    mark, latest, late = state.getCurrentWatermarkMs(), None, []
+    latest, late = None, []
     for p in rows:
-        if over:
+        if over or not known:
             old = p["ms"] < mark
             late += p.loc[old, "seq"].tolist()
             p = p[~old]
@@ -45,13 +55,14 @@ def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if late:
         yield pd.DataFrame({"id": key[0], "status": "LATE", "sale": None, "batch": None, "late": late})
     if latest is None:
-        state.update((sale, count, unsold, over))
+        if known:
+            state.update((sale, count, unsold, over))
+            state.setTimeoutTimestamp(mark + KEEP_MS)
         return
     status = "SOLD" if sale >= 0 else "UNSOLD" if unsold else "PENDING"
-    state.update((sale, count + 1, unsold, False))
-    if status == "PENDING":
-        state.setTimeoutTimestamp(max(latest + WEEK_MS, mark + 1))
-    yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale if sale >= 0 else None], "batch": [count + 1], "late": [None]})
+    state.update((sale, turn, unsold, False))
+    state.setTimeoutTimestamp(max(latest + (WEEK_MS if status == "PENDING" else KEEP_MS), mark + 1))
+    yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale if sale >= 0 else None], "batch": [turn], "late": [None]})
 
 
 def follow(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

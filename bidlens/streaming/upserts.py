@@ -28,20 +28,40 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.col("value")).alias("price"), F.when(F.col("event_type") == "purchase", "sold").otherwise("active").alias("mode"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table after all that the stream holds. Each batch writes a new version named by its id, so a
-    batch that runs again after a failure writes the same version; rows without a price are left out."""
-    base = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    last: dict[str, str | None] = {"path": None}
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """Batch ids of the versions in the folder that were written to their end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+
+
+def merge_stream(rows: DataFrame, base: str, key: str = "id", order: str = "seq") -> DataFrame:
+    """The table in folder `base` after all that the stream `rows` holds: the last write (greatest `order`) of each key.
+
+    A batch merges into the newest version below its own id and writes the version of its id, so that a process that
+    starts anew on the same folder, or a batch that runs again after a failure, goes on from the right table
+    and never reads what it writes. Of older versions the last two stay."""
+    spark = rows.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.where("price is not null and id is not null").select("id", "price", "mode", "seq")
-        old = batch.sparkSession.read.parquet(last["path"]) if last["path"] else new.limit(0)
-        both = old.unionByName(new).groupBy("id").agg(F.max_by(F.struct("price", "mode", "seq"), "seq").alias("r")).select("id", "r.*")
-        path = f"{base}/v{batch_id}"
-        both.write.mode("overwrite").parquet(path)
-        last["path"] = path
-
-    q = snapshots(spark, sf_dir).writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+        session = batch.sparkSession
+        below = [v for v in _versions(session, base) if v < batch_id]
+        old = session.read.schema(batch.schema).parquet(f"{base}/v{below[-1]}") if below else batch.limit(0)
+        rest = [c for c in batch.columns if c != key]
+        both = old.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*batch.columns)
+        both.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+        for v in below[:-2]:
+            path = fs.Path(f"{base}/v{v}")
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+    q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(last["path"]) if last["path"] else spark.createDataFrame([], "id long, price double, mode string, seq long")
+    done = _versions(spark, base)
+    return spark.read.schema(rows.schema).parquet(f"{base}/v{done[-1]}") if done else spark.createDataFrame([], rows.schema)
+
+
+def run(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """The table of snapshots after all that the stream holds; rows without a price or an id are left out."""
+    rows = snapshots(spark, sf_dir).where("price is not null and id is not null").select("id", "price", "mode", "seq")
+    return merge_stream(rows, base or f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}")

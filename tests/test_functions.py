@@ -51,6 +51,62 @@ def test_titles(spark, category):
     assert [got.get(i) for i in range(12)] == EXPECTED[category]
 
 
+def test_sizes_of_any_length(spark):
+    big = ["99999999999 GB", "99999999K", "9999999999999999999999 TB", "99999x99999 GB", "9" * 400 + " GB", "9" * 400 + " x 2GB", "2 x 8GB 99999999999 GB", "99999 core 99999999999 core", ""]
+    assert apply(spark, big, titles.hdd_capacity_gb) == [None, None, None, 99999, None, 2, 8, None, None]
+    assert apply(spark, big, titles.hdd_rpm)[:2] == [None, None]
+    assert apply(spark, big, titles.ram_capacity_gb) == [None, None, None, None, None, None, 16, None, None]
+    assert apply(spark, big, titles.cpu_cores)[7] == 99999
+    for category in ("GPU", "CPU", "HDD", "RAM"):
+        df = spark.createDataFrame([(i, category, t) for i, t in enumerate(big)], "id int, category string, title string")
+        assert ingest.enrich(df).count() == (1 if category == "RAM" else 9) - (category == "RAM")
+
+
+def test_variants_as_listed_or_longest(spark):
+    names = ["RTX 4070 Ti SUPER", "RX 7900 XTX", "RTX 3060Ti", "RX 6700 XT", "GTX 1650"]
+    assert apply(spark, names, titles.gpu_model) == ["RTX 4070 TI", "RX 7900 XT", "RTX 3060 TI", "RX 6700 XT", "GTX 1650"]
+    assert apply(spark, names, lambda c: titles.gpu_model(c, True)) == ["RTX 4070 TI SUPER", "RX 7900 XTX", "RTX 3060 TI", "RX 6700 XT", "GTX 1650"]
+
+
+CARD = '<a href="https://x/itm/{id}?a"></a><div class="s-card__title"><span>{title}</span></div><span class="s-card__price">{price}</span><span class="su-styled-text secondary large">1,204 bids</span><span class="s-item__reviews-count"><span>3,107 reviews</span></span><span class="s-card__time-end">{end}</span>'
+
+
+def test_cards_without_a_price_are_left_out_and_counted(spark):
+    cards = [CARD.format(id=i, title="T", price=p, end=e) for i, (p, e) in enumerate([("£1.50", "Today 10:00"), ("soon", "Today 10:00"), ("£2", "31/02, 10:00"), ("£3", "")])]
+    cards += [CARD.format(id="x", title="T", price="£1", end=""), "<p>nothing</p>"]
+    df = spark.createDataFrame([("q", c) for c in cards], "query string, card string")
+    got = ingest.normalise(df, F.lit(REF)).orderBy("id").collect()
+    assert [(r["id"], r["price"], r["shipping"], r["bid_count"], r["reviews_count"]) for r in got] == [(0, 1.5, 0.0, 1204, 3107), (2, 2.0, 0.0, 1204, 3107), (3, 3.0, 0.0, 1204, 3107)]
+    assert tuple(ingest.quarantine(df, F.lit(REF), ["query"]).first()) == ("q", 6, 1, 1, 1, 1)
+
+
+def test_pages_land_once_and_are_reused(spark, tmp_path):
+    schema = "query string, mode string, fetched_at timestamp, html string"
+    read = lambda: spark.read.schema("query string, fetched_at timestamp, html string, mode string").parquet(f"{tmp_path}/p")
+    first = spark.createDataFrame([("a", "sold", REF, "1"), ("a", "active", REF, "2")], schema)
+    ingest.land_pages(first, f"{tmp_path}/p")
+    ingest.land_pages(first.unionByName(spark.createDataFrame([("b", "sold", REF, "3")], schema)), f"{tmp_path}/p", read())
+    assert read().count() == 3
+    asked = spark.createDataFrame([("a", "sold"), ("b", "active")], "query string, mode string")
+    assert [tuple(r) for r in ingest.to_fetch(asked, read()).collect()] == [("b", "active")]
+
+
+def test_page_lists_are_trimmed_each_by_itself(spark):
+    rows = [("a", p, s) for p, s in [(100, 0), (105, 0), (102, None), (98, 900), (101, 0), (500, 0)]] + [("b", None, 5)]
+    got = ingest.page_price_summary(spark.createDataFrame(rows, "q string, price_pence long, ship_pence long"), ["q"]).orderBy("q").collect()
+    assert [tuple(r) for r in got] == [("a", [98, 100, 101, 102, 105], [0, 0, 0, 0, 0]), ("b", [], [5])]
+
+
+def test_orders(spark):
+    """Queries whose feature is an order give it."""
+    from bidlens.plans import queries as plans
+
+    sf = "/root/testdata/sf0.001"
+    for name, key in [("deals_hdd", lambda r: (-r["potential_gain"], r["id"])), ("outcomes_pending", lambda r: (r["end_time"], r["id"])), ("suspect_order", lambda r: (r["category"], r["price_pence"], r["id"])), ("sort_any", lambda r: (-r["discount_pct"], r["id"]))]:
+        got = [key(r) for r in plans.QUERIES[name](spark, sf).collect()]
+        assert got and got == sorted(got), name
+
+
 def test_search_url_rejects_unknown_choices(spark):
     f = lambda c: fields.search_url(F.lit("rtx 3060/ti"), c, F.lit("used"), F.lit("all"), F.lit("sold"))
     assert apply(spark, ["uk"], f) == ["https://www.example.co.uk/sch/i.html?_from=R40&_nkw=rtx+3060/ti&LH_Complete=1&LH_Sold=1&LH_ItemCondition=3000&LH_All=1"]
@@ -86,4 +142,3 @@ def test_refresh_tiers(spark):
 
 def test_sold_price_is_truncated(spark):
     assert spark.range(1).select((F.lit(19.99) * 100).cast("long")).first()[0] == 1998
-    assert titles and fields

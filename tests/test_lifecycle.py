@@ -16,14 +16,18 @@ BATCHES = [
     [(9, "active", 6, 20)],
     [(9, "active", 7, 21)],
     [(1, "active", 8, 22), (2, "sold", 9, 4), (4, "completed", 10, 22)],
-    [(1, "sold", 11, 23), (5, "active", 12, 23)],
+    [(1, "sold", 11, 23), (5, "active", 12, 23), (6, "sold", 13, 23)],
+    [(9, "active", 14, 69), (5, "active", 15, 69)],
+    [(9, "active", 16, 70)],
+    # 3 was given up and 6 sold five weeks ago: both are forgotten, 6 then comes anew and 3 too late
+    [(6, "active", 17, 71), (3, "sold", 18, 30), (9, "active", 19, 71)],
 ]
 
 
 @pytest.fixture
 def got(spark, tmp_path):
     for i, rows in enumerate(BATCHES):
-        data = [(d, m, s, datetime.datetime(2026, 1, day)) for d, m, s, day in rows]
+        data = [(d, m, s, datetime.datetime(2026, 1, 1) + datetime.timedelta(days=day - 1)) for d, m, s, day in rows]
         spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/w{i}")
         (tmp_path / "in").mkdir(exist_ok=True)
         part = next((tmp_path / f"w{i}").glob("*.parquet"))
@@ -36,5 +40,5 @@ def got(spark, tmp_path):
 
 def test_deals_reopen_and_are_given_up(got):
     last, late = got
-    assert last == {1: ("SOLD", 11), 2: ("GAVE_UP", None), 3: ("GAVE_UP", None), 4: ("UNSOLD", None), 5: ("PENDING", None), 9: ("PENDING", None)}
-    assert late == {(2, 9)}
+    assert last == {1: ("SOLD", 11), 2: ("GAVE_UP", None), 3: ("GAVE_UP", None), 4: ("UNSOLD", None), 5: ("PENDING", None), 6: ("PENDING", None), 9: ("PENDING", None)}
+    assert late == {(2, 9), (3, 18)}
