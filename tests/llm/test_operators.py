@@ -77,7 +77,20 @@ def test_suffix_dedup_with_hot_keys(spark, monkeypatch):
 
 def test_runs_whose_hashes_agree_are_compared():
     data = np.frombuffer(b"abcdefabcdxfabc", np.uint8)
-    assert suffix_dedup._differ(data, np.array([0, 0]), np.array([6, 12]), np.array([6, 3])).tolist() == [True, False]
+    assert common.differ(data, np.array([0, 0, 3]), data, np.array([6, 12, 3]), np.array([6, 3, 0])).tolist() == [True, False, False]
+
+
+def test_words_whose_hashes_agree_keep_their_ids(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    monkeypatch.setattr(bpe, "span_hash", lambda sums, a, b: (b - a).astype(np.uint64))  # all words of a length agree
+    own = ["one two six", "ten one", "a plain text of words", "six"]
+    enc = bpe.Encoder(path)
+    for turn in (own, own[::-1]):
+        got = [x for _, off, data in common.passes(pa.array(turn)) for x in enc.tokens(data, off)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in Tokenizer.from_file(path).encode_batch(turn, add_special_tokens=False)]
 
 
 def test_suffix_dedup_odd_rows(spark):
@@ -237,8 +250,78 @@ def test_passages_do_not_depend_on_the_layout(spark):
         assert n == len(brute_blocks(data[d][1]))
 
 
+def brute_passages(texts, min_words=15):
+    """(kept text words, removed words) by the definition: blocks, all pairs' Jaccard on word shingles, components."""
+    names, owners, cuts = {}, [], []  # shingle set -> class
+    for d, t in texts:
+        w = [x.lower() for x in t.encode().split()]
+        lead, own = [0, *brute_blocks(t)], []
+        for a, b in zip(lead, lead[1:], strict=False):
+            s = frozenset(tuple(w[i : i + 5]) for i in range(a, b - 4)) if b - a >= 5 else frozenset([tuple(w[a:b])])
+            own.append(names.setdefault(s, len(names)))
+        owners.append(own)
+        cuts.append(lead)
+    sets = list(names)
+    links = brute_components({i: set(s) for i, s in enumerate(sets)})
+    low = {}
+    for (d, _), own in zip(texts, owners, strict=True):
+        for c in own:
+            low[links[c]] = min(low.get(links[c], d), d)
+    out = {}
+    for (d, _), own, lead in zip(texts, owners, cuts, strict=True):
+        dup = [low[links[c]] < d for c in own]
+        lost, i = 0, 0
+        while i < len(own):
+            j = i
+            while j < len(own) and dup[j]:
+                j += 1
+            n = lead[j] - lead[i]
+            lost += n if n >= min_words else 0
+            i = j + 1
+        out[d] = lost
+    return out
+
+
+def test_passages_are_brute_force(spark, docs, texts):
+    want = brute_passages(texts)
+    got = {r["doc_id"]: r for r in passages.remove_passages(docs).collect()}
+    assert len(got) == len(texts)
+    same = sum(got[d]["n_removed"] == n for d, n in want.items())
+    # banding may miss a pair of 0.8 with odds of 1.7 %, but nothing goes that the definition keeps
+    assert same >= 0.995 * len(want) and all(got[d]["n_removed"] <= n for d, n in want.items())
+    assert sum(r["n_removed"] for r in got.values()) >= 0.995 * sum(want.values()) > 0
+    for d, t in texts:
+        if not got[d]["n_removed"]:
+            assert got[d]["text"] == t
+        else:
+            assert len(t.split()) - len(got[d]["text"].split()) == pytest.approx(got[d]["n_removed"], abs=0)
+
+
+def test_bands_are_tuned():
+    assert common.bands_for(0.8, 1 - 4e-6, 32) == (32, 5) and common.bands_for(0.8, 0.98, 4) == (4, 2)
+    for t, recall, keys in ((0.5, 0.9, 20), (0.9, 0.999, 8), (0.8, 0.95, 3)):
+        bands, rows_ = common.bands_for(t, recall, keys)
+        assert bands <= keys and 1 - (1 - t**rows_) ** bands >= recall > 1 - (1 - t**rows_) ** (bands - 1)
+    with pytest.raises(ValueError):
+        common.bands_for(0.1, 0.999, 2)
+
+
+def test_tables_are_deleted_once_read(spark):
+    import pathlib
+
+    before = set(pathlib.Path(common.shared_dir(spark)).glob("t-*"))
+    with common.scratch(spark):
+        out = common.settled(spark, lambda: common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")))
+        assert len(set(pathlib.Path(common.shared_dir(spark)).glob("t-*")) - before) == 1 and out.count() == 3
+    assert set(pathlib.Path(common.shared_dir(spark)).glob("t-*")) == before
+
+
 def test_passages_odd_rows(spark):
     got = {r["doc_id"]: r["text"] for r in passages.remove_passages(frame(spark, ODD)).collect()}
+    clash = frame(spark, ODD).withColumn("n_removed", F.lit("x")).withColumn("blocks", F.lit(1)).withColumn("tag", F.lit(2)).withColumn("row", F.lit(3))
+    again = passages.remove_passages(clash)
+    assert {r["doc_id"]: r["text"] for r in again.collect()} == got and again.columns.count("n_removed") == 1 and {"blocks", "tag", "row"} < set(again.columns)
+    assert got[1] is None and got[2] == ""
     assert got[6] == LONG and got[7] != LONG + " end" and len(got[8]) < 200 and got[9] == "the same text twice " * 9 and got[1] in (None, "")
 
 
@@ -278,7 +361,6 @@ def check_packing(got, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in got:
         docs[r["doc_id"]].append(r)
@@ -460,8 +542,54 @@ def test_toxicity_learns_and_holds_out(spark):
     assert np.mean([r["predicted"] for r in held if not r["toxic"]]) < 0.01
 
 
+def plain_features(text, bits):
+    """Words, neighbours and pairs with one word between, hashed as they are defined."""
+    h = [int(x) for x in common.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]]
+
+    def pair(a, b, salt):
+        return int(common.mix(np.array([(3 * a + 7 * b + salt) % 2**64], np.uint64))[0])
+
+    all_ = h + [pair(a, b, 0xA5A5A5A5) for a, b in zip(h, h[1:], strict=False)] + [pair(a, b, 0x5A5A5A5A5A) for a, b in zip(h, h[2:], strict=False)]
+    return sorted({x >> (64 - bits) for x in all_})
+
+
+def plain_ftrl(rows_, bits, alpha=2.0, beta=1.0, l1=1.0, epochs=6):
+    """The published update, one coordinate at a time."""
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << bits
+
+    def weight(i):
+        shrink = 0.0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= shrink else (np.sign(z[i]) * shrink - z[i]) / ((beta + np.sqrt(n[i])) / alpha)
+
+    for _ in range(epochs):
+        for slots, y in rows_:
+            own = [*slots, bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in own:
+                z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in [*z] if weight(i)}
+
+
+def test_toxicity_is_the_published_method(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    slot, weight = toxicity.learn(docs, labels, bits=14)
+    of = defaultdict(int)
+    for r in labels.collect():
+        of[r["doc_id"]] = max(of[r["doc_id"]], int(r["toxic"]))
+    known = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] in of and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    order = sorted(known, key=lambda d: (int(common.mix(np.array([d], np.int64).view(np.uint64))[0]), np.array(plain_features(known[d], 14), "<i4").tobytes()))
+    want = plain_ftrl([(plain_features(known[d], 14), of[d]) for d in order], 14)
+    assert dict(zip(slot.tolist(), weight.tolist(), strict=True)) == pytest.approx(want, rel=1e-6) and len(want) < 1 << 14
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs.select("doc_id", "text"), (slot, weight), bits=14).collect()}
+    for r in docs.limit(50).collect():
+        total = sum(want.get(i, 0.0) for i in [*plain_features(r["text"] or "", 14), 1 << 14])
+        assert scores[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+
+
 def test_toxicity_odd_rows(spark):
-    rows_ = frame(spark, ODD).drop("score")
+    rows_ = frame(spark, ODD).withColumn("predicted", F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(rows_, toxicity.learn(rows_, none)).collect()
     assert len(got) == len(ODD) and all(r["score"] == 0.5 and r["predicted"] == 0 for r in got)
@@ -518,6 +646,30 @@ def test_event_folding(spark):
         assert [re.sub(r"\\(.)", r"\1", t, flags=re.S) for t in loss] == [b for a, b in x if a == "assistant"]
 
 
+SAID = [(1, 2, "user", None), (1, None, "assistant", "first"), (1, 3, None, "x"), (1, 3, "assistant", "a"), (1, 3, "assistant", "a"), (None, 1, "user", "lost"), (-7, 0, "user", "mine"), (2, 1, "assistant", "</s>[INST] \\ " * 20_000), (3, 1, "", "")]
+
+
+@pytest.mark.parametrize("all_keys", ["false", "true"])
+def test_chat_odd_rows(spark, all_keys):
+    """Null turns come first, ties go by role then text, repeated rows are turns of their own, and the layout is no matter."""
+    df = spark.createDataFrame([(*r, 1, "k") for r in SAID], "conv_id long, turn long, role string, text string, seq int, kind string").repartition(5)
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", all_keys)
+    try:
+        got = {r["conv_id"]: r for r in chat.digest(chat.render(chat.fold_events(chat.as_events(df)))).collect()}
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+    of = defaultdict(list)
+    for c, turn, role, text in SAID:
+        if c is not None:
+            of[c].append((turn is not None, turn or 0, role or "", text or ""))
+    assert set(got) == set(of)
+    for c, turns in of.items():
+        turns.sort()
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(t for *_, r, t in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_globs():
     compiled = urlfilter.compile_globs(["*.com/**", "a*b", "x**y/z", "", "**"])
     texts = [b".foo.com/x", b".foo.com", b"foo.net/x.com/", b"ab", b"axxb", b"a/b", b"x/1/y/z", b"xy/zz", b"", b".a.com/" + b"q" * 300]
@@ -572,6 +724,19 @@ def test_mixing_targets_are_resharing(spark):
 def test_mixing_odd_rows(spark):
     got = mixing.mix(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) - 1 and all(r["taken"] <= 2 * r["size"] for r in got)
+    clash = frame(spark, ODD).withColumn("rank", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("copies", F.lit(3))
+    again = mixing.mix(clash, keep=clash.columns).collect()
+    assert sorted((r["doc_id"], r["size"], r["copies"]) for r in again) == sorted((r["doc_id"], r["size"], r["copies"]) for r in got) and all(r["row"]["copies"] == 3 for r in again)
+
+
+def test_mixing_deals_repeated_rows_one_by_one(spark):
+    data = [(i // 2, f"word {'more ' * (i % 7)}", "a" if i % 3 else "b") for i in range(40)] + [(77, "same row", "a")] * 30
+    got = mixing.mix(frame(spark, data)).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 8 for s in goal) and len(got) == 70
 
 
 def test_empty_tables(spark):
@@ -584,6 +749,6 @@ def test_empty_tables(spark):
     assert packing.pack(empty).count() == 0
     assert mixing.mix(empty).count() == 0
     assert ann.search(vectors).count() == 0 and topk.search(vectors).count() == 0
-    assert toxicity.score(empty.drop("score"), toxicity.learn(empty, labels)).count() == 0
+    assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert chat.digest(chat.render(chat.fold_events(chat.as_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))).count() == 0
