@@ -60,8 +60,23 @@ def in_band(rows_with_stats: DataFrame) -> DataFrame:
 
 
 def clean_stats(listings: DataFrame, min_count: int = 5, priced_only: bool = False) -> DataFrame:
-    kept = in_band(with_stats(sold(listings), raw_stats(listings, min_count, priced_only)))
-    out = kept.groupBy(*KEYS).agg(F.first("sold_count").alias("sold_count"), F.count("*").alias("n"), F.sum("price_pence").alias("total"), F.min("price_pence").alias("min_pence"), F.max("price_pence").alias("max_pence"))
+    """Counts, averages and ranges of the sold prices within two deviations of their mean. The listings are read
+    once, to a histogram of prices by product: exact sums over it give the mean and the deviation, and its
+    rows within those the rest."""
+    s = sold(listings)
+    s = s.where("price_pence is not null") if priced_only else s
+    hist = s.groupBy(*KEYS, "price_pence").agg(F.count("*").alias("c"))
+    exact = "decimal(38,0)"
+    raw = hist.groupBy(*KEYS).agg(
+        F.sum("c").alias("sold_count"),
+        F.sum(F.expr(f"cast(if(price_pence is null, 0, c) as {exact})")).alias("n"),
+        F.sum(F.expr(f"cast(price_pence * c as {exact})")).alias("t"),
+        F.sum(F.expr(f"cast(cast(price_pence as decimal(12,0)) * cast(price_pence as decimal(12,0)) * cast(c as decimal(12,0)) as {exact})")).alias("q"),
+    ).where(F.col("sold_count") >= min_count)
+    spread = F.coalesce(F.try_subtract(F.try_multiply("n", "q"), F.try_multiply("t", "t")).cast("double"), F.col("n").cast("double") * F.col("q").cast("double") - F.col("t").cast("double") * F.col("t").cast("double"))
+    mean = F.col("t").cast("double") / F.nullif(F.col("n"), F.lit(0)).cast("double")
+    raw = raw.select(*KEYS, "sold_count", mean.alias("mean_pence"), (F.sqrt(F.greatest(spread, F.lit(0.0))) / F.nullif(F.col("n"), F.lit(0)).cast("double")).alias("sd_pence"))
+    out = in_band(with_stats(hist, raw)).groupBy(*KEYS).agg(F.first("sold_count").alias("sold_count"), F.sum("c").alias("n"), F.sum(F.col("price_pence") * F.col("c")).alias("total"), F.min("price_pence").alias("min_pence"), F.max("price_pence").alias("max_pence"))
     return out.select(*KEYS, "sold_count", half_up("total", "n").alias("avg_pence"), "min_pence", "max_pence")
 
 

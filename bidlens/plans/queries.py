@@ -35,20 +35,25 @@ def date(c: str):
     return F.date_format(c, "yyyy-MM-dd").alias(c)
 
 
-def listings(s, d) -> DataFrame:
-    return ingest.latest(adapters.snapshots(s, d))
+#: What listings hold besides id, and what prices by product need of it. Only these travel to the last write of each id.
+LISTED = ("category", "title", "price_pence", "bids", "end_time", "sold_date", "url")
+PRICED = ("category", "title", "price_pence", "sold_date")
 
 
-def enriched(s, d) -> DataFrame:
-    return ingest.enrich(listings(s, d))
+def listings(s, d, *columns: str) -> DataFrame:
+    return ingest.latest(adapters.snapshots(s, d).select("id", "seq", *(columns or LISTED)))
 
 
-def market_rows(s, d) -> DataFrame:
-    return market.market_listing(enriched(s, d))
+def enriched(s, d, *columns: str) -> DataFrame:
+    return ingest.enrich(listings(s, d, *columns))
+
+
+def market_rows(s, d, *columns: str) -> DataFrame:
+    return market.market_listing(enriched(s, d, *columns))
 
 
 def ledger(s, d) -> DataFrame:
-    return adapters.ledger(listings(s, d))
+    return adapters.ledger(listings(s, d, "category", "price_pence", "end_time", "sold_date"))
 
 
 def all_deals(s, d) -> DataFrame:
@@ -346,7 +351,7 @@ def extraction_rate(s, d):
 
 @query("pence_to_pounds", "SELECT id, price_pence / 100.0::DOUBLE AS price FROM listing", "listing")
 def pence_to_pounds(s, d):
-    return listings(s, d).select("id", market.pounds("price_pence").alias("price"))
+    return listings(s, d, "price_pence").select("id", market.pounds("price_pence").alias("price"))
 
 
 @query("active_in_window", f"SELECT id, {ts('end_time')} AS end_time FROM soon", "soon")
@@ -359,19 +364,19 @@ _STAT_JOIN = "market m JOIN clean5 c ON m.category = c.category AND m.k1 = c.k1
 
 @query("below_threshold", f"SELECT m.id, m.price_pence, c.avg_pence FROM {_STAT_JOIN} WHERE m.price_pence * 100 < c.avg_pence * 80", "clean5")
 def below_threshold(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return market.below_threshold(market.with_stats(m, market.clean_stats(m))).select("id", "price_pence", "avg_pence")
 
 
 @query("potential_gain", f"SELECT m.id, (c.avg_pence - m.price_pence) / 100.0::DOUBLE AS gain FROM {_STAT_JOIN}", "clean5")
 def potential_gain(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return market.with_stats(m, market.clean_stats(m)).select("id", market.pounds("(avg_pence - price_pence)").alias("gain"))
 
 
 @query("discount_pct", f"SELECT m.id, sign(c.avg_pence - m.price_pence) * ((2000 * abs(c.avg_pence - m.price_pence) + c.avg_pence) // (2 * c.avg_pence)) / 10.0::DOUBLE AS discount_pct FROM {_STAT_JOIN}", "clean5")
 def discount_pct(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return market.with_stats(m, market.clean_stats(m)).select("id", market.tenths("(avg_pence - price_pence)", "avg_pence").alias("discount_pct"))
 
 
@@ -399,7 +404,7 @@ def deal_label(s, d):
 
 @query("price_band_filter", "SELECT id, price_pence FROM band5", "band5")
 def price_band_filter(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return market.in_band(market.with_stats(market.sold(m), market.raw_stats(m))).select("id", "price_pence")
 
 
@@ -419,13 +424,13 @@ def join_listing_attrs(s, d):
 
 @query("join_model_stats", f"SELECT m.id, c.k1 AS model, c.avg_pence FROM {_STAT_JOIN} WHERE m.category IN ('GPU', 'CPU')", "clean5")
 def join_model_stats(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return m.where("category in ('GPU', 'CPU')").join(market.clean_stats(m).select("category", "k1", "avg_pence"), ["category", "k1"]).select("id", F.col("k1").alias("model"), "avg_pence")
 
 
 @query("join_composite_nullsafe", f"SELECT m.id, c.k1, c.k2, c.avg_pence FROM {_STAT_JOIN}", "clean5")
 def join_composite_nullsafe(s, d):
-    m = market_rows(s, d)
+    m = market_rows(s, d, *PRICED)
     return market.with_stats(m, market.clean_stats(m)).select("id", "k1", "k2", "avg_pence")
 
 
@@ -461,7 +466,7 @@ _STATS = "SELECT category, k1, k2, sold_count, round(mean_pence, 4) AS mean_penc
 
 @query("raw_stats", _STATS, "raw5")
 def raw_stats(s, d):
-    return market.raw_stats(market_rows(s, d)).select("category", "k1", "k2", "sold_count", F.round("mean_pence", 4).alias("mean_pence"), F.round("sd_pence", 3).alias("sd_pence"))
+    return market.raw_stats(market_rows(s, d, *PRICED)).select("category", "k1", "k2", "sold_count", F.round("mean_pence", 4).alias("mean_pence"), F.round("sd_pence", 3).alias("sd_pence"))
 
 
 _CLEAN = "category, k1, k2, sold_count, CAST(avg_pence AS BIGINT) AS avg_pence, min_pence, max_pence"
@@ -469,7 +474,7 @@ _CLEAN = "category, k1, k2, sold_count, CAST(avg_pence AS BIGINT) AS avg_pence,
 
 @query("clean_stats", f"SELECT {_CLEAN} FROM clean5", "clean5")
 def clean_stats(s, d):
-    return market.clean_stats(market_rows(s, d))
+    return market.clean_stats(market_rows(s, d, *PRICED))
 
 
 def _guide(category: str):
@@ -486,12 +491,12 @@ for _c in adapters.CATEGORIES:
 
 @query("guide_order", f"SELECT {_CLEAN} FROM clean3", "clean3")
 def guide_order(s, d):
-    return market.price_guide(market_rows(s, d)).orderBy("category", F.desc("avg_pence"), "k1", "k2")
+    return market.price_guide(market_rows(s, d, *PRICED)).orderBy("category", F.desc("avg_pence"), "k1", "k2")
 
 
 @query("guide_all_categories", f"SELECT {_CLEAN} FROM clean3", "clean3")
 def guide_all_categories(s, d):
-    m, out = market_rows(s, d), None
+    m, out = market_rows(s, d, *PRICED), None
     for c in adapters.CATEGORIES:
         one = market.price_guide(m.where(F.col("category") == c))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
@@ -500,12 +505,12 @@ def guide_all_categories(s, d):
 
 @query("deal_counts", "SELECT v.category, count(s.id) AS deals FROM (SELECT unnest(['GPU', 'CPU', 'HDD', 'RAM']) AS category) v LEFT JOIN (SELECT s.* FROM soon s JOIN raw5 r ON s.category = r.category AND s.k1 = r.k1 AND s.k2 IS NOT DISTINCT FROM r.k2 WHERE s.price_pence * 100.0::DOUBLE < r.mean_pence * 80) s USING (category) GROUP BY 1", "soon", "raw5")
 def deal_counts(s, d):
-    return market.deal_counts(market_rows(s, d), adapters.as_of(), adapters.CATEGORIES)
+    return market.deal_counts(market_rows(s, d, *PRICED, "end_time"), adapters.as_of(), adapters.CATEGORIES)
 
 
 @query("listing_totals", f"SELECT count(*) FILTER (WHERE sold_date IS NULL) AS active, count(*) FILTER (WHERE sold_date IS NOT NULL) AS sold, (SELECT {ts('max(ts)')} FROM events) AS last_run FROM listing", "listing")
 def listing_totals(s, d):
-    return market.listing_totals(listings(s, d), run_log(s, d)).select("active", "sold", stamp("last_run"))
+    return market.listing_totals(listings(s, d, "sold_date"), run_log(s, d)).select("active", "sold", stamp("last_run"))
 
 
 @query("outcome_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE paid_pence < avg_market_pence) AS beat, (SELECT count(*) FROM led WHERE sold_date IS NULL) AS pending, CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER (WHERE paid_pence < avg_market_pence) * 100.0::DOUBLE / count(*), 1) ELSE 0.0::DOUBLE END AS win_rate FROM resolved", "resolved")
@@ -515,7 +520,7 @@ def outcome_summary(s, d):
 
 @query("mean_or_zero", "SELECT round(coalesce(avg(price_pence), 0.0::DOUBLE), 4) AS mean FROM listing", "listing")
 def mean_or_zero(s, d):
-    return ingest.mean_or_zero(listings(s, d), "price_pence").select(F.round("mean", 4).alias("mean"))
+    return ingest.mean_or_zero(listings(s, d, "price_pence"), "price_pence").select(F.round("mean", 4).alias("mean"))
 
 
 @query("sample_stdev_or_zero", "SELECT query, mode, round(coalesce(stddev_samp(price_pence), 0.0::DOUBLE), 3) AS stdev FROM snap GROUP BY ALL", "snap")
@@ -794,13 +799,13 @@ def hide_unsold(s, d):
 def basket_value(s, d):
     """The market value of a basket: one of each product for each of its current deals."""
     basket = all_deals(s, d).groupBy(*market.KEYS).agg(F.count("*").alias("wanted"))
-    guide = market.price_guide(market_rows(s, d)).select(*market.KEYS, "avg_pence")
+    guide = market.price_guide(market_rows(s, d, *PRICED)).select(*market.KEYS, "avg_pence")
     return market.with_stats(basket, guide).agg(F.count("*").alias("parts"), F.sum(F.col("avg_pence") * F.col("wanted")).alias("total_pence"))
 
 
 @query("price_spread", "SELECT category, k1, k2, (max_pence - min_pence) / 100.0::DOUBLE AS spread FROM clean3", "clean3")
 def price_spread(s, d):
-    return market.price_guide(market_rows(s, d)).select("category", "k1", "k2", market.pounds("(max_pence - min_pence)").alias("spread"))
+    return market.price_guide(market_rows(s, d, *PRICED)).select("category", "k1", "k2", market.pounds("(max_pence - min_pence)").alias("spread"))
 
 
 @query("sort_any", "SELECT id, bids, discount_pct FROM deal", "deal")
@@ -811,7 +816,7 @@ def sort_any(s, d):
 @query("guide_search", "SELECT category, k1, k2, CAST(avg_pence AS BIGINT) AS avg_pence FROM clean3 WHERE contains(lower(category || ' ' || k1 || ' ' || coalesce(k2, '')), 'rtx')", "clean3")
 def guide_search(s, d):
     label = F.lower(F.concat_ws(" ", "category", "k1", "k2"))
-    return market.price_guide(market_rows(s, d)).where(label.contains("rtx")).select("category", "k1", "k2", "avg_pence")
+    return market.price_guide(market_rows(s, d, *PRICED)).where(label.contains("rtx")).select("category", "k1", "k2", "avg_pence")
 
 
 @query("outcome_verdict", "SELECT id, CASE WHEN paid_pence < avg_market_pence THEN 'DEAL' ELSE 'MISS' END AS verdict FROM resolved", "resolved")
