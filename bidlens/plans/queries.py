@@ -286,11 +286,21 @@ for _n, (_e, _s) in CARD.items():
     _card_query(_n, _e, _s)
 
 
-@query("search_url", """SELECT id, 'https://www.example.co.uk/sch/i.html?_from=R40&_nkw=' || replace(replace(url_encode(title), '%20', '+'), '%2F', '/') || CASE WHEN mode = 'sold' THEN '&LH_Complete=1&LH_Sold=1' ELSE '&_sop=1' END
-  || CASE id % 2 WHEN 0 THEN '&LH_ItemCondition=3000' ELSE '' END || '&LH_Auction=1' AS search FROM snap""", "snap")
+def _one_of(table: dict[str, str], by: str) -> str:
+    """The values of a table in turn, as SQL."""
+    return f"{list(table.values())}[1 + CAST({by} % {len(table)} AS INT)]"
+
+
+@query("search_url", f"""SELECT id, 'https://www.example' || {_one_of(fields.COUNTRIES, 'id')} || '/sch/i.html?_from=R40&_nkw=' || replace(replace(url_encode(title), '%20', '+'), '%2F', '/')
+  || {_one_of(fields.MODES, 'id // 2')} || {_one_of(fields.CONDITIONS, 'id // 3')} || {_one_of(fields.TYPES, 'id // 5')} AS search FROM snap""", "snap")
 def search_url(s, d):
-    condition = F.when(F.col("id") % 2 == 0, "used").otherwise("all")
-    return adapters.snapshots(s, d).select("id", fields.search_url(F.col("title"), F.lit("uk"), condition, F.lit("auction"), F.col("mode")).alias("search"))
+    """Every country, mode, condition and type in turn."""
+
+    def one_of(table, by):
+        return F.get(F.array(*map(F.lit, table)), F.pmod(by, F.lit(len(table))).cast("int"))
+
+    n = [F.expr(f"id div {k}") for k in (1, 2, 3, 5)]
+    return adapters.snapshots(s, d).select("id", fields.search_url(F.col("title"), one_of(fields.COUNTRIES, n[0]), one_of(fields.CONDITIONS, n[2]), one_of(fields.TYPES, n[3]), one_of(fields.MODES, n[1])).alias("search"))
 
 
 _NORMAL = f"""SELECT query, mode, id, title, price_pence / 100.0::DOUBLE AS price, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id % 9 + 0.5::DOUBLE ELSE 0.0::DOUBLE END AS shipping,
