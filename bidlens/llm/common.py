@@ -326,22 +326,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until only stars are left: O(log^2)
     rounds, each a minimum by key, which combines before the shuffle, and a join with those minima.
     """
-    e, own = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        release(e, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(large, *([own] if own else []))
-        own = e
+        release(large, least)
         # stars: each node hangs on one other, and none hangs on a node that hangs itself
         many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        if many.unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")).isEmpty():
+        if e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty() and many.isEmpty():
             break
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots))
+    release(e)
+    return out
 
 
 # -- links between the classes of a banded index ----------------------------------------------
@@ -383,7 +385,7 @@ def bands_for(threshold: float, recall: float, keys: int) -> tuple[int, int]:
     return found
 
 
-def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3, few: int = 64) -> DataFrame:
+def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3, few: int = 4096) -> DataFrame:
     """(node, label) of nodes (node long, n int, keys array<long>, bits array<long>) that verified links join.
 
     Star-shaped candidates bound the pairs: a bucket's members are held against one of them alone, the one
@@ -399,26 +401,36 @@ def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3,
     fits = f"least(n, m) * 100L >= greatest(n, m) * {percent}L"
     pair = [F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")]
     every = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    rows = written(every.join(every.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"))
-    scored = rows.join(rows.groupBy("node").agg(F.sum("many").alias("score")), "node").drop("many")
+    many = written(every.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    rows = written(every.join(many, "key"))
+    score = written(rows.groupBy("node").agg(F.sum("many").alias("score")))
+    scored = written(rows.join(score, "node").drop("many"))
+    release(many, rows, score)
     best = F.max_by(F.struct("node", "n"), F.struct("score", -F.col("node")))
-    live = written(scored.join(scored.groupBy("key").agg(best.alias("hub")), "key").select("key", "node", "n", "score", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
-    release(rows)
+    hubs = written(scored.groupBy("key").agg(best.alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
+    live = written(scored.join(hubs, "key"))
+    release(scored, hubs)
     tried = written(live.where("node <> hub").where(fits).withColumnRenamed("hub", "x").select(*pair).distinct())
     good = written(verify(tried))
     label = components(good)
     for turn in range(1, rounds + 1):
+        # tables are written before they are joined, so that Spark knows the small ones and broadcasts them
         main = label.select(F.col("node").alias("hub"), F.col("label").alias("main"))
         now = live.drop("label", "main").join(label, "node", "left").join(main, "hub", "left")
-        now = now.select("key", "node", "n", "score", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("main", "hub").alias("main"))
-        now = written(now.join(now.where("label <> main").select("key").distinct(), "key", "left_semi"))
+        now = written(now.select("key", "node", "n", "score", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("main", "hub").alias("main")))
+        mixed = written(now.where("label <> main").groupBy("key").agg(F.count("*").alias("apart")))
+        most = mixed.agg(F.max("apart")).first()[0]
         release(live)
-        live, apart = now, now.where("label <> main")
-        most = apart.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         if not most:
+            release(now, mixed)
             return label
+        live = written(now.join(mixed.select("key"), "key", "left_semi"))
+        release(now, mixed)
+        apart = live.where("label <> main")
         if turn == 1:
-            bits = written(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
+            named = written(live.select("node").distinct())
+            bits = written(nodes.join(named, "node", "left_semi").select("node", "bits", F.expr(room(longs)).alias("room")))
+            release(named)
         if turn < rounds and most > few:
             best = F.max_by(F.struct("node", "n", "label"), F.struct("score", -F.col("node")))
             others = apart.groupBy("key").agg(best.alias("c")).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
@@ -437,5 +449,6 @@ def linked(nodes: DataFrame, verify, percent: int, longs: int, rounds: int = 3,
             good = good.unionByName(more)
             label = components(good)
         if last:
+            release(live, bits)
             return label
     return label
