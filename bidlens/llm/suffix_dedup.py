@@ -17,7 +17,7 @@ from .common import BUCKET_BYTES, differ, mix, parallelism, passes, powers, pref
 
 U64 = np.uint64
 #: Documents that are sampled for keys with many contexts, at least, one in MOST at the least; contexts that make a key hot.
-SAMPLED, MOST, HOT = 16_384, 4096, 64
+SAMPLED, MOST, HOT = 16_384, 4096, 512
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
