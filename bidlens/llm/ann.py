@@ -116,7 +116,7 @@ def nearest_k(y: np.ndarray, names: np.ndarray, x: np.ndarray, ids: np.ndarray,
     return r[best], c[best], d[best]
 
 
-def search(rows: DataFrame, every: int = 100, k: int = 10, codes: int = 128, share: float = 0.4) -> DataFrame:
+def search(rows: DataFrame, every: int = 100, k: int = 10, codes: int = 128, share: float = 0.45) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by Euclidean distance, ties to smaller vec_id.
 
     Codebooks of the two halves are fitted on a bounded sample (SAMPLE rows of smallest hash); every row
