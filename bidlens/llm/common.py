@@ -183,6 +183,19 @@ def passes(col: pa.Array, most: int = PASS_BYTES):
         a = b
 
 
+def runs(data: np.ndarray, off: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of the maximal runs of the table's bytes within one text, of `least` bytes or more."""
+    inside = table[data]
+    step = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inner = off[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    inner = np.unique(inner[inside[inner] & inside[inner - 1]])
+    start, end = np.sort(np.r_[start, inner]), np.sort(np.r_[end, inner])
+    long = end - start >= least
+    return start[long], end[long]
+
+
 def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
     """Hash, document index, first and end byte of each word (a run of bytes but ASCII white space)."""
     if not len(data):

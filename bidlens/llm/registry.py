@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, filter_audit, mixing, neardup, packing, passages, suffix_dedup, topk, toxicity, urlfilter
+from . import ann, chat, filter_audit, lexical, mixing, neardup, packing, passages, secrets, suffix_dedup, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_substring_dedup": passages.op9_substring_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 SQL = {
@@ -23,5 +25,6 @@ SQL = {
     "op5_url_filters": urlfilter.SQL,
     "op8_mix_sources": mixing.SQL,
     "op10_exact_topk": topk.SQL,
+    "op11_lexical_search": lexical.SQL,
     "op12_filter_audit": filter_audit.SQL,
 }
