@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import math
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -39,7 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """The lists of written tables that are to be deleted, innermost last; a thread has its own."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_open = _Open()
+
+
+@contextlib.contextmanager
+def _noted():
+    """The paths of the tables written inside, as a list that grows."""
+    own: list[str] = []
+    _open.lists.append(own)
+    try:
+        yield own
+    finally:
+        _open.lists.pop()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -48,8 +67,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.own_path = path
-    if _open:
-        _open[-1].append(path)
+    if _open.lists:
+        _open.lists[-1].append(path)
     return out
 
 
@@ -67,28 +86,26 @@ def release(*tables: DataFrame) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables written inside are deleted at the end: what is to stay must have been written elsewhere."""
-    _open.append([])
+    own: list[str] = []
     try:
-        yield
+        with _noted() as own:
+            yield
     finally:
-        for path in _open.pop():
+        for path in own:
             _delete(spark, path)
 
 
 def settled(spark: SparkSession, build) -> DataFrame:
-    """build()'s rows as one written table; the tables that it wrote on the way are deleted."""
-    _open.append([])
+    """build()'s rows as one written table, which counts as the caller's. The tables that build() wrote on the way are
+    deleted, also when it or the last write fails."""
+    own: list[str] = []
     try:
-        result = build()
-        own = _open.pop()
-        out = written(result)
-    except BaseException:
-        own = _open.pop() if _open else []
-        raise
+        with _noted() as own:
+            result = build()
+        return written(result)
     finally:
         for path in own:
             _delete(spark, path)
-    return out
 
 
 #: Bytes of text whose keys one task of a search holds, about.

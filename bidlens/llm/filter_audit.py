@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 #: Documents of one stretch of ids, whose lists a task holds at once.
 STRETCH = 1 << 16
@@ -192,7 +192,7 @@ def orders(found: DataFrame, names: str = LETTERS) -> DataFrame:
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The five filters of `judge` in all 120 orders, by part. An empty table gives no row."""
-    return orders(interactions(postings(written(judge(docs, labels)))))
+    return settled(docs.sparkSession, lambda: orders(interactions(postings(written(judge(docs, labels))))))
 
 
 def op12_filter_audit(spark, sf_dir) -> DataFrame:

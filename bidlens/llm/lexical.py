@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import differ, mix, passes, prefix, runs, span_hash, written
+from .common import differ, mix, passes, prefix, runs, settled, span_hash, written
 
 U64 = np.uint64
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -348,15 +348,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, most_items: int = Q
     highest bounds, whose documents' exact scores give each item a score to beat, and for all documents whose bounds don't rule
     them out; those are scored on their whole texts. No document is dropped otherwise, so the result is exact however full the
     signatures are. Null and empty texts have no terms; items and documents without terms, or without an id, have no rows."""
-    lexicon, blocks = built or index(docs)
+    return settled(docs.sparkSession, lambda: _search(docs, queries, k, most_items, most_terms, *(built or index(docs))))
+
+
+def _search(docs, queries, k, most_items, most_terms, lexicon, blocks) -> DataFrame:
     n, total = totals(blocks)
     out = None
     items = written(items_of(queries, lexicon, n))
     for block in query_blocks(items, n, total, most_items, most_terms):
         found = top(scored(docs, seeds(blocks, block, k).select("item", "doc_id"), block), k)
-        kth = found.groupBy("item").agg(F.count("*").alias("n"), F.min_by(F.struct("score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("r")).where(F.col("n") >= k).collect()
+        worst = F.min_by(F.struct("score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("r")
         least, last = np.zeros(len(block.ids), np.int64), np.full(len(block.ids), np.iinfo(np.int64).max)
-        for r in kth:  # a row an item of the block
+        for r in found.groupBy("item").agg(F.count("*").alias("n"), worst).where(F.col("n") >= k).collect():  # a row an item of the block
             least[r["item"]], last[r["item"]] = r["r"]["score"], r["r"]["doc_id"]
         best = top(scored(docs, candidates(blocks, block, least, last).select("item", "doc_id"), block), k)
         names = docs.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(block.ids)), pa.int32()), "item_id": pa.array(block.ids)}))
