@@ -279,6 +279,8 @@ def spans_of(text: bytes, hexes: list[tuple[int, int]], wide: list[tuple[int, in
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     out += [(a, 2, b) for a, b in hexes]
     for a, b in coded:
+        if text[a - 1 : a + 1] in (b"\\n", b"\\r", b"\\t"):  # an escaped line break before the run
+            a += 1
         token = token_at(text, a, b)
         if token:
             out.append((a, KINDS.index("jwt"), token))
