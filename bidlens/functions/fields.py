@@ -1,4 +1,4 @@
-"""Listing fields from a result card's markup, as column expressions."""
+"""Listing fields from the texts of a result card's elements, as column expressions."""
 
 from __future__ import annotations
 
@@ -14,17 +14,6 @@ DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 #: Hours that listing times are behind the clock in use.
 OFFSET_HOURS = 7
 _CLOCK = r"([01]?\d|2[0-3]):([0-5]\d)"
-# The elements of a result card.
-LINK = r'(?s)<a href="([^"]*)"'
-TITLE = r'(?s)class="s-card__title">(.*?)</div>'
-PRICE = r'(?s)class="s-card__price">(.*?)</span>'
-SHIPPING = r'(?s)class="su-styled-text secondary large"><span[^>]*>(.*?)</span>'
-BIDS = r'(?s)class="su-styled-text secondary[^"]*">([^<]*bid[^<]*)</span>'
-REVIEWS = r'(?s)class="s-item__reviews-count"[^>]*>\s*<span[^>]*>([^<]*)</span>'
-TIME_LEFT = r'(?s)class="s-card__time-left">([^<]*)</span>'
-TIME_END = r'(?s)class="s-card__time-end">([^<]*)</span>'
-SOLD = r'(?s)class="su-styled-text positive default">([^<]*)</span>'
-ELEMENTS = {"link": LINK, "heading": TITLE, "cost": PRICE, "postage": SHIPPING, "bidding": BIDS, "reviews": REVIEWS, "left": TIME_LEFT, "end": TIME_END, "sale": SOLD}
 
 
 def _got(c: Column, pattern: str, group: int = 1) -> Column:
@@ -35,44 +24,18 @@ def parse_price(s: Column) -> Column:
     return _got(F.replace(s, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)").try_cast("double")
 
 
-def elements(card: Column) -> Column:
-    """A card's elements by name, as generator: what follows works on short strings, and no filter on them is
-    pushed below, where it would search the card again. An element fits its parser as the card does."""
-    return F.inline(F.array(F.struct(*[F.regexp_extract(card, p, 0).alias(n) for n, p in ELEMENTS.items()])))
-
-
-def parse_title(card: Column) -> Column:
-    spans = F.regexp_extract_all(F.regexp_extract(card, TITLE, 1), F.lit(r"(?s)<span[^>]*>(.*?)</span>"), F.lit(1))
-    return F.when(F.get(spans, F.lit(0)) == "New listing", F.get(spans, F.lit(1))).otherwise(F.get(spans, F.lit(0)))
-
-
-def parse_card_price(card: Column) -> Column:
-    return parse_price(_got(card, PRICE))
-
-
-def parse_shipping(card: Column) -> Column:
+def parse_shipping(postage: Column) -> Column:
     """No element: 0; an element without a price, as for free postage: null."""
-    return F.when(card.rlike(SHIPPING), parse_price(F.regexp_extract(card, SHIPPING, 1))).otherwise(0.0)
-
-
-def _digits(card: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_replace(_got(card, pattern), "[^0-9]", "").try_cast("int"), F.lit(0))
+    return F.when(postage.isNull(), 0.0).otherwise(parse_price(postage))
 
 
-def parse_bids(card: Column) -> Column:
-    return _digits(card, BIDS)
+def parse_count(text: Column) -> Column:
+    """All digits of a text joined; none: 0."""
+    return F.coalesce(F.regexp_replace(text, "[^0-9]", "").try_cast("int"), F.lit(0))
 
 
-def parse_reviews(card: Column) -> Column:
-    return _digits(card, REVIEWS)
-
-
-def parse_item_id(card: Column) -> Column:
-    return _got(_got(card, LINK), r"/itm/(\d+)").try_cast("bigint")
-
-
-def parse_time_left(card: Column) -> Column:
-    return F.regexp_extract(card, TIME_LEFT, 1)
+def parse_item_id(link: Column) -> Column:
+    return _got(link, r"/itm/(\d+)").try_cast("bigint")
 
 
 def parse_sold_date(s: Column) -> Column:
@@ -90,12 +53,12 @@ def _day(ref: Column) -> Column:
 
 
 def parse_end_time_today(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Column:
-    p = rf"^Today {_CLOCK}"
+    p = rf"^(?i:today)\S*\s+{_CLOCK}"
     return F.when(s.rlike(p), F.timestamp_seconds(_at(_day(ref), s, p, 1, hours)))
 
 
 def parse_end_time_weekday(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Column:
-    p = rf"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), {_CLOCK}"
+    p = rf"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s*{_CLOCK}"
     target = F.array_position(F.array(*map(F.lit, DAYS)), F.regexp_extract(s, p, 1)).cast("int") - 1
     ahead = F.pmod(target - F.weekday(ref) + 7, F.lit(7))
     at = _at(_day(ref) + ahead * 86400, s, p, 2, 0)
@@ -104,7 +67,7 @@ def parse_end_time_weekday(s: Column, ref: Column, hours: float = OFFSET_HOURS)
 
 
 def parse_end_time_date(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Column:
-    p = rf"^(\d\d?)/(\d\d?), {_CLOCK}"
+    p = rf"^(\d\d?)/(\d\d?),\s*{_CLOCK}"
     g = [F.regexp_extract(s, p, i).try_cast("int") for i in range(1, 5)]
     day = F.try_make_timestamp(F.year(ref), g[1], g[0], g[2], g[3], F.lit(0))
     # a day of this year that is past is next year's
@@ -119,14 +82,6 @@ def parse_end_time(s: Column, ref: Column, hours: float = OFFSET_HOURS) -> Colum
     return F.coalesce(parse_end_time_today(t, ref, hours), parse_end_time_weekday(t, ref, hours), parse_end_time_date(t, ref, hours))
 
 
-def parse_card_end(card: Column) -> Column:
-    return F.regexp_extract(card, TIME_END, 1)
-
-
-def parse_card_sold(card: Column) -> Column:
-    return parse_sold_date(F.regexp_extract(card, SOLD, 1))
-
-
 def _choice(c: Column, table: dict[str, str], what: str) -> Column:
     out = None
     for k, v in table.items():

@@ -139,10 +139,11 @@ def ram_brand(t: Column) -> Column:
     return first_of(F.upper(t), RAM_BRANDS)
 
 
-def attributes(category: Column, t: Column) -> dict[str, Column]:
+def attributes(category: Column, t: Column, only: str | None = None) -> dict[str, Column]:
     """One wide row for all categories: attributes of other categories are null; an unknown category has
-    an empty brand and model. `dropped` marks listings that the rules leave out."""
-    gpu, cpu, hdd, ram = (category == c for c in ("GPU", "CPU", "HDD", "RAM"))
+    an empty brand and model. `dropped` marks listings that the rules leave out. Where all rows are of the one category `only`,
+    the conditions are constants, and no other category's patterns are planned."""
+    gpu, cpu, hdd, ram = (category == c if only is None else F.lit(c == only) for c in ("GPU", "CPU", "HDD", "RAM"))
     known = gpu | cpu | hdd | ram
     return {
         "brand": F.when(gpu, gpu_brand(t)).when(cpu, cpu_brand(t)).when(hdd, hdd_brand(t)).when(ram, ram_brand(t)).when(~known, ""),

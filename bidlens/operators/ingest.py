@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields, titles
+from ..sources import cards as reader
 
 MARKER = '<div class="su-card-container su-card-container--horizontal">'
 SNAPSHOT = ("title", "price_pence", "bids", "end_time", "sold_date", "url")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def landed_pages(pages: DataFrame) -> DataFrame:
     """The latest page of each (query, mode)."""
     return pages.groupBy("query", "mode").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("html", "fetched_at").alias("html"))
@@ -41,41 +47,72 @@ def split_cards(pages: DataFrame, skip_first: int = 1) -> DataFrame:
     return pages.select("query", "mode", parts.alias("n", "card")).where(F.col("n") > skip_first).select("query", "mode", (F.col("n") - skip_first - 1).alias("position"), "card")
 
 
-def _typed(cards: DataFrame, ref, hours: float) -> DataFrame:
-    rest = [c for c in ("query", "mode", "position", "category") if c in cards.columns]
-    c = {n: F.col(n) for n in fields.ELEMENTS}
-    return cards.select(*rest, fields.elements(F.col("card"))).select(
+def typed(cards: DataFrame, ref, hours: float = fields.OFFSET_HOURS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a card, typed. lack: the first of title, price and id that can't be read, for which the card is left out; bad_end: a card
+    that is kept has an end time that can't be read, which is null then."""
+    rest = [F.col(c) for c in cards.columns if c in ("query", "mode", "position", "category", *keep)]
+    c = {n: F.col(n) for n in reader.ELEMENTS}
+    rows = reader.read(cards.select(*rest, "card")).select(
         *rest,
         fields.parse_item_id(c["link"]).alias("id"),
-        fields.parse_title(c["heading"]).alias("title"),
-        fields.parse_card_price(c["cost"]).alias("price"),
+        c["title"],
+        fields.parse_price(c["cost"]).alias("price"),
         fields.parse_shipping(c["postage"]).alias("shipping"),
-        fields.parse_time_left(c["left"]).alias("time_left"),
-        fields.parse_end_time(fields.parse_card_end(c["end"]), ref, hours).alias("time_end"),
-        fields.parse_card_sold(c["sale"]).alias("sold_date"),
-        fields.parse_bids(c["bidding"]).alias("bid_count"),
-        fields.parse_reviews(c["reviews"]).alias("reviews_count"),
-        (fields.parse_card_end(c["end"]) != "").alias("has_end"),
+        F.coalesce(c["left"], F.lit("")).alias("time_left"),
+        fields.parse_end_time(c["end"], ref, hours).alias("time_end"),
+        fields.parse_sold_date(c["sale"]).alias("sold_date"),
+        fields.parse_count(c["bidding"]).alias("bid_count"),
+        fields.parse_count(c["reviews"]).alias("reviews_count"),
+        c["link"].alias("url"),
+        (F.coalesce(c["end"], F.lit("")) != "").alias("has_end"),
     )
+    lack = F.when(F.col("title").isNull(), "title").when(F.col("price").isNull(), "price").when(F.col("id").isNull(), "id")
+    rows = rows.withColumn("lack", lack)
+    return rows.withColumn("bad_end", F.col("lack").isNull() & F.col("has_end") & F.col("time_end").isNull()).drop("has_end")
 
 
 def normalise(cards: DataFrame, ref, hours: float = fields.OFFSET_HOURS) -> DataFrame:
     """Typed rows; cards without an id, a title or a readable price are left out (see `quarantine`)."""
-    return _typed(cards, ref, hours).where("id is not null and title is not null and price is not null").drop("has_end")
+    return typed(cards, ref, hours).where("lack is null").drop("lack", "bad_end")
+
+
+def quality() -> list:
+    """How many cards there are, are left out and why, and how many of those kept have an end time that can't be read."""
+    reasons = [F.count_if(F.coalesce(F.col("lack") == r, F.lit(False))).alias(f"no_{r}") for r in ("title", "price", "id")]
+    return [F.count(F.lit(1)).alias("cards"), *reasons, F.count_if("bad_end").alias("bad_end")]
 
 
 def quarantine(cards: DataFrame, ref, by: list[str], hours: float = fields.OFFSET_HOURS) -> DataFrame:
-    """How many cards there are, are left out and why (the first lack in the order title, price, id
-    counts), and how many of those kept have an end time that can't be read, which is null then."""
-    t = _typed(cards, ref, hours)
-    lack = F.when(F.col("title").isNull(), "title").when(F.col("price").isNull(), "price").when(F.col("id").isNull(), "id")
-    t = t.withColumn("lack", lack)
-    reasons = [F.count_if(F.col("lack") == r).alias(f"no_{r}") for r in ("title", "price", "id")]
-    return t.groupBy(*by).agg(F.count("*").alias("cards"), *reasons, F.count_if(F.col("lack").isNull() & F.col("has_end") & F.col("time_end").isNull()).alias("bad_end"))
+    """The counts of `quality` by some columns."""
+    return typed(cards, ref, hours).groupBy(*by).agg(*quality())
+
 
+def land_cards(cards: DataFrame, path: str, ref, hours: float = fields.OFFSET_HOURS) -> dict[str, int]:
+    """Writes every card to folder `path` in one pass over them: those kept as typed rows under `kept=true`, those left out with their markup and their
+    lack under `kept=false`, the quarantine. Returns the counts of `quality`, observed in that pass: nothing is read twice."""
+    seen = Observation("cards")
+    kept = F.col("lack").isNull()
+    rows = typed(cards.withColumn("markup", F.col("card")), ref, hours, keep=("markup",)).observe(seen, *quality())
+    rows = rows.withColumn("markup", F.when(~kept, F.col("markup"))).withColumn("kept", kept)
+    rows.write.mode("overwrite").partitionBy("kept").parquet(path)
+    return seen.get
 
-def enrich(listings: DataFrame) -> DataFrame:
-    a = titles.attributes(F.col("category"), F.col("title"))
+
+def kept_cards(spark: SparkSession, path: str) -> DataFrame:
+    """The typed rows that `land_cards` has kept; the quarantine isn't read."""
+    return spark.read.parquet(path).where("kept").drop("kept", "lack", "markup", "bad_end")
+
+
+def quarantined_cards(spark: SparkSession, path: str) -> DataFrame:
+    """The cards that were left out, as they were, and why; they can be read again once a rule is mended."""
+    rows = spark.read.parquet(path).where("not kept")
+    return rows.select(*[c for c in ("query", "mode", "position", "category") if c in rows.columns], "lack", F.col("markup").alias("card"))
+
+
+def enrich(listings: DataFrame, only: str | None = None) -> DataFrame:
+    """listings with their titles' attributes, less those that the rules drop; of one category alone if named, for which alone the work is done."""
+    listings = listings if only is None else listings.where(F.col("category") == only)
+    a = titles.attributes(F.col("category"), F.col("title"), only)
     return listings.select("*", *[c.alias(n) for n, c in a.items()]).where(~F.col("dropped")).drop("dropped")
 
 
@@ -97,7 +134,7 @@ def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
 
 def upsert(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """target with batch's rows inserted or written over it; batch may repeat keys (last `seq` wins)."""
-    new = latest(batch).select(*target.columns)
+    new = latest(batch.select("seq", *target.columns), key).select(*target.columns)
     both = target.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     rest = [c for c in target.columns if c != key]
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), "_new").alias("r")).select(key, "r.*")
@@ -166,6 +203,16 @@ def page_price_summary(rows: DataFrame, page: list[str]) -> DataFrame:
     return r.groupBy(*page).agg(*stats("price_pence"), *stats("ship_pence")).select(*page, trimmed("price_pence").alias("price_list"), trimmed("ship_pence").alias("shipping_list"))
 
 
+def targeted_refresh(due: DataFrame, rows: DataFrame, listing: DataFrame, columns: tuple[str, ...] = SNAPSHOT) -> tuple[DataFrame, DataFrame]:
+    """(listing, totals) after the due ids are looked up among the active sightings `rows` (mode, seq and the listing's columns) and the latest one of each is upserted.
+    totals, one row: due, found, inserted, updated, unchanged. Those not found keep their rows: they may have ended."""
+    asked = due.select("id", F.lit("active").alias("mode"))
+    found = match_by_id(asked, rows.select("id", "mode", "seq", *columns)).select("id", "seq", *columns)
+    kinds = change_kind(listing, found, columns).agg(F.count("*").alias("found"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in ((1, "inserted"), (2, "updated"), (0, "unchanged"))])
+    totals = due.agg(F.count("*").alias("due")).join(kinds, how="cross")  # one row each
+    return upsert(listing.select("id", *columns), found), totals
+
+
 def match_by_id(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """The latest sighting for each requested (id, mode)."""
     w = Window.partitionBy("id", "mode").orderBy(F.desc("seq"))

@@ -63,9 +63,12 @@ def clean_stats(listings: DataFrame, min_count: int = 5, priced_only: bool = Fal
     """Counts, averages and ranges of the sold prices within two deviations of their mean. The listings are read
     once, to a histogram of prices by product: exact sums over it give the mean and the deviation, and its
     rows within those the rest."""
-    s = sold(listings)
-    s = s.where("price_pence is not null") if priced_only else s
-    hist = s.groupBy(*KEYS, "price_pence").agg(F.count("*").alias("c"))
+    return stats_of(sold(listings).groupBy(*KEYS, "price_pence").agg(F.count("*").alias("c")), min_count, priced_only)
+
+
+def stats_of(hist: DataFrame, min_count: int = 5, priced_only: bool = False) -> DataFrame:
+    """As clean_stats, from the histogram (KEYS, price_pence, c) of sold prices."""
+    hist = hist.where("price_pence is not null") if priced_only else hist
     exact = "decimal(38,0)"
     raw = hist.groupBy(*KEYS).agg(
         F.sum("c").alias("sold_count"),
@@ -80,6 +83,39 @@ def clean_stats(listings: DataFrame, min_count: int = 5, priced_only: bool = Fal
     return out.select(*KEYS, "sold_count", half_up("total", "n").alias("avg_pence"), "min_pence", "max_pence")
 
 
+def trend(sales: DataFrame, as_of: Column, days: int = 30, min_count: int = 5) -> DataFrame:
+    """Where each product's sold prices go over the last `days` days: the slope of price against day (pence a day, least squares), sales,
+    and rising, falling or flat (a change of under a hundredth of the mean over the span). Sales are first counted by day and
+    price, so repeats cross the shuffle once; exact sums of those rows give the slope. Sold on one day only: no slope."""
+    day = F.datediff(F.col("sold_date"), as_of.cast("date"))
+    s = sold(sales).where(F.col("price_pence").isNotNull()).withColumn("x", day).where((F.col("x") > -days) & (F.col("x") <= 0))
+    hist = s.groupBy(*KEYS, "x", "price_pence").agg(F.count("*").alias("c"))
+    n, y, x = F.col("n"), F.col("y"), F.col("x")
+    sums = hist.groupBy(*KEYS).agg(
+        F.sum("c").alias("n"),
+        F.sum(F.expr("cast(x * c as decimal(38,0))")).alias("x"),
+        F.sum(F.expr("cast(price_pence * c as decimal(38,0))")).alias("y"),
+        F.sum(F.expr("cast(x * x * c as decimal(38,0))")).alias("xx"),
+        F.sum(F.expr("cast(x * price_pence * c as decimal(38,0))")).alias("xy"),
+    ).where(F.col("n") >= min_count)
+    slope = (n * F.col("xy") - x * y).cast("double") / F.nullif((n * F.col("xx") - x * x).cast("double"), F.lit(0.0))
+    mean = y.cast("double") / n.cast("double")
+    out = sums.select(*KEYS, F.col("n").alias("sales"), mean.alias("mean_pence"), slope.alias("slope"))
+    change = F.col("slope") * days / F.col("mean_pence")
+    return out.withColumn("direction", F.when(F.col("slope").isNull() | (F.abs(change) < 0.01), "flat").when(change > 0, "rising").otherwise("falling"))
+
+
+def deal_score(found: DataFrame, as_of: Column) -> DataFrame:
+    """score: the discount in percent, divided by the hours left and by the bids (none counts as one)."""
+    hours = (F.unix_seconds("end_time") - F.unix_seconds(as_of)) / 3600.0
+    return found.withColumn("score", F.col("discount_pct") / hours / F.greatest(F.col("bids"), F.lit(1)))
+
+
+def few_bids(found: DataFrame, most: int = 4) -> DataFrame:
+    """Deals of at most so many bids: with more the price has likely been bid up."""
+    return found.where(F.coalesce(F.col("bids"), F.lit(0)) <= most)
+
+
 def active_in_window(listings: DataFrame, as_of: Column, hours: int = 2, from_hours: int = 0) -> DataFrame:
     """Unsold listings that end within (from_hours, hours), both strict; hours is held to 1..24."""
     hours = max(1, min(24, hours))

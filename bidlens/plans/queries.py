@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, titles
-from ..operators import ingest, market, outcomes, repair
+from ..operators import ingest, market, model, outcomes, repair, runs
 from ..sources import adapters
-from ..streaming import lifecycle, refresh, upserts
+from ..sources import cards as reader
+from ..streaming import ledger as ledger_stream
+from ..streaming import lifecycle, refresh, upserts, verify
 from .sql import EXPR, NOW, build, day, ts
 
 QUERIES: dict = {}
@@ -44,12 +46,12 @@ def listings(s, d, *columns: str) -> DataFrame:
     return ingest.latest(adapters.snapshots(s, d).select("id", "seq", *(columns or LISTED)))
 
 
-def enriched(s, d, *columns: str) -> DataFrame:
-    return ingest.enrich(listings(s, d, *columns))
+def enriched(s, d, *columns: str, only: str | None = None) -> DataFrame:
+    return ingest.enrich(listings(s, d, *columns), only)
 
 
-def market_rows(s, d, *columns: str) -> DataFrame:
-    return market.market_listing(enriched(s, d, *columns))
+def market_rows(s, d, *columns: str, only: str | None = None) -> DataFrame:
+    return market.market_listing(enriched(s, d, *columns, only=only))
 
 
 def ledger(s, d) -> DataFrame:
@@ -60,6 +62,12 @@ def all_deals(s, d) -> DataFrame:
     return market.deals(market_rows(s, d), adapters.as_of())
 
 
+def ledger_and_deals(s, d) -> tuple[DataFrame, DataFrame]:
+    """Both from the same listings: their last writes are worked out once, as both plans need the same exchange."""
+    li = listings(s, d)
+    return adapters.ledger(li), market.deals(market.market_listing(ingest.enrich(li)), adapters.as_of())
+
+
 def run_log(s, d) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet")
     return e.select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("finished_at"))
@@ -100,16 +108,24 @@ def page_quality_gate(s, d):
 
 
 _CLOCK = "lpad(CAST(id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id % 60 AS VARCHAR), 2, '0')"
-_CARD = f"""('<a href="' || CASE WHEN id % 97 = 0 THEN 'https://www.example.com/shop' ELSE url END || '"></a><div class="s-card__title">'
-  || CASE WHEN id % 3 = 0 THEN '<span>New listing</span>' ELSE '' END || '<span>' || title || '</span></div><span class="s-card__price">£'
+_FEW = "CAST(id % 9 AS VARCHAR)"
+_POSTAGE = f"""CASE id % 4 WHEN 0 THEN '<span class="su-styled-text secondary large"><span>Free postage</span></span>' WHEN 1 THEN '<span class="su-styled-text secondary large"><span>+£' || CASE WHEN id % 8 = 1 THEN '<b>' || {_FEW} || '</b>' ELSE {_FEW} END || '.50 postage</span></span>' ELSE '' END"""
+_BIDDING = """CASE WHEN id % 9 = 5 THEN '<span class="su-styled-text secondary">99 bids watching</span>' ELSE '' END || '<span class="su-styled-text secondary large">1,' || lpad(CAST(bids AS VARCHAR), 3, '0') || ' bids</span>'"""
+_LINK = "(CASE WHEN id % 97 = 0 THEN 'https://www.example.com/shop' ELSE url END || CASE WHEN id % 3 = 1 THEN '?a=1{}b=2' ELSE '' END)"
+_CARD = f"""(CASE WHEN id % 7 = 3 THEN '<!-- <span class="s-card__price">£1.00</span> -->' ELSE '' END
+  || CASE WHEN id % 9 = 4 THEN '<A data-n=''1 > 0'' HREF=''' || {_LINK.format('&amp;')} || '''>' ELSE '<a href="' || {_LINK.format('&amp;')} || '">' END || '</a>'
+  || CASE WHEN id % 10 = 6 THEN '<div id=t class=''wide s-card__title''>' ELSE '<div class="s-card__title">' END
+  || CASE WHEN id % 3 = 0 THEN '<span>New listing</span>' ELSE '' END || '<span>' || CASE WHEN id % 10 = 1 THEN chr(10) || '  ' ELSE '' END || title || CASE WHEN id % 13 = 0 THEN ' &amp; box' ELSE '' END
+  || CASE WHEN id % 11 = 2 THEN '<i></i>' ELSE '' END || CASE WHEN id % 10 = 1 THEN ' &nbsp; ' ELSE '' END || '</span></div>'
+  || CASE WHEN id % 6 = 5 THEN '<br><span data-x="a > b" class=''s-card__price''>£' ELSE '<span class="s-card__price">£' END
   || coalesce(CAST(price_pence // 100 AS VARCHAR) || '.' || lpad(CAST(price_pence % 100 AS VARCHAR), 2, '0'), '') || '</span>'
-  || CASE id % 4 WHEN 0 THEN '<span class="su-styled-text secondary large"><span>Free postage</span></span>' WHEN 1 THEN '<span class="su-styled-text secondary large"><span>+£' || CAST(id % 9 AS VARCHAR) || '.50 postage</span></span>' ELSE '' END
-  || '<span class="su-styled-text secondary large">1,' || lpad(CAST(bids AS VARCHAR), 3, '0') || ' bids</span>'
+  || CASE WHEN id % 5 = 2 THEN {_BIDDING} || {_POSTAGE} ELSE {_POSTAGE} || {_BIDDING} END
   || CASE WHEN id % 6 = 0 THEN '<span class="s-item__reviews-count"><span>' || CAST(id % 1000 AS VARCHAR) || ' reviews</span></span>' ELSE '' END
-  || '<span class="s-card__time-left">' || CASE WHEN id % 2 = 0 THEN CAST(id % 24 AS VARCHAR) || 'h left' ELSE '' END || '</span><span class="s-card__time-end">'
+  || CASE WHEN id % 8 = 3 THEN '<SPAN CLASS="s-card__time-left">' ELSE '<span class="s-card__time-left">' END || CASE WHEN id % 2 = 0 THEN CAST(id % 24 AS VARCHAR) || 'h left' ELSE '' END || CASE WHEN id % 8 = 3 THEN '</SPAN>' ELSE '</span>' END
+  || '<span class="s-card__time-end">'
   || CASE id % 5 WHEN 0 THEN 'Today ' || {_CLOCK} WHEN 1 THEN ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][1 + CAST(id % 7 AS INT)] || ', ' || {_CLOCK}
     WHEN 2 THEN '(' || lpad(CAST(id % 31 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') || ', ' || {_CLOCK} || ')' WHEN 3 THEN 'soon' ELSE '' END || '</span>'
-  || CASE WHEN sold_date IS NOT NULL THEN '<span class="su-styled-text positive default">Sold ' || strftime(sold_date, '%-d %b %Y') || '</span>' ELSE '' END || '</div>')"""
+  || CASE WHEN sold_date IS NOT NULL THEN '<span class="su-styled-text positive default">Sold ' || strftime(sold_date, '%-d %b %Y') || '</span>' ELSE '' END || CASE WHEN id % 19 = 7 THEN '<p>unclosed' ELSE '' END || '</div>')"""
 
 
 @query("split_cards", f"""SELECT query, mode, CAST(n - 1 AS INT) AS position, md5(card || CASE WHEN n = count(*) OVER (PARTITION BY query, mode) THEN '</body></html>' ELSE '' END) AS card_md5
@@ -140,7 +156,7 @@ def _attrs(category: str, columns: tuple[str, ...]):
 
     @query(name, f"SELECT id, CASE WHEN id % 3 = 0 THEN {first} ELSE 'stale' END AS {first}, {rest} FROM enriched WHERE category = '{category}' AND (id % 2 = 0 OR id % 3 = 0)", "enriched")
     def attrs(s, d):
-        e = enriched(s, d).where(F.col("category") == category).select("id", *columns)
+        e = enriched(s, d, "category", "title", only=category).select("id", *columns)
         batch = e.where("id % 3 = 0").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
         batch = batch.withColumn(first, F.when(F.col("seq") == 2, F.col(first)).otherwise("first write"))
         return ingest.upsert(e.where("id % 2 = 0").withColumn(first, F.lit("stale")), batch)
@@ -170,13 +186,14 @@ def upsert_change_kind(s, d):
 
 @query("record_first_sighting", "SELECT id, surfaced_pence, 0 AS fresh FROM ledger UNION ALL SELECT id, price_pence, 1 FROM deal WHERE id NOT IN (SELECT id FROM ledger)", "ledger", "deal")
 def record_first_sighting(s, d):
-    led = ledger(s, d).select("id", "surfaced_pence", F.lit(0).alias("fresh"))
-    return outcomes.record_first_sighting(led, all_deals(s, d).select("id", F.col("price_pence").alias("surfaced_pence"), F.lit(1).alias("fresh")))
+    led, found = ledger_and_deals(s, d)
+    return outcomes.record_first_sighting(led.select("id", "surfaced_pence", F.lit(0).alias("fresh")), found.select("id", F.col("price_pence").alias("surfaced_pence"), F.lit(1).alias("fresh")))
 
 
 @query("anti_join_first_sighting", "SELECT id, label FROM deal WHERE id NOT IN (SELECT id FROM ledger)", "ledger", "deal")
 def anti_join_first_sighting(s, d):
-    return all_deals(s, d).join(ledger(s, d).select("id"), "id", "left_anti").select("id", "label")
+    led, found = ledger_and_deals(s, d)
+    return found.join(led.select("id"), "id", "left_anti").select("id", "label")
 
 
 @query("ledger_schema_upgrade", "SELECT id, surfaced_pence, false AS gave_up, false AS ended_unsold, CAST(NULL AS BIGINT) AS final_pence FROM ledger", "ledger")
@@ -198,9 +215,11 @@ def run_marker(s, d):
     "deal",
 )
 def json_export(s, d):
-    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    """Written by the JSON sink, one object a line, and read back as text."""
+    iso, path = "yyyy-MM-dd'T'HH:mm:ss", f"{upserts.shared_dir(s)}/json-{uuid.uuid4().hex}"
     cols = all_deals(s, d).select("id", "title", "price_pence", "bids", F.date_format("end_time", iso).alias("end_time"), "sold_date", "label", "discount_pct")
-    return cols.select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    cols.write.option("ignoreNullFields", "false").json(path)
+    return s.read.text(path).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), F.col("value").alias("json"))
 
 
 _CPU_TOO = "(SELECT id, model FROM enriched WHERE category = 'CPU' OR (category = 'GPU' AND id % 10 = 0))"
@@ -260,26 +279,36 @@ _TODAY = f"CASE WHEN id % 5 = 0 THEN {_MIDNIGHT} + {_HM} + INTERVAL 7 HOUR END"
 _WEEK = f"CASE WHEN id % 5 = 1 THEN {_MIDNIGHT} + to_days(CAST((id % 7 - 5 + 7) % 7 AS INT)) + {_HM} + INTERVAL 7 HOUR + CASE WHEN id % 7 = 5 AND {_MIDNIGHT} + {_HM} <= {NOW} THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END END"
 _ON = "try_cast(y || '-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 31 + 1 AS VARCHAR), 2, '0') AS TIMESTAMP)"
 _DATE = f"CASE WHEN id % 5 = 2 THEN CASE WHEN {_ON.replace('y ||', chr(39) + '2024' + chr(39) + ' ||', 1)} + {_HM} < {NOW} THEN {_ON.replace('y ||', chr(39) + '2025' + chr(39) + ' ||', 1)} ELSE {_ON.replace('y ||', chr(39) + '2024' + chr(39) + ' ||', 1)} END + {_HM} + INTERVAL 7 HOUR END"
+# what the first of the secondary elements says: nothing of postage where the bids come first
+_SHIPPING = "CASE WHEN id % 5 = 2 THEN 0.0::DOUBLE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN id % 9 + 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+_TITLE = "title || CASE WHEN id % 13 = 0 THEN ' & box' ELSE '' END"
+
+
+def _end(f):
+    return F.date_format(f(F.btrim("end", F.lit(" ()")), adapters.as_of()), "yyyy-MM-dd HH:mm:ss")
+
+
 CARD = {
-    "parse_price": (fields.parse_card_price, "price_pence / 100.0::DOUBLE"),
-    "parse_title": (fields.parse_title, "title"),
-    "parse_shipping": (fields.parse_shipping, "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id % 9 + 0.5::DOUBLE ELSE 0.0::DOUBLE END"),
-    "parse_bids": (fields.parse_bids, "CAST(1000 + bids AS INT)"),
-    "parse_reviews": (fields.parse_reviews, "CAST(CASE WHEN id % 6 = 0 THEN id % 1000 ELSE 0 END AS INT)"),
-    "parse_item_id": (fields.parse_item_id, "CASE WHEN id % 97 <> 0 THEN id END"),
-    "parse_time_left": (fields.parse_time_left, "CASE WHEN id % 2 = 0 THEN CAST(id % 24 AS VARCHAR) || 'h left' ELSE '' END"),
-    "parse_sold_date": (lambda c: F.date_format(fields.parse_card_sold(c), "yyyy-MM-dd"), day("sold_date")),
-    "parse_end_time_today": (lambda c: F.date_format(fields.parse_end_time_today(fields.parse_card_end(c), adapters.as_of()), "yyyy-MM-dd HH:mm:ss"), ts(_TODAY)),
-    "parse_end_time_weekday": (lambda c: F.date_format(fields.parse_end_time_weekday(fields.parse_card_end(c), adapters.as_of()), "yyyy-MM-dd HH:mm:ss"), ts(_WEEK)),
-    "parse_end_time_date": (lambda c: F.date_format(fields.parse_end_time_date(F.btrim(fields.parse_card_end(c), F.lit("()")), adapters.as_of()), "yyyy-MM-dd HH:mm:ss"), ts(_DATE)),
-    "parse_end_time": (lambda c: F.date_format(fields.parse_end_time(fields.parse_card_end(c), adapters.as_of()), "yyyy-MM-dd HH:mm:ss"), ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")),
+    "parse_price": (lambda: fields.parse_price(F.col("cost")), "price_pence / 100.0::DOUBLE"),
+    "parse_title": (lambda: F.col("title"), _TITLE),
+    "parse_shipping": (lambda: fields.parse_shipping(F.col("postage")), _SHIPPING),
+    "parse_bids": (lambda: fields.parse_count(F.col("bidding")), "CAST(1000 + bids AS INT)"),
+    "parse_reviews": (lambda: fields.parse_count(F.col("reviews")), "CAST(CASE WHEN id % 6 = 0 THEN id % 1000 ELSE 0 END AS INT)"),
+    "parse_item_id": (lambda: fields.parse_item_id(F.col("link")), "CASE WHEN id % 97 <> 0 THEN id END"),
+    "parse_time_left": (lambda: F.coalesce("left", F.lit("")), "CASE WHEN id % 2 = 0 THEN CAST(id % 24 AS VARCHAR) || 'h left' ELSE '' END"),
+    "parse_sold_date": (lambda: F.date_format(fields.parse_sold_date(F.col("sale")), "yyyy-MM-dd"), day("sold_date")),
+    "parse_end_time_today": (lambda: _end(fields.parse_end_time_today), ts(_TODAY)),
+    "parse_end_time_weekday": (lambda: _end(fields.parse_end_time_weekday), ts(_WEEK)),
+    "parse_end_time_date": (lambda: _end(fields.parse_end_time_date), ts(_DATE)),
+    "parse_end_time": (lambda: _end(fields.parse_end_time), ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")),
 }
 
 
 def _card_query(name, expr, sql):
-    @query(name, f"SELECT id, {sql} AS value FROM snap", "snap")
+    @query(name, f"SELECT s.id, {sql} AS value FROM snap s", "snap")
     def parse(s, d):
-        return adapters.cards(s, d).select("id", expr(F.col("card")).alias("value"))
+        """From the card's element, as the reader finds it."""
+        return reader.read(adapters.cards(s, d).select(F.col("id").alias("number"), "card")).select(F.col("number").alias("id"), expr().alias("value"))
 
 
 for _n, (_e, _s) in CARD.items():
@@ -303,15 +332,15 @@ def search_url(s, d):
     return adapters.snapshots(s, d).select("id", fields.search_url(F.col("title"), one_of(fields.COUNTRIES, n[0]), one_of(fields.CONDITIONS, n[2]), one_of(fields.TYPES, n[3]), one_of(fields.MODES, n[1])).alias("search"))
 
 
-_NORMAL = f"""SELECT query, mode, id, title, price_pence / 100.0::DOUBLE AS price, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id % 9 + 0.5::DOUBLE ELSE 0.0::DOUBLE END AS shipping,
-  CAST(1000 + bids AS INT) AS bid_count, {ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")} AS time_end, {day('sold_date')} AS sold_date FROM snap WHERE id % 97 <> 0 AND price_pence IS NOT NULL"""
+_NORMAL = f"""SELECT query, mode, id, {_TITLE} AS title, price_pence / 100.0::DOUBLE AS price, {_SHIPPING} AS shipping,
+  CAST(1000 + bids AS INT) AS bid_count, {ts(f"coalesce({_TODAY}, {_WEEK}, {_DATE})")} AS time_end, {day('sold_date')} AS sold_date, {_LINK.format('&')} AS url FROM snap WHERE id % 97 <> 0 AND price_pence IS NOT NULL"""
 
 
 @query("normalise_listing", _NORMAL, "snap")
 def normalise_listing(s, d):
     """From pages: the latest page of each query, cut into cards, each card into a typed row."""
     c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d)))
-    return ingest.normalise(c, adapters.as_of()).select("query", "mode", "id", "title", "price", "shipping", "bid_count", stamp("time_end"), date("sold_date"))
+    return ingest.normalise(c, adapters.as_of()).select("query", "mode", "id", "title", "price", "shipping", "bid_count", stamp("time_end"), date("sold_date"), "url")
 
 
 @query(
@@ -326,6 +355,21 @@ def card_quarantine(s, d):
     return ingest.quarantine(c, adapters.as_of(), ["category"])
 
 
+@query(
+    "land_cards",
+    f"""SELECT *, CAST(sum(rows_) OVER () AS BIGINT) AS observed FROM (SELECT lack, count(*) AS rows_, count(DISTINCT md5(card)) AS cards FROM (SELECT CASE WHEN price_pence IS NULL THEN 'price' WHEN id % 97 = 0 THEN 'id' END AS lack,
+      card || CASE WHEN n = count(*) OVER (PARTITION BY query, mode) THEN '</body></html>' ELSE '' END AS card FROM (SELECT *, row_number() OVER (PARTITION BY query, mode ORDER BY card) AS n FROM (SELECT *, {_CARD} AS card FROM snap))) WHERE lack IS NOT NULL GROUP BY lack)""",
+    "snap",
+)
+def land_cards(s, d):
+    """What lies in quarantine after one pass over the pages, by lack, and how many such cards that pass observed."""
+    path = f"{upserts.shared_dir(s)}/cards-{uuid.uuid4().hex}"
+    c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d)))
+    seen = ingest.land_cards(c, path, adapters.as_of())
+    out = ingest.quarantined_cards(s, path).groupBy("lack").agg(F.count("*").alias("rows_"), F.count_distinct(F.md5("card")).alias("cards"))
+    return out.withColumn("observed", F.lit(seen["no_title"] + seen["no_price"] + seen["no_id"]).cast("long"))
+
+
 # -- title attributes ------------------------------------------------------------------------
 
 
@@ -446,7 +490,7 @@ def join_composite_nullsafe(s, d):
 
 @query("join_composite_plain", f"SELECT m.id, m.ram_type, m.capacity_gb, c.avg_pence FROM {_STAT_JOIN} WHERE m.category = 'RAM'", "clean5")
 def join_composite_plain(s, d):
-    m = market_rows(s, d).where("category = 'RAM'")
+    m = market_rows(s, d, *PRICED, only="RAM")
     return m.join(market.clean_stats(m).select("k1", "k2", "avg_pence"), ["k1", "k2"]).select("id", "ram_type", "capacity_gb", "avg_pence")
 
 
@@ -490,7 +534,7 @@ def clean_stats(s, d):
 def _guide(category: str):
     @query(f"price_guide_{category.lower()}", f"SELECT {_CLEAN} FROM clean3 WHERE category = '{category}'", "clean3")
     def guide(s, d):
-        m = market_rows(s, d).where(F.col("category") == category)
+        m = market_rows(s, d, *PRICED, only=category)
         order = [F.desc("avg_pence"), "k1"] if category in ("GPU", "CPU") else ["k1", "k2"]
         return market.price_guide(m).orderBy(*order)
 
@@ -547,14 +591,14 @@ def _list(value: str) -> str:
       (SELECT query, mode, avg({value}) AS m, coalesce(stddev_samp({value}), 0) AS sd, min({value}) AS lo, max({value}) AS hi FROM snap GROUP BY ALL) t USING (query, mode) WHERE v IS NOT NULL AND (lo = hi OR v BETWEEN m - sd AND m + sd) GROUP BY ALL)"""
 
 
-_SHIP = "CAST(CASE id % 4 WHEN 1 THEN 100 * (id % 9) + 50 ELSE 0 END AS BIGINT)"
+_SHIP = "CAST(CASE WHEN id % 5 <> 2 AND id % 4 = 1 THEN 100 * (id % 9) + 50 ELSE 0 END AS BIGINT)"
 
 
 @query("page_price_summary", f"SELECT query, mode, coalesce(p.l, '') AS price_list, coalesce(q.l, '') AS shipping_list FROM (SELECT DISTINCT query, mode FROM snap) LEFT JOIN {_list('price_pence')} p USING (query, mode) LEFT JOIN {_list(_SHIP)} q USING (query, mode)", "snap")
 def page_price_summary(s, d):
     """The trimmed lists as text, which compares alike everywhere."""
-    c = adapters.cards(s, d)
-    rows = c.select("query", "mode", F.round(fields.parse_card_price(F.col("card")) * 100).cast("long").alias("price_pence"), F.round(fields.parse_shipping(F.col("card")) * 100).cast("long").alias("ship_pence"))
+    c = reader.read(adapters.cards(s, d).select("query", "mode", "card"))
+    rows = c.select("query", "mode", F.round(fields.parse_price(F.col("cost")) * 100).cast("long").alias("price_pence"), F.round(fields.parse_shipping(F.col("postage")) * 100).cast("long").alias("ship_pence"))
     text = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("price_list", "shipping_list")]
     return ingest.page_price_summary(rows, ["query", "mode"]).select("query", "mode", *text)
 
@@ -569,6 +613,44 @@ def latest_snapshot(s, d):
     return shown(listings(s, d))
 
 
+def store_of(s, d) -> model.Store:
+    """The listing table and its market model after three batches of snapshots."""
+    n = adapters.snapshots(s, d)
+    kept = model.Store(s, f"{upserts.shared_dir(s)}/store-{uuid.uuid4().hex}")
+    day = F.col("seq.ship")
+    for number, (lo, hi) in enumerate((("1900-01-01", "1994-01-01"), ("1994-01-01", "1996-06-01"), ("1996-06-01", "2100-01-01"))):
+        kept.merge(n.where((day >= F.lit(lo).cast("timestamp")) & (day < F.lit(hi).cast("timestamp"))), number)
+    return kept
+
+
+@query("model_clean_stats", f"SELECT {_CLEAN} FROM clean5", "clean5")
+def model_clean_stats(s, d):
+    """The market model kept batch by batch, with retractions."""
+    return store_of(s, d).clean_stats()
+
+
+@query("listing_table", f"SELECT {LISTING}, category, sold_date IS NOT NULL AS is_sold FROM listing WHERE category = 'GPU'", "listing")
+def listing_table(s, d):
+    """One category's partitions of the listing table, after three batches."""
+    return store_of(s, d).listing().where("category = 'GPU'").select("id", "title", "price_pence", "bids", stamp("end_time"), date("sold_date"), "url", "category", "is_sold")
+
+
+_SINCE = "1995-06-01"
+
+
+@query(
+    "market_trend",
+    f"""SELECT category, k1, k2, sales, mean_pence, slope, CASE WHEN slope IS NULL OR abs(slope * 30 / mean_pence) < 0.01 THEN 'flat' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS direction FROM
+      (SELECT category, k1, k2, count(*) AS sales, round(avg(price_pence), 4) AS mean_pence, round(CASE WHEN count(DISTINCT sold_date) > 1 THEN regr_slope(price_pence, date_diff('day', DATE '{_SINCE}', sold_date)) END, 4) AS slope
+       FROM sold WHERE price_pence IS NOT NULL AND sold_date > DATE '{_SINCE}' - 30 AND sold_date <= DATE '{_SINCE}' GROUP BY ALL HAVING count(*) >= 5)""",
+    "sold",
+)
+def market_trend(s, d):
+    """The 30 days before a day of the listings' time."""
+    t = market.trend(market_rows(s, d, *PRICED), F.lit(_SINCE).cast("timestamp"))
+    return t.select("category", "k1", "k2", "sales", F.round("mean_pence", 4).alias("mean_pence"), F.round("slope", 4).alias("slope"), "direction")
+
+
 # -- deals, outcomes --------------------------------------------------------------------------
 
 DEAL = {"GPU": "brand, model, vram", "CPU": "brand, model, socket, cores", "HDD": "brand, capacity_gb, interface, form_factor, rpm", "RAM": "brand, ram_type, capacity_gb, speed"}
@@ -577,7 +659,7 @@ DEAL = {"GPU": "brand, model, vram", "CPU": "brand, model, socket, cores", "HDD"
 def _deals(category: str, columns: str):
     @query(f"deals_{category.lower()}", f"SELECT id, title, url, bids, {ts('end_time')} AS end_time, {columns}, label, price_pence / 100.0::DOUBLE AS price, avg_pence / 100.0::DOUBLE AS avg_price, min_pence / 100.0::DOUBLE AS min_price, max_pence / 100.0::DOUBLE AS max_price, gain_pence / 100.0::DOUBLE AS potential_gain, discount_pct FROM deal WHERE category = '{category}'", "deal")
     def one(s, d):
-        m = market_rows(s, d).where(F.col("category") == category)
+        m = market_rows(s, d, only=category)
         p = market.pounds
         found = market.deals(m, adapters.as_of()).select("id", "title", "url", "bids", stamp("end_time"), *columns.split(", "), "label", p("price_pence").alias("price"), p("avg_pence").alias("avg_price"), p("min_pence").alias("min_price"), p("max_pence").alias("max_price"), p("gain_pence").alias("potential_gain"), "discount_pct")
         return found.orderBy(F.desc("potential_gain"), "id")
@@ -712,6 +794,53 @@ def targeted_refresh(s, d):
     return ingest.match_by_id(due, adapters.snapshots(s, d)).select("id", "title", "price_pence", "bids")
 
 
+_OLDEST = "(SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
+_FRESH = f"(SELECT s.* FROM snap s JOIN {_DUE} x USING (id) WHERE x.due AND s.mode = 'active' QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.seq DESC) = 1)"
+
+
+def refreshed(s, d) -> tuple[DataFrame, DataFrame]:
+    """The listings as first seen, refreshed by the latest active sightings of those that are due."""
+    n = adapters.snapshots(s, d)
+    a = outcomes.active_deals(upcoming(s, d), listings(s, d), adapters.as_of())
+    due = outcomes.refresh_due(a, refresh_state(s, d), adapters.as_of()).where("due").select("id")
+    old = n.groupBy("id").agg(F.min_by(F.struct(*ingest.SNAPSHOT), "seq").alias("r")).select("id", "r.*")
+    return ingest.targeted_refresh(due, n, old)
+
+
+@query("targeted_refresh_upsert", f"SELECT {LISTING} FROM {_FRESH} UNION ALL SELECT {LISTING} FROM {_OLDEST} WHERE id NOT IN (SELECT id FROM {_FRESH})", "led")
+def targeted_refresh_upsert(s, d):
+    return shown(refreshed(s, d)[0])
+
+
+@query(
+    "targeted_refresh_totals",
+    f"""SELECT (SELECT count(*) FROM {_DUE} WHERE due) AS due, count(*) AS found, CAST(0 AS BIGINT) AS inserted, count(*) FILTER (WHERE NOT same) AS updated, count(*) FILTER (WHERE same) AS unchanged FROM
+      (SELECT n.title = o.title AND n.price_pence IS NOT DISTINCT FROM o.price_pence AND n.bids = o.bids AND n.end_time = o.end_time AND n.sold_date IS NOT DISTINCT FROM o.sold_date AS same FROM {_FRESH} n JOIN {_OLDEST} o USING (id))""",
+    "led",
+)
+def targeted_refresh_totals(s, d):
+    return refreshed(s, d)[1]
+
+
+@query(
+    "stream_verify",
+    """WITH d AS (SELECT event_id AS deal, user_id * 8 + event_id % 8 AS id, ts + INTERVAL 12 HOUR AS end_time FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL AND ts IS NOT NULL),
+  p AS (SELECT user_id * 8 + event_id % 8 AS id, event_id AS seq, value AS price, event_id % 30 AS bids, ts, event_type = 'purchase' AS sold FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND (event_type = 'click' OR (event_type = 'purchase' AND event_id % 4 <> 0))),
+  w AS (SELECT least((SELECT max(ts) FROM p) - INTERVAL 1 DAY, (SELECT max(end_time) FROM d) - INTERVAL 2 DAY) AS mark),
+  j AS (SELECT d.*, p.seq, p.price, p.bids, p.ts, p.sold FROM d LEFT JOIN p ON p.id = d.id AND p.ts > end_time + INTERVAL 6 HOUR AND p.ts < end_time + INTERVAL 7 DAY),
+  r AS (SELECT deal, id, end_time, max_by(struct_pack(ts := ts, price := price, bids := bids), seq) FILTER (WHERE sold) AS s, count(*) FILTER (WHERE NOT sold) AS c, count(seq) AS pages FROM j GROUP BY ALL)
+  SELECT deal, id, CASE WHEN s IS NOT NULL THEN 'SOLD' WHEN c > 0 THEN 'UNSOLD' ELSE 'PENDING' END AS status, strftime(CASE WHEN s IS NOT NULL THEN s.ts WHEN c > 0 THEN end_time END, '%Y-%m-%d') AS sold_date,
+    CAST(trunc(s.price * 100) AS BIGINT) AS price_pence, CAST(s.bids AS INT) AS bids, s IS NULL AND c > 0 AS ended_unsold FROM r, w WHERE pages > 0 OR end_time + INTERVAL 7 DAY < mark""",
+)
+def stream_verify(s, d):
+    return verify.run(s, d).select("deal", "id", "status", date("sold_date"), "price_pence", "bids", "ended_unsold")
+
+
+@query("stream_first_sighting", "SELECT user_id * 16 + event_id % 16 AS id, value, event_id AS at FROM events WHERE user_id IS NOT NULL AND event_type <> 'error' AND (user_id * 16 + event_id % 16) % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id * 16 + event_id % 16 ORDER BY event_id) = 1")
+def stream_first_sighting(s, d):
+    return ledger_stream.run(s, d)
+
+
 @query("stream_upsert", "SELECT user_id AS id, round(value, 6) AS price, CASE event_type WHEN 'purchase' THEN 'sold' ELSE 'active' END AS mode, event_id AS seq FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_upsert(s, d):
     return upserts.run(s, d).select("id", F.round("price", 6).alias("price"), "mode", "seq")
@@ -730,19 +859,23 @@ def stream_refresh_due(s, d):
     return refresh.run(s, d)
 
 
-@query("stream_deal_lifecycle", "SELECT user_id AS id, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'SOLD' ELSE 'PENDING' END AS status, min(event_id) FILTER (WHERE event_type = 'purchase') AS sale FROM events WHERE event_type <> 'error' GROUP BY 1")
+_DEALS = """e AS (SELECT user_id * 16 + event_id % 16 AS id, CASE WHEN event_type = 'purchase' THEN 'sold' WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'completed' ELSE 'active' END AS mode, event_id AS seq, epoch_us(ts) // 1000 AS ms,
+    epoch_ms(TIMESTAMP '2024-01-01') + (user_id * 16 + event_id % 16) * 37 % 720 * 3600000 + 604800000 AS over FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  f AS (SELECT id, CASE WHEN count(*) FILTER (WHERE mode = 'sold') > 0 THEN 'SOLD' WHEN count(*) FILTER (WHERE mode = 'completed') > 0 THEN 'UNSOLD' WHEN over < (SELECT max(ms) - 86400000 FROM e) THEN 'GAVE_UP' ELSE 'PENDING' END AS status,
+    min(seq) FILTER (WHERE mode = 'sold') AS sale FROM e WHERE ms < over GROUP BY id, over)"""
+
+
+@query("stream_deal_lifecycle", f"WITH {_DEALS} SELECT id, status, sale FROM f")
 def stream_deal_lifecycle(s, d):
-    return lifecycle.run(s, d)
+    return lifecycle.run(s, d)[0]
 
 
-@query(
-    "stream_deal_outcomes",
-    """SELECT user_id AS id, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'SOLD'
-      WHEN epoch_ms(max(ts)) + 7 * 86400000 < (SELECT epoch_ms(max(ts)) - 86400000 FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND user_id IS NOT NULL) THEN 'GAVE_UP' ELSE 'PENDING' END AS status,
-      min(event_id) FILTER (WHERE event_type = 'purchase') AS sale FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1""",
-)
+@query("stream_deal_outcomes", f"WITH {_DEALS} SELECT status, count(*) AS deals, min(id) AS first_id FROM f GROUP BY 1 UNION ALL SELECT 'LATE', count(*), min(id) FROM e WHERE ms >= over HAVING count(*) > 0")
 def stream_deal_outcomes(s, d):
-    return lifecycle.outcomes(s, d)
+    """Deals by their last state, and how many sightings came a week or more after the deal's end."""
+    last, late = lifecycle.run(s, d)
+    rows = last.select("id", "status").unionByName(late.select("id", F.lit("LATE").alias("status")))
+    return rows.groupBy("status").agg(F.count("*").alias("deals"), F.min("id").alias("first_id"))
 
 
 _RUN = f"""WITH seen AS (SELECT s.id, s.category, s.title, s.price_pence, s.sold_date, s.mode, s.query, k.n FROM snap s JOIN
@@ -752,28 +885,63 @@ last_ AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 """
 
 
-@query("full_run")
-def full_run(s, d):
-    """Pages to market in one job for all categories; rows that can't be read don't stop it (`card_quarantine`
-    counts them)."""
-    c = ingest.split_cards(ingest.landed_pages(adapters.raw_pages(s, d)))
+def _run_of(pages: DataFrame, only: str | None = None) -> DataFrame:
+    """Pages to market products, of one category or all."""
+    c = ingest.split_cards(ingest.landed_pages(pages))
     rows = ingest.normalise(c, adapters.as_of()).select("query", "mode", "position", "id", "title", "sold_date", F.substring("query", 1, 3).alias("category"), F.round(F.col("price") * 100).cast("long").alias("price_pence"))
     kept = ingest.trim_one_sigma(rows, ["query", "mode"])
     both = ingest.sold_plus_active(kept.where("mode = 'sold'"), kept.where("mode = 'active'")).select("id", "category", "title", "price_pence", "sold_date", F.struct("mode_seq", "query", "position").alias("seq"))
-    m = market.market_listing(ingest.enrich(ingest.latest(both)))
+    m = market.market_listing(ingest.enrich(ingest.latest(both), only))
     return m.groupBy("category", "k1", "k2").agg(F.count("*").alias("listings"), F.count_if(F.col("sold_date").isNotNull()).alias("sold"), F.sum("price_pence").alias("total_pence"))
 
 
-def _full_run_sql() -> str:
-    """The shared statements, on this run's listings in place of the latest snapshots."""
-    ctes = build("", "market").rstrip()
-    old = "listing AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
-    assert old in ctes
-    run = _RUN.strip().removeprefix("WITH ") + ",\nlisting AS (SELECT * FROM last_)"
-    return ctes.replace(old, run) + "\nSELECT category, k1, k2, count(*) AS listings, count(*) FILTER (WHERE sold_date IS NOT NULL) AS sold, CAST(sum(price_pence) AS BIGINT) AS total_pence FROM market GROUP BY ALL"
+@query("full_run")
+def full_run(s, d):
+    """Pages to market in one job for all categories; rows that can't be read don't stop it (`card_quarantine`
+    counts them)."""
+    return _run_of(adapters.raw_pages(s, d))
+
+
+def isolated(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, log, marker) of a run of one job a category over pages landed by category."""
+    base, run = f"{upserts.shared_dir(s)}/runs-{uuid.uuid4().hex}", "1"
+    schema = "query string, mode string, fetched_at timestamp, html string, category string"
+    adapters.raw_pages(s, d).withColumn("category", F.substring("query", 1, 3)).write.partitionBy("category").parquet(f"{base}/pages")
+    pages = s.read.schema(schema).parquet(f"{base}/pages")
+    log = runs.run_all(s, base, run, adapters.CATEGORIES, lambda c: _run_of(pages.where(F.col("category") == c).drop("category"), c).drop("category"))
+    return runs.results(s, base, run, "k1 string, k2 string, listings long, sold long, total_pence long"), log, runs.marker(s, base)
+
+
+_PRODUCTS = "SELECT category, k1, k2, count(*) AS listings, count(*) FILTER (WHERE sold_date IS NOT NULL) AS sold, CAST(sum(price_pence) AS BIGINT) AS total_pence FROM market GROUP BY ALL"
+_OF_RUN = _RUN.strip().removeprefix("WITH ") + ",\nlisting AS (SELECT * FROM last_)"
+SQL["full_run"] = build(_PRODUCTS, "market", listing=_OF_RUN)
+
+
+def _each(category: str) -> str:
+    """The last sightings of the run among one category's pages."""
+    return f"(SELECT * FROM kept WHERE left(query, 3) = '{category}' QUALIFY row_number() OVER (PARTITION BY id ORDER BY mode = 'active' DESC, query DESC, n DESC) = 1)"
+
 
+_BY_CATEGORY = _OF_RUN.replace("listing AS (SELECT * FROM last_)", "listing AS (" + " UNION ALL ".join(f"SELECT * FROM {_each(c)}" for c in adapters.CATEGORIES) + ")")
 
-SQL["full_run"] = _full_run_sql()
+
+@query("full_run_isolated")
+def full_run_isolated(s, d):
+    """The products of each category, by jobs of their own."""
+    return isolated(s, d)[0].select("category", "k1", "k2", "listings", "sold", "total_pence")
+
+
+SQL["full_run_isolated"] = build(_PRODUCTS, "market", listing=_BY_CATEGORY)
+
+
+@query("run_totals", build("SELECT category, 1 AS attempts, true AS ok, count(*) AS products, CAST(sum(listings) AS BIGINT) AS listings, true AS marked FROM (" + _PRODUCTS + ") GROUP BY 1", "market", listing=_BY_CATEGORY))
+def run_totals(s, d):
+    """How each category's job went, with what it gave, and whether the marker stands after all of them."""
+    found, log, marker = isolated(s, d)
+    ended = marker.join(log.agg(F.max("ended").alias("last")), how="cross").select((F.col("last_scrape_at") >= F.col("last")).alias("marked"))  # one row each
+    tries = log.groupBy("category").agg(F.count("*").cast("int").alias("attempts"), F.bool_or("ok").alias("ok"))
+    given = found.groupBy("category").agg(F.count("*").alias("products"), F.sum("listings").alias("listings"))
+    return tries.join(given, "category", "left").join(F.broadcast(ended), how="cross").select("category", "attempts", "ok", "products", "listings", "marked")  # a row a category, one marker
 
 
 # -- presentation -----------------------------------------------------------------------------
@@ -784,6 +952,16 @@ def deal_filter(s, d):
     return all_deals(s, d).where(F.col("brand").isin("Asus", "Intel", "Seagate", "Corsair") & (F.col("discount_pct") >= 30) & (F.col("gain_pence") >= 50_000)).select("id", "brand", "discount_pct")
 
 
+@query("deal_score", f"SELECT id, round(discount_pct / ((epoch(end_time) - epoch({NOW})) / 3600.0::DOUBLE) / greatest(bids, 1), 6) AS score FROM deal", "deal")
+def deal_score(s, d):
+    return market.deal_score(all_deals(s, d), adapters.as_of()).select("id", F.round("score", 6).alias("score"))
+
+
+@query("few_bids", "SELECT id, bids FROM deal WHERE bids < 5", "deal")
+def few_bids(s, d):
+    return market.few_bids(all_deals(s, d)).select("id", "bids")
+
+
 @query("coming_up", f"SELECT id, {ts('end_time')} AS end_time FROM market WHERE sold_date IS NULL AND end_time > {NOW} + INTERVAL 2 HOUR AND end_time < {NOW} + INTERVAL 6 HOUR", "market")
 def coming_up(s, d):
     return market.active_in_window(market_rows(s, d), adapters.as_of(), 6, 2).select("id", stamp("end_time"))

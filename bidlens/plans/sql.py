@@ -119,8 +119,8 @@ _DEPS = {
 }
 
 
-def build(select: str, *names: str) -> str:
-    """select with the CTEs that it names and all that those need."""
+def build(select: str, *names: str, **instead: str) -> str:
+    """select with the CTEs that it names and all that those need; `instead` gives whole texts that stand for some."""
     out: list[str] = []
 
     def add(n):
@@ -131,7 +131,7 @@ def build(select: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in out) + "\n" if out else "") + select
+    return ("WITH " + ",\n".join(instead.get(n) or f"{n} AS ({CTES[n]})" for n in out) + "\n" if out else "") + select
 
 
 def ts(c: str) -> str:

@@ -50,7 +50,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result card's markup for each sighting."""
+    """A result card's markup for each sighting. By id, some have comments, references, white space, elements in titles, attributes in
+    other quotes, order and case, a class that only begins like the bids', bids before postage, or a tag left open."""
     s = snapshots(spark, sf_dir)
     clock = F.format_string("%02d:%02d", F.col("id") % 24, F.col("id") % 60)
     days = F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])
@@ -62,27 +63,42 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
     )
     pounds = F.format_string("%d.%02d", F.floor(F.col("price_pence") / 100), F.col("price_pence") % 100)
+
+    def on(m: int, r: int, text, other=""):
+        """text where the id leaves r by m, else the other."""
+        return F.when(F.col("id") % m == r, text).otherwise(other)
+
+    link = F.concat(on(97, 0, "https://www.example.com/shop", F.col("url")), on(3, 1, "?a=1&amp;b=2"))
+    few = (F.col("id") % 9).cast("string")
+    postage = on(4, 0, '<span class="su-styled-text secondary large"><span>Free postage</span></span>', on(4, 1, F.concat(F.lit('<span class="su-styled-text secondary large"><span>+£'), on(8, 1, F.concat(F.lit("<b>"), few, F.lit("</b>")), few), F.lit(".50 postage</span></span>"))))
+    bidding = F.concat(on(9, 5, '<span class="su-styled-text secondary">99 bids watching</span>'), F.lit('<span class="su-styled-text secondary large">'), F.format_string("1,%03d bids", F.col("bids")), F.lit("</span>"))
     card = F.concat(
-        F.lit('<div class="su-card-container su-card-container--horizontal"><a href="'),
-        F.when(F.col("id") % 97 == 0, "https://www.example.com/shop").otherwise(F.col("url")),
-        F.lit('"></a><div class="s-card__title">'),
-        F.when(F.col("id") % 3 == 0, "<span>New listing</span>").otherwise(""),
+        F.lit('<div class="su-card-container su-card-container--horizontal">'),
+        on(7, 3, '<!-- <span class="s-card__price">£1.00</span> -->'),
+        on(9, 4, F.concat(F.lit("<A data-n='1 > 0' HREF='"), link, F.lit("'>")), F.concat(F.lit('<a href="'), link, F.lit('">'))),
+        F.lit("</a>"),
+        on(10, 6, "<div id=t class='wide s-card__title'>", '<div class="s-card__title">'),
+        on(3, 0, "<span>New listing</span>"),
         F.lit("<span>"),
+        on(10, 1, "\n  "),
         F.col("title"),
-        F.lit('</span></div><span class="s-card__price">£'),
+        on(13, 0, " &amp; box"),
+        on(11, 2, "<i></i>"),
+        on(10, 1, " &nbsp; "),
+        F.lit("</span></div>"),
+        on(6, 5, "<br><span data-x=\"a > b\" class='s-card__price'>£", '<span class="s-card__price">£'),
         F.when(F.col("price_pence").isNotNull(), pounds).otherwise(""),
         F.lit("</span>"),
-        F.when(F.col("id") % 4 == 0, '<span class="su-styled-text secondary large"><span>Free postage</span></span>').when(F.col("id") % 4 == 1, F.concat(F.lit('<span class="su-styled-text secondary large"><span>+£'), (F.col("id") % 9).cast("string"), F.lit(".50 postage</span></span>"))).otherwise(""),
-        F.lit('<span class="su-styled-text secondary large">'),
-        F.format_string("1,%03d bids", F.col("bids")),
-        F.lit("</span>"),
-        F.when(F.col("id") % 6 == 0, F.concat(F.lit('<span class="s-item__reviews-count"><span>'), (F.col("id") % 1000).cast("string"), F.lit(" reviews</span></span>"))).otherwise(""),
-        F.lit('<span class="s-card__time-left">'),
-        F.when(F.col("id") % 2 == 0, F.concat((F.col("id") % 24).cast("string"), F.lit("h left"))).otherwise(""),
-        F.lit('</span><span class="s-card__time-end">'),
+        on(5, 2, F.concat(bidding, postage), F.concat(postage, bidding)),
+        on(6, 0, F.concat(F.lit('<span class="s-item__reviews-count"><span>'), (F.col("id") % 1000).cast("string"), F.lit(" reviews</span></span>"))),
+        on(8, 3, '<SPAN CLASS="s-card__time-left">', '<span class="s-card__time-left">'),
+        on(2, 0, F.concat((F.col("id") % 24).cast("string"), F.lit("h left"))),
+        on(8, 3, "</SPAN>", "</span>"),
+        F.lit('<span class="s-card__time-end">'),
         end,
         F.lit("</span>"),
         F.when(F.col("sold_date").isNotNull(), F.concat(F.lit('<span class="su-styled-text positive default">Sold '), F.date_format("sold_date", "d MMM yyyy"), F.lit("</span>"))).otherwise(""),
+        on(19, 7, "<p>unclosed"),
         F.lit("</div>"),
     )
     return s.select("query", "mode", "category", "id", "seq", card.alias("card"))

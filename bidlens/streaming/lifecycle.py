@@ -1,5 +1,5 @@
-"""Deal lifecycle as a stateful stream: PENDING until a sale is seen (SOLD) or a completed page shows the deal
-without one (UNSOLD), GAVE_UP a week after the last sighting. Late rows of deals given up go to a side table."""
+"""Deal lifecycle as a stateful stream: PENDING until a sale is seen (SOLD) or a completed page shows the deal without one
+(UNSOLD), GAVE_UP a week after the deal's end. What comes for a deal after that goes to a side table."""
 
 from __future__ import annotations
 
@@ -9,83 +9,96 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .upserts import shared_dir, snapshots
+from .upserts import SCHEMA, run_to_end, shared_dir, with_state_store
 
-OUT = "id long, status string, sale long, batch long, late long"
-STATE = "sale long, n long, unsold boolean, over boolean"
+OUT = "id long, status string, sale long, turn long, late long"
 WEEK_MS = 7 * 86400 * 1000
-#: How long a settled deal's state is kept after its last sighting or its giving up.
+#: How long after a deal's end its state is kept.
 KEEP_MS = 5 * WEEK_MS
 
 
-def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of one deal: the first sale's seq, or none, when it was written last, whether a completed
-    page was seen, and whether it was given up. An event-time timer a week after the latest sighting gives a
-    deal up; sightings after that open it again, but for those before the watermark, which are late. A settled deal (sold,
-    unsold or given up) is forgotten five weeks on; a row before the watermark for a deal that is not known is late too. Writes are
-    ordered by the watermark, and by one more than the last, so that what is written after forgetting comes later."""
-    mark = state.getCurrentWatermarkMs()
-    known = state.exists
-    sale, count, unsold, over = state.getOption or (-1, 0, False, False)
-    turn = max(count + 1, mark)
-    if state.hasTimedOut:
-        if over or unsold or sale >= 0:
-            state.remove()
+class Lifecycle(StatefulProcessor):
+    """The state of one deal: `deal` (its latest end, how often its state was written, whether it was given up) and `seen`, the first
+    seq by the mode of the pages that showed it. A timer a week after the end gives an open deal up; another five weeks after the end
+    forgets the deal. Sightings whose own time is a week or more past the end, or that come after the deal was given up, are
+    late: they change nothing and are put out as they are."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deal = handle.getValueState("deal", "end_ms long, turn long, over boolean")
+        self.seen = handle.getMapState("seen", "mode string", "seq long")
+
+    def _status(self) -> tuple[str, int | None]:
+        modes = dict((k[0], v[0]) for k, v in self.seen.iterator()) if self.seen.exists() else {}
+        return ("SOLD", modes["sold"]) if "sold" in modes else ("UNSOLD" if "completed" in modes else "PENDING", None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        end, turn, over = self.deal.get() if self.deal.exists() else (None, 0, False)
+        before, late, fresh = end, [], False
+        batch = pd.concat(list(rows)).sort_values(["ms", "seq"])
+        for mode, seq, ms, end_ms in batch[["mode", "seq", "ms", "end_ms"]].itertuples(index=False):
+            latest = end_ms if end is None else max(end, end_ms)
+            if over or ms >= latest + WEEK_MS:
+                late.append(seq)
+                continue
+            end, fresh = latest, True
+            if not self.seen.containsKey((mode,)) or seq < self.seen.getValue((mode,))[0]:
+                self.seen.updateValue((mode,), (seq,))
+        if late:
+            yield pd.DataFrame({"id": key[0], "status": "LATE", "sale": None, "turn": None, "late": late})
+        if not fresh:
+            return
+        if end != before:
+            if before is not None:
+                self.handle.deleteTimer(before + WEEK_MS)
+                self.handle.deleteTimer(before + KEEP_MS)
+            self.handle.registerTimer(end + WEEK_MS)
+            self.handle.registerTimer(end + KEEP_MS)
+        self.deal.update((int(end), turn + 1, False))
+        status, sale = self._status()
+        yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale], "turn": [turn + 1], "late": [None]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.deal.exists():
             return
-        state.update((sale, turn, unsold, True))
-        state.setTimeoutTimestamp(mark + KEEP_MS)
-        yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "batch": [turn], "late": [None]})
-        return
-    latest, late = None, []
-    for p in rows:
-        if over or not known:
-            old = p["ms"] < mark
-            late += p.loc[old, "seq"].tolist()
-            p = p[~old]
-        if not len(p):
-            continue
-        latest = int(p["ms"].max()) if latest is None else max(latest, int(p["ms"].max()))
-        sold = p.loc[p["mode"] == "sold", "seq"]
-        if len(sold):
-            first = int(sold.min())
-            sale = first if sale < 0 else min(sale, first)
-        unsold = unsold or bool((p["mode"] == "completed").any())
-    if late:
-        yield pd.DataFrame({"id": key[0], "status": "LATE", "sale": None, "batch": None, "late": late})
-    if latest is None:
-        if known:
-            state.update((sale, count, unsold, over))
-            state.setTimeoutTimestamp(mark + KEEP_MS)
-        return
-    status = "SOLD" if sale >= 0 else "UNSOLD" if unsold else "PENDING"
-    state.update((sale, turn, unsold, False))
-    state.setTimeoutTimestamp(max(latest + (WEEK_MS if status == "PENDING" else KEEP_MS), mark + 1))
-    yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale if sale >= 0 else None], "batch": [turn], "late": [None]})
-
-
-def follow(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, status, sale) of each deal after all that the stream `rows` (id, mode, seq, at) holds, and the side
-    table (id, seq) of late rows. The watermark allows a day. Event times travel as numbers beside a time that
-    is marked as the watermark's but never late, so that late rows reach the deal's state and are not dropped."""
-    spark = rows.sparkSession
-    base = f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}"
-    never = F.lit("2200-01-01").cast("timestamp").alias("never", metadata={"spark.watermarkDelayMs": 86400000})
-    s = rows.withWatermark("at", "1 day").select("id", "mode", "seq", F.unix_millis("at").alias("ms"), never)
-    out = s.groupBy("id").applyInPandasWithState(advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    log = spark.read.schema(OUT).parquet(f"{base}/out")
-    last = log.where("status <> 'LATE'").groupBy("id").agg(F.max_by(F.struct("status", "sale"), "batch").alias("r")).select("id", "r.*")
+        end, turn, _ = self.deal.get()
+        if expiredTimerInfo.getExpiryTimeInMs() >= end + KEEP_MS:
+            self.deal.clear()
+            self.seen.clear()
+        elif self._status()[0] == "PENDING":
+            self.deal.update((end, turn + 1, True))
+            yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "turn": [turn + 1], "late": [None]})
+
+    def close(self) -> None:
+        pass
+
+
+def follow(rows: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """(id, status, sale) of each deal after all that the stream `rows` (id, mode, seq, at, end_time) holds, and the side table (id, seq) of late
+    rows, in folder `base`; a process that starts anew on it goes on from its state. The watermark allows a day. The event
+    time reaches the deals as a number, so that late rows are theirs to judge and aren't dropped before."""
+    s = rows.withWatermark("at", "1 day").select("id", "mode", "seq", F.unix_millis("at").alias("ms"), F.unix_millis("end_time").alias("end_ms"))
+    with with_state_store(rows.sparkSession):
+        out = s.groupBy("id").transformWithStateInPandas(Lifecycle(), OUT, "Append", "EventTime")
+        run_to_end(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log"))
+    log = rows.sparkSession.read.schema(OUT).parquet(f"{base}/out")
+    last = log.where("status <> 'LATE'").groupBy("id").agg(F.max_by(F.struct("status", "sale"), "turn").alias("r")).select("id", "r.*")
     return last, log.where("status = 'LATE'").select("id", F.col("late").alias("seq"))
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each deal's last state, given-up ones included. Snapshots of events have no completed pages: none is UNSOLD."""
-    return follow(snapshots(spark, sf_dir).where("price is not null and id is not null"))[0]
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as sightings of deals: sixteen a user, by event; each ends at an hour of January 2024 that its id gives. Purchases are sales, every
+    other signup a completed page without one."""
+    e = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where("user_id is not null and ts is not null")
+    deal = F.col("user_id") * 16 + F.col("event_id") % 16
+    mode = F.when(F.col("event_type") == "purchase", "sold").when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), "completed").otherwise("active")
+    s = e.select(deal.alias("id"), mode.alias("mode"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    end = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("id") * 37 % 720 * 3600)
+    return s.withColumn("end_time", end)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As outcomes, but a deal whose timer has fired counts as PENDING: what this query's SQL asks for."""
-    return outcomes(spark, sf_dir).withColumn("status", F.when(F.col("status") == "GAVE_UP", "PENDING").otherwise(F.col("status")))
+def run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The deals of events: their last states, and the late sightings."""
+    return follow(deals(spark, sf_dir), f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}")

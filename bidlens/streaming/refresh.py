@@ -8,45 +8,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.outcomes import TIERS
-from .upserts import SCHEMA, shared_dir
+from .upserts import SCHEMA, run_to_end, shared_dir, with_state_store
 
 OUT = "id long, seq long, minutes int"
 MINUTE_MS = 60_000
+LONGEST_MS = max(every for _, every in TIERS) * MINUTE_MS
 
 
-def plan(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The ticks (seq, minutes of the interval) at which a deal is due: never refreshed so far, or no less ago than the interval
-    that its time left calls for. The state is the last refresh; a timer at the deal's end drops it."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    ticks = pd.concat(list(rows)).sort_values(["ms", "seq"])
-    last = state.getOption[0] if state.exists else None
-    due, every = [], []
-    for ms, end, seq in zip(ticks["ms"].tolist(), ticks["end_ms"].tolist(), ticks["seq"].tolist(), strict=True):
-        left = (end - ms) / MINUTE_MS
-        tier = next((t for most, t in TIERS if left <= most), None) if left > 0 else None
-        if tier is not None and (last is None or ms - last >= tier * MINUTE_MS):
-            due.append(seq)
-            every.append(tier)
-            last = ms
-    if last is not None:
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(ticks["end_ms"].max()), state.getCurrentWatermarkMs() + 1))
-    if due:
-        yield pd.DataFrame({"id": key[0], "seq": due, "minutes": every})
+class Refresh(StatefulProcessor):
+    """The ticks (seq, minutes of the interval) at which a deal is due: never refreshed so far, or no less ago than the interval that its
+    time left calls for. The state is the last refresh. A timer drops it once the longest interval has passed: every tick that
+    the watermark lets through is due by then, with the state or without, also when the deal is listed again after its end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = last = self.last.get()[0] if self.last.exists() else None
+        due, every = [], []
+        for ms, end, seq in pd.concat(list(rows)).sort_values(["ms", "seq"])[["ms", "end_ms", "seq"]].itertuples(index=False):
+            left = (end - ms) / MINUTE_MS
+            tier = next((t for most, t in TIERS if left <= most), None) if left > 0 else None
+            if tier is not None and (last is None or ms - last >= tier * MINUTE_MS):
+                due.append(seq)
+                every.append(tier)
+                last = ms
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + LONGEST_MS)
+            self.last.update((int(last),))
+            self.handle.registerTimer(int(last) + LONGEST_MS)
+        if due:
+            yield pd.DataFrame({"id": key[0], "seq": due, "minutes": every})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def follow(ticks: DataFrame, base: str) -> DataFrame:
     """(id, seq, minutes) of the due ticks after all that the stream `ticks` (id, seq, at, end_time) holds, in folder `base`; a
-    process that starts anew on it goes on from its state. Ticks up to an hour late are planned."""
+    process that starts anew on it goes on from its state. Ticks up to an hour late are planned, later ones are dropped."""
     s = ticks.withWatermark("at", "1 hour").select("id", "seq", "at", F.unix_millis("at").alias("ms"), F.unix_millis("end_time").alias("end_ms"))
-    out = s.groupBy("id").applyInPandasWithState(plan, OUT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
-    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with with_state_store(ticks.sparkSession):
+        out = s.groupBy("id").transformWithStateInPandas(Refresh(), OUT, "Append", "EventTime")
+        run_to_end(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log"))
     return ticks.sparkSession.read.schema(OUT).parquet(f"{base}/out")
 
 

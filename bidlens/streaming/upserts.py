@@ -1,13 +1,16 @@
-"""Continuous upsert: a stream of snapshots merged into a versioned table, batch by batch."""
+"""Continuous upsert: a stream of snapshots merged into a partitioned table, batch by batch."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import table
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -22,43 +25,48 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def with_state_store(spark: SparkSession):
+    """Streams that begin inside keep their state in RocksDB, which states of several variables need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_to_end(writer) -> None:
+    """Runs the stream over all that its source holds now."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of snapshots: purchases are sales, errors are rows that can't be read."""
     e = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return e.select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.col("value")).alias("price"), F.when(F.col("event_type") == "purchase", "sold").otherwise("active").alias("mode"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Batch ids of the versions in the folder that were written to their end."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+#: Folders of ids that a table of one mode is dealt to: a batch rewrites those in which its ids lie.
+BUCKETS = 16
 
 
-def merge_stream(rows: DataFrame, base: str, key: str = "id", order: str = "seq") -> DataFrame:
+def merge_stream(rows: DataFrame, base: str, key: str = "id", order: str = "seq", buckets: int = BUCKETS) -> DataFrame:
     """The table in folder `base` after all that the stream `rows` holds: the last write (greatest `order`) of each key.
 
-    A batch merges into the newest version below its own id and writes the version of its id, so that a process that
-    starts anew on the same folder, or a batch that runs again after a failure, goes on from the right table
-    and never reads what it writes. Of older versions the last two stay."""
+    The table lies in partitions by a hash of the key. A batch rewrites those that its keys fall in, all others keep their files. A
+    process that starts anew on the same folder goes on where the last one stopped, and a batch that failed and runs
+    again ends in the same table."""
     spark = rows.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs
+    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        below = [v for v in _versions(session, base) if v < batch_id]
-        old = session.read.schema(batch.schema).parquet(f"{base}/v{below[-1]}") if below else batch.limit(0)
-        rest = [c for c in batch.columns if c != key]
-        both = old.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*batch.columns)
-        both.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        for v in below[:-2]:
-            path = fs.Path(f"{base}/v{v}")
-            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
-
-    q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    done = _versions(spark, base)
-    return spark.read.schema(rows.schema).parquet(f"{base}/v{done[-1]}") if done else spark.createDataFrame([], rows.schema)
+        table.merge(base, bucketed(batch), ("bucket",), key, order, keep_order=True)
+
+    run_to_end(rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log"))
+    schema = bucketed(spark.createDataFrame([], rows.schema)).schema
+    return table.read_table(spark, base, schema).select(*rows.columns)
 
 
 def run(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
