@@ -100,12 +100,12 @@ def land_cards(cards: DataFrame, path: str, ref, hours: float = fields.OFFSET_HO
 
 def kept_cards(spark: SparkSession, path: str) -> DataFrame:
     """The typed rows that `land_cards` has kept; the quarantine isn't read."""
-    return spark.read.parquet(path).where("kept").drop("kept", "lack", "markup", "bad_end")
+    return spark.read.parquet(path).where("cast(kept as boolean)").drop("kept", "lack", "markup", "bad_end")
 
 
 def quarantined_cards(spark: SparkSession, path: str) -> DataFrame:
     """The cards that were left out, as they were, and why; they can be read again once a rule is mended."""
-    rows = spark.read.parquet(path).where("not kept")
+    rows = spark.read.parquet(path).where("not cast(kept as boolean)")
     return rows.select(*[c for c in ("query", "mode", "position", "category") if c in rows.columns], "lack", F.col("markup").alias("card"))
 
 

@@ -830,7 +830,7 @@ def targeted_refresh_totals(s, d):
   j AS (SELECT d.*, p.seq, p.price, p.bids, p.ts, p.sold FROM d LEFT JOIN p ON p.id = d.id AND p.ts > end_time + INTERVAL 6 HOUR AND p.ts < end_time + INTERVAL 7 DAY),
   r AS (SELECT deal, id, end_time, max_by(struct_pack(ts := ts, price := price, bids := bids), seq) FILTER (WHERE sold) AS s, count(*) FILTER (WHERE NOT sold) AS c, count(seq) AS pages FROM j GROUP BY ALL)
   SELECT deal, id, CASE WHEN s IS NOT NULL THEN 'SOLD' WHEN c > 0 THEN 'UNSOLD' ELSE 'PENDING' END AS status, strftime(CASE WHEN s IS NOT NULL THEN s.ts WHEN c > 0 THEN end_time END, '%Y-%m-%d') AS sold_date,
-    CAST(trunc(s.price * 100) AS BIGINT) AS price_pence, CAST(s.bids AS INT) AS bids, s IS NULL AND c > 0 AS ended_unsold FROM r, w WHERE pages > 0 OR end_time + INTERVAL 7 DAY < mark""",
+    CAST(trunc(s.price * 100) AS BIGINT) AS price_pence, CAST(s.bids AS INT) AS bids, s IS NULL AND c > 0 AS ended_unsold FROM r, w WHERE pages > 0 OR end_time + INTERVAL 7 DAY <= mark""",
 )
 def stream_verify(s, d):
     return verify.run(s, d).select("deal", "id", "status", date("sold_date"), "price_pence", "bids", "ended_unsold")

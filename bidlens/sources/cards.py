@@ -277,19 +277,25 @@ class Tags:
         return pc.if_else(pa.array(of < 0), pa.scalar(None, pa.string()), self._replaced(got, values))
 
     def only_text(self, of: np.ndarray) -> np.ndarray:
-        """The elements of `of` whose one child is a text, or an element of which that holds; the rest as -1."""
-        i, out = of.copy(), np.full(len(of), -1)
-        while (i >= 0).any():
-            live = i >= 0
-            close = self.close[np.maximum(i, 0)]
-            leaf = live & (close == i + 1) & (self.stop[np.maximum(i, 0)] > self.end[np.maximum(i, 0)] + 1)
-            out[leaf] = of[leaf]
-            inner = np.minimum(i + 1, len(self.start) - 1)
-            child = live & ~leaf & (close > i + 2) & self.element[inner] & (self.close[inner] == close - 1) & (self.kind[inner] > 0)
-            bare = lambda k: self.stop[k] == self.end[k] + 1
-            child &= bare(np.maximum(i, 0)) & bare(np.maximum(close - 1, 0))
-            i = np.where(child, i + 1, -1)
-        return out
+        """Those of the elements `of` whose one child is a text, or an element of which that holds."""
+        if not len(of):
+            return of
+        plain = (self.close[of] == of + 1) & (self.stop[of] > self.end[of] + 1)
+        return of[[bool(p) or self._lone(int(i)) for p, i in zip(plain, of, strict=True)]]
+
+    def _lone(self, i: int) -> bool:
+        """As only_text, by a walk over the element's children; tags closed without being open are no children."""
+        close, k, held, child = int(self.close[i]), i, 0, -1
+        while k < close:
+            if self.stop[k] > self.end[k] + 1:
+                held += 1
+                child = -1
+            k += 1
+            if k < close and (self.element[k] or self.kind[k] == 0):
+                held += 1
+                child = k
+                k = int(self.close[k])
+        return held == 1 and (child < 0 or (bool(self.element[child]) and self._lone(child)))
 
     def first(self, of: np.ndarray) -> np.ndarray:
         """For each card the first of the elements `of`, or -1."""
@@ -330,7 +336,6 @@ def elements(data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
     news = pc.fill_null(pc.equal(titles[0], "New listing"), False)
     large = marked("postage")
     told = t.only_text(large)
-    told = told[told >= 0]
     told = told[pc.match_substring(t.text(told), "bid").to_numpy(zero_copy_only=False).astype(bool)] if len(told) else told
     anchor = t.first(anchors)
     href = t.attribute("href", np.maximum(anchor, 0)) if len(anchors) else pa.nulls(len(anchor), pa.string())

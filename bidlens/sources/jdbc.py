@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def bounds(spark: SparkSession, url: str, table: str, key: str = "id", **options: str) -> tuple[int, int] | None:
     """Least and greatest key, which the database finds; None for an empty table."""
-    query = f"select min({key}) as lo, max({key}) as hi from {table}"
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    query = f"select min({name}) as lo, max({name}) as hi from {table}"
     r = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
     return None if r[0] is None else (int(r[0]), int(r[1]))
 

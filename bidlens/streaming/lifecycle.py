@@ -22,8 +22,8 @@ KEEP_MS = 5 * WEEK_MS
 class Lifecycle(StatefulProcessor):
     """The state of one deal: `deal` (its latest end, how often its state was written, whether it was given up) and `seen`, the first
     seq by the mode of the pages that showed it. A timer a week after the end gives an open deal up; another five weeks after the end
-    forgets the deal. Sightings whose own time is a week or more past the end, or that come after the deal was given up, are
-    late: they change nothing and are put out as they are."""
+    forgets the deal. Sightings whose own time is a week or more past the end, or that come when the watermark is, are late: they change
+    nothing and are put out as they are."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,11 +36,11 @@ class Lifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end, turn, over = self.deal.get() if self.deal.exists() else (None, 0, False)
-        before, late, fresh = end, [], False
+        before, late, fresh, mark = end, [], False, timerValues.getCurrentWatermarkInMs()
         batch = pd.concat(list(rows)).sort_values(["ms", "seq"])
         for mode, seq, ms, end_ms in batch[["mode", "seq", "ms", "end_ms"]].itertuples(index=False):
             latest = end_ms if end is None else max(end, end_ms)
-            if over or ms >= latest + WEEK_MS:
+            if over or max(ms, mark) >= latest + WEEK_MS:
                 late.append(seq)
                 continue
             end, fresh = latest, True

@@ -1,44 +1,47 @@
-"""The deal lifecycle over several batches, a file each."""
+"""The deal lifecycle over several batches, a file each, with a restart after every one."""
 
 from __future__ import annotations
 
 import datetime
 import os
 
-import pytest
-
 from bidlens.streaming import lifecycle
 
-SCHEMA = "id long, mode string, seq long, at timestamp"
+SCHEMA = "id long, mode string, seq long, at timestamp, end_time timestamp"
+#: Day on which each deal ends.
+ENDS = {1: 3, 2: 3, 3: 3, 4: 5, 5: 30, 6: 12, 7: 3, 9: 100}
 #: (id, mode, seq, day) of each batch. The watermark is a day before the latest day of earlier batches.
 BATCHES = [
-    [(1, "active", 1, 1), (2, "active", 2, 1), (3, "active", 3, 1), (4, "active", 4, 1), (5, "active", 5, 1)],
-    [(9, "active", 6, 20)],
-    [(9, "active", 7, 21)],
-    [(1, "active", 8, 22), (2, "sold", 9, 4), (4, "completed", 10, 22)],
-    [(1, "sold", 11, 23), (5, "active", 12, 23), (6, "sold", 13, 23)],
-    [(9, "active", 14, 69), (5, "active", 15, 69)],
-    [(9, "active", 16, 70)],
-    # 3 was given up and 6 sold five weeks ago: both are forgotten, 6 then comes anew and 3 too late
-    [(6, "active", 17, 71), (3, "sold", 18, 30), (9, "active", 19, 71)],
+    [(1, "active", 1, 1), (2, "active", 2, 1), (3, "active", 3, 1), (4, "active", 4, 1), (5, "active", 5, 1), (6, "active", 6, 1), (7, "active", 7, 2)],
+    # 1 is sold in its week and 4 ended unsold; 7's only later page comes more than a week after its end
+    [(1, "sold", 12, 9), (1, "sold", 11, 8), (4, "completed", 13, 9), (7, "sold", 14, 10)],
+    [(9, "active", 15, 12)],
+    # the watermark has passed day 10: 2, 3 and 7 are given up, what comes for them is late, however early its own time
+    [(2, "sold", 16, 4), (3, "active", 17, 12), (4, "sold", 18, 11), (6, "completed", 19, 13)],
+    # 6 is listed again and ends a week later; 5 is seen for the last time
+    [(6, "active", 20, 14), (5, "active", 21, 14)],
+    [(9, "active", 22, 40)],
+    [(9, "active", 23, 41)],
+    # five weeks after its end 1 is forgotten: what comes then is new, and late by its own time
+    [(9, "active", 24, 60)],
+    [(1, "sold", 25, 60), (9, "active", 26, 60)],
 ]
 
 
-@pytest.fixture
-def got(spark, tmp_path):
+def day(n):
+    return datetime.datetime(2026, 1, 1) + datetime.timedelta(days=n - 1)
+
+
+def test_deals_are_settled_given_up_and_forgotten(spark, tmp_path):
+    (tmp_path / "in").mkdir()
     for i, rows in enumerate(BATCHES):
-        data = [(d, m, s, datetime.datetime(2026, 1, 1) + datetime.timedelta(days=day - 1)) for d, m, s, day in rows]
+        data = [(d, m, s, day(at), day(19 if (d, s) == (6, 20) else ENDS[d])) for d, m, s, at in rows]
         spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/w{i}")
-        (tmp_path / "in").mkdir(exist_ok=True)
         part = next((tmp_path / f"w{i}").glob("*.parquet"))
         part.rename(tmp_path / "in" / f"{i}.parquet")
         os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
-    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    last, late = lifecycle.follow(rows)
-    return {r["id"]: (r["status"], r["sale"]) for r in last.collect()}, {tuple(r) for r in late.collect()}
-
-
-def test_deals_reopen_and_are_given_up(got):
-    last, late = got
-    assert last == {1: ("SOLD", 11), 2: ("GAVE_UP", None), 3: ("GAVE_UP", None), 4: ("UNSOLD", None), 5: ("PENDING", None), 6: ("PENDING", None), 9: ("PENDING", None)}
-    assert late == {(2, 9), (3, 18)}
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        if i in (0, 3, 4, 8):  # in between, files wait and come as batches of one run
+            last, late = lifecycle.follow(stream, f"{tmp_path}/deals")
+    assert {r["id"]: (r["status"], r["sale"]) for r in last.collect()} == {1: ("SOLD", 11), 2: ("GAVE_UP", None), 3: ("GAVE_UP", None), 4: ("SOLD", 18), 5: ("GAVE_UP", None), 6: ("UNSOLD", None), 7: ("GAVE_UP", None), 9: ("PENDING", None)}
+    assert {tuple(r) for r in late.collect()} == {(7, 14), (2, 16), (3, 17), (1, 25)}
