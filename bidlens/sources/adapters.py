@@ -49,10 +49,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
     """A result card's markup for each sighting. By id, some have comments, references, white space, elements in titles, attributes in
-    other quotes, order and case, a class that only begins like the bids', bids before postage, or a tag left open."""
+    other quotes, order and case, a class that only begins like the bids', bids before postage, or a tag left open. Dealt by the columns `by`, if named."""
     s = snapshots(spark, sf_dir)
+    s = s.repartition(*by) if by else s  # narrow rows are dealt, not the markup made of them
     clock = F.format_string("%02d:%02d", F.col("id") % 24, F.col("id") % 60)
     days = F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])
     end = (
@@ -108,7 +109,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query, mode, fetched_at, html: the cards of a page after one placeholder card. Two versions of a
     page where the query's hash is even, the older one cut short. A page holds at most some thousand cards."""
     head = '<html><body><div class="su-card-container su-card-container--horizontal">Shop on site</div>'
-    p = cards(spark, sf_dir).groupBy("query", "mode").agg(F.array_sort(F.collect_list("card")).alias("cards"))
+    p = cards(spark, sf_dir, "query", "mode").groupBy("query", "mode").agg(F.array_sort(F.collect_list("card")).alias("cards"))
     html = F.concat(F.lit(head), F.concat_ws("", "cards"), F.lit("</body></html>"))
     p = p.select("query", "mode", html.alias("whole"))
     now = F.struct(as_of().alias("fetched_at"), F.col("whole").alias("html"))

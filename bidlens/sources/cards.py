@@ -39,7 +39,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-LT, GT, SLASH, BANG, QUERY, DOUBLE, SINGLE, EQUALS, AND = b"<>/!?\"'=&"
+LT, GT, SLASH, BANG, QUERY, DOUBLE, SINGLE, EQUALS = b"<>/!?\"'="
 _TAG = re.compile(rb"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[!?][^>]*>|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 _BODY = re.compile(rb"(<[^>]*>)(.*)(<[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(rb"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -55,6 +55,8 @@ def masked(card: bytes) -> bytes:
 
     def mask(m: re.Match) -> bytes:
         b = m.group()
+        if m.lastindex is None and b[1] != BANG and b[1] != QUERY and b.find(b">") == len(b) - 1 and b.find(b"<", 1) < 0:
+            return b
         if m.group(1):
             head, body, tail = _BODY.fullmatch(b).groups()
             return head + _hidden(body) + tail
