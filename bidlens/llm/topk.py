@@ -16,9 +16,9 @@ from .vectors import SAFE, by_length, distance, finite, first_k, fitting_sample,
 #: Rows that the top cells and the first bounds are taken from, at the most, and top cells.
 SAMPLE, CELLS = 2048, 256
 #: Rows, and queries, that one task holds at the most.
-BLOCK, PART = 16_384, 4096
-#: A node of so few rows is a leaf; a node whose next level would have more children stays one.
-LEAF, CHILDREN = 48, 128
+BLOCK, PART = 4096, 4096
+#: A node of so few rows is a leaf; by what a node's radius shrinks from level to level.
+LEAF, BASE = 16, 1.3
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -46,10 +46,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class CoverTree:
     """Nested levels over the rows of x. A node covers its rows within `radius` of its centre, one of them.
-    Its children's centres are a net of those rows, the node's own centre first: all rows lie within half the radius of
-    their nearest one, and the centres lie farther apart than that. A node stays a leaf when it holds
-    few rows or so many dimensions that halving would take over CHILDREN centres. `rows` lists the rows so
-    that a node's are rows[start:end]."""
+    Its children's centres are a net of those rows, the node's own centre first: all rows lie within radius / BASE of
+    their nearest one, and the centres lie farther apart than that. There may be any number of them. A leaf's children are its
+    rows themselves: few ones, or rows so far from one another that a net at the next radius would take more than half of
+    them as centres. `rows` lists the rows so that a node's are rows[start:end]."""
 
     def __init__(self, x: np.ndarray):
         self.centre, self.radius, self.start, self.end, self.children = [], [], [], [], []
@@ -64,13 +64,13 @@ class CoverTree:
                 continue
             own = self.rows[a:b]
             centres, least, of = [self.centre[node]], far.copy(), np.zeros(b - a, np.int64)
-            while least.max() > self.radius[node] / 2 and len(centres) <= CHILDREN:
+            while least.max() > self.radius[node] / BASE and 2 * len(centres) <= b - a:
                 new = int(own[least.argmax()])
                 d = np.sqrt(((x[own] - x[new]) ** 2).sum(1))
                 of[d < least] = len(centres)
                 least = np.minimum(least, d)
                 centres.append(new)
-            if len(centres) > CHILDREN or len(centres) == 1:
+            if 2 * len(centres) > b - a or len(centres) == 1:
                 continue
             order = np.argsort(of, kind="stable")
             self.rows[a:b], least = own[order], least[order]
@@ -102,8 +102,9 @@ def upper(q: np.ndarray, rq: np.ndarray, c: np.ndarray, rc: np.ndarray) -> np.nd
 
 def descend(y: np.ndarray, names: np.ndarray, kth: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
     """(query row, id, score) that hold each query's k highest of the rows x; those below its `kth` may be left
-    out. Pairs of nodes are taken in order of their bounds; one whose bound is below the worst kth score
-    of its queries is pruned, others split on the side of larger radius until two leaves meet."""
+    out. Each query first meets the leaf whose centre fits it best. Then pairs of nodes are taken in order of their bounds; one
+    whose bound is below the worst kth score of its queries is pruned, others split on the side of larger radius until two
+    leaves meet, of which the queries go whose own bound is below their kth score."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     top, who = np.full((len(y), k), LOWEST), np.zeros((len(y), k), np.int64)
@@ -128,7 +129,13 @@ def descend(y: np.ndarray, names: np.ndarray, kth: np.ndarray, x: np.ndarray, id
             kth[q] = np.maximum(kth[q], np.where(top[q][:, -1] > LOWEST, top[q][:, -1].astype(float), -np.inf))
 
     if max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < SAFE:
-        tq, tx = CoverTree(scaled(y)), CoverTree(scaled(x))
+        ys = scaled(y)
+        tq, tx = CoverTree(ys), CoverTree(scaled(x))
+        leaves = np.array([c for c, below in enumerate(tx.children) if not below])
+        n = min(y.shape[1], x.shape[1])
+        near = leaves[(ys[:, :n] @ tx.centres[leaves, :n].T).argmax(1)]
+        for c in np.unique(near):  # each query's nearest leaf first: its kth score rules out much of the rest
+            scan(np.flatnonzero(near == c), tx.rows[tx.start[c] : tx.end[c]])
         heap, turn = [(-np.inf, 0, 0, 0)], 0
         while heap:
             bound, _, a, b = heapq.heappop(heap)
@@ -136,7 +143,10 @@ def descend(y: np.ndarray, names: np.ndarray, kth: np.ndarray, x: np.ndarray, id
             if -bound < kth[q].min():
                 continue
             if not tq.children[a] and not tx.children[b]:
-                scan(q, tx.rows[tx.start[b] : tx.end[b]])
+                # the leaf's children are its queries themselves: each has a bound of its own
+                q = q[(near[q] != b) & (upper(ys[q], np.zeros(len(q)), tx.centres[[b]], tx.radii[[b]])[:, 0] >= kth[q])]
+                if len(q):
+                    scan(q, tx.rows[tx.start[b] : tx.end[b]])
                 continue
             down = bool(tx.children[b]) and (not tq.children[a] or tx.radius[b] >= tq.radius[a])
             i, j = ([a], tx.children[b]) if down else (tq.children[a], [b])

@@ -500,9 +500,9 @@ def test_cover_tree_is_nested_and_prunes():
         assert np.sqrt(((own - x[t.centre[n]]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
         if below:
             assert t.centre[below[0]] == t.centre[n] and [t.start[below[0]], t.end[below[-1]]] == [t.start[n], t.end[n]]
-            assert all(t.radius[c] <= t.radius[n] / 2 + 1e-9 for c in below)
+            assert all(t.radius[c] <= t.radius[n] / topk.BASE + 1e-9 for c in below)
             d = np.sqrt(((x[[t.centre[c] for c in below]][:, None] - x[[t.centre[c] for c in below]][None]) ** 2).sum(2))
-            assert (d + np.eye(len(d)) * 1e9).min() > t.radius[n] / 2 - 1e-9
+            assert (d + np.eye(len(d)) * 1e9).min() > t.radius[n] / topk.BASE - 1e-9
     seen = []
     real, topk.products = topk.products, lambda a, b: (seen.append(len(a) * len(b)), real(a, b))[1]
     try:
@@ -514,7 +514,27 @@ def test_cover_tree_is_nested_and_prunes():
         all_ = y @ y[i]
         all_[i] = -(10**15)
         assert sorted(zip((-s[q == i]).tolist(), ids[q == i].tolist(), strict=True)) == [(-all_[j], j) for j in np.lexsort((np.arange(3000), -all_))[:5]]
-    assert sum(seen) < 0.35 * 60 * 3000
+    assert sum(seen) < 0.05 * 60 * 3000
+
+
+def test_cover_tree_of_the_given_vectors_has_levels(spark):
+    """They are spread evenly over a sphere, so that hardly any pair of nodes can be ruled out; the tree is one all the same."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    x = np.array([r[0] for r in rows], float)
+    t = topk.CoverTree(topk.scaled(x))
+    inner = sum(bool(c) for c in t.children)
+    assert len(t.children[0]) > 10 and inner >= 1 and sorted(t.rows.tolist()) == list(range(len(x)))
+    seen = []
+    real, topk.products = topk.products, lambda a, b: (seen.append(len(a) * len(b)), real(a, b))[1]
+    try:
+        q, ids, s = topk.descend(x[:40], np.arange(40), np.full(40, -np.inf), x, np.arange(len(x)), 5)
+    finally:
+        topk.products = real
+    y = np.floor(x * 256).astype(np.int64)
+    for i in range(40):
+        best = np.argsort(-np.where(np.arange(len(x)) == i, -(10**15), y @ y[i]), kind="stable")[:5]
+        assert sorted(ids[q == i]) == sorted(best)
+    assert 0 < sum(seen) <= 40 * len(x)
 
 
 def test_topk_is_brute_force(spark):
