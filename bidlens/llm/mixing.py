@@ -37,7 +37,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     columns in a struct `row`, so that each row's copies stay with it.
 
     A document's expected copies are its source's target / size. Within a source the documents stand
-    in order of size, then doc_id, then a hash of the text; the prefix sums of the copies plus one random offset a source give a
+    in order of size, then doc_id, then a hash of the text and of the other columns kept (rows alike in all of them are
+    interchangeable); the prefix sums of the copies plus one random offset a source give a
     document one copy for each whole number that they cross, so a source's words differ from its target
     by about one document's. The order, not the layout, decides: reruns agree. A document without words (empty or null text)
     has 0 taken words. Repeated rows each stand for themselves. A null source is one source.
@@ -47,8 +48,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     source). Without `keep` only sizes and ids are sorted, never texts.
     """
     row = [F.struct(*keep).alias("row")] if keep else []
+    rest = [c for c in keep or () if c not in ("doc_id", "source", "text")]
+    hashes = F.xxhash64("text", F.to_json(F.struct(*rest))) if rest else F.xxhash64("text")
     named = ["row"] if keep else []
-    sized = docs.where("doc_id is not null").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"), *row)
+    sized = docs.where("doc_id is not null").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashes.alias("hash"), *row)
     sized = written(sized.withColumn("tie", F.hash(F.monotonically_increasing_id())))
     goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "hash", "tie"]

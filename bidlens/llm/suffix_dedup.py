@@ -6,7 +6,6 @@ Hashes only choose what meets: whole texts are taken for equal by length and SHA
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +118,10 @@ _SEGMENT = "bucket int, done boolean, keys binary, docs binary, tags binary, sta
 _RANGE = "doc_id long, tag long, start int, stop int"
 
 
+def tag_of(raw: bytes) -> int:
+    return int(hashlib.sha256(raw).hexdigest()[:15], 16)
+
+
 def _ranges(doc, tag, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["doc_id", "tag", "start", "stop"])
 
@@ -150,7 +153,7 @@ def hot_keys(texts: DataFrame, documents: int, length: int, gram: int) -> np.nda
 
 def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """(doc_id, tag, start, stop): bytes of strings of `length` bytes that also start in a document with a
-    smaller doc_id. tag is the text's crc32, which tells rows that share a doc_id apart.
+    smaller doc_id. tag is 60 bits of the text's SHA-256, which tell rows that share a doc_id apart.
 
     Whole copies of an earlier document are settled at once (`later_copies`) and ship nothing.
 
@@ -167,7 +170,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.crc32("text").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
+    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
     total = own.agg(F.coalesce(F.sum("stop"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     buckets = max(2 * parallelism(spark), -(-total["bytes"] // BUCKET_BYTES))
     copies = later_copies(own)
@@ -216,7 +219,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
                     if not len(wanted):
                         continue
                     d, base = int(ids[a + i]), int(off[i])
-                    tag = zlib.crc32(raw[base : off[i + 1]])
+                    tag = tag_of(raw[base : off[i + 1]])
                     for k, f, e in zip(key[s][wanted].tolist(), first[s][wanted].tolist(), last[s][wanted].tolist(), strict=True):
                         piece = raw[base + f : base + e + length]
                         seen.setdefault(piece, []).append((k, d, tag, f))
@@ -340,7 +343,7 @@ def remove_covered(docs: DataFrame, length: int = 50) -> DataFrame:
                 if got.is_valid:
                     v = got.values
                     tag, start, stop = (v.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-                    own = tag == zlib.crc32(raw)
+                    own = tag == tag_of(raw)
                     mark = np.zeros(len(raw) + 1, np.int32)
                     np.add.at(mark, start[own], 1)
                     np.add.at(mark, stop[own], -1)
