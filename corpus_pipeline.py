@@ -1,7 +1,7 @@
 """A corpus pipeline of the training-data operators; each stage is written as Parquet and read again.
 
 Every stage takes any documents table: a row with a null doc_id is left out by the stages that judge by id, an
-empty table gives an empty table, further columns pass through under their names, and rows that share a
+empty table gives an empty table, further columns pass through under their names (but for the last stage, which gives pieces), and rows that share a
 doc_id are rows of one document. Each stage says below what it does with null, empty and repeated texts.
 """
 
@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 1024 tokens. A null or empty text is one
-    closing token; repeated rows are packed each."""
+    closing token; repeated rows are packed each. The columns are those of the pieces: no other column of docs passes through."""
     return packing.pack(docs)
 
 
