@@ -31,6 +31,8 @@ BLOCK_BITS = 1 << 22
 GATHERED, GATHERED_DOCS, GATHERED_TERMS = 1 << 21, 1 << 13, 1 << 20
 #: Items, and terms over all items, of one block of queries.
 QUERY_ITEMS, QUERY_TERMS = 1024, 1 << 18
+#: How many times k documents of an item are scored for its first kth score.
+SEEDS = 3
 #: Terms whose slices a task unfolds at once.
 TERMS_AT_ONCE = 2048
 INDEX = "term string, df long, width int, ids binary, sizes binary, peaks binary, slices binary"
@@ -270,53 +272,46 @@ def query_blocks(items: DataFrame, n: int, total: int, most_items: int, most_ter
 # -- the search -------------------------------------------------------------------------------
 
 
-def _bounded(blocks: DataFrame, block: Block, pick, finish=None) -> DataFrame:
-    """(item place, doc_id, bound) that pick chooses from each block of signatures."""
+BOUNDS = "item int, doc_id long, bound long"
 
-    def look(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, sizes, peaks = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["peaks"], "<i4")
-                slices = np.frombuffer(r["slices"], np.uint8).reshape(r["width"], -1)
-                got = pick(block.bounds(r["width"], sizes, peaks, slices), ids)
-                if got is not None:
-                    yield out(*got)
-        if finish is not None:
-            yield out(*finish())
 
-    def out(item, doc, bound):
-        return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(bound.astype(np.int64))], ["item", "doc_id", "bound"])
+def _bounds(batches, block: Block):
+    """(bounds, ids) of each block of signatures."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids, sizes, peaks = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["peaks"], "<i4")
+            yield block.bounds(r["width"], sizes, peaks, np.frombuffer(r["slices"], np.uint8).reshape(r["width"], -1)), ids
+
 
-    return blocks.mapInArrow(look, "item int, doc_id long, bound long")
+def _chosen(item: np.ndarray, doc: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(bound.astype(np.int64))], ["item", "doc_id", "bound"])
 
 
 def seeds(blocks: DataFrame, block: Block, k: int) -> DataFrame:
     """The k documents of highest bound of each item, of each task."""
-    best = np.zeros((len(block.ids), 0), np.int64)
-    docs = np.zeros((len(block.ids), 0), np.int64)
 
-    def pick(bounds, ids):
-        nonlocal best, docs
-        best, docs = np.hstack([best, bounds]), np.hstack([docs, np.broadcast_to(ids, bounds.shape)])
-        if best.shape[1] > k:
-            top = np.argpartition(-best, k - 1, axis=1)[:, :k]
-            best, docs = np.take_along_axis(best, top, 1), np.take_along_axis(docs, top, 1)
-
-    def finish():
+    def look(batches):
+        best = docs = np.zeros((len(block.ids), 0), np.int64)
+        for bounds, ids in _bounds(batches, block):
+            best, docs = np.hstack([best, bounds]), np.hstack([docs, np.broadcast_to(ids, bounds.shape)])
+            if best.shape[1] > k:
+                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                best, docs = np.take_along_axis(best, top, 1), np.take_along_axis(docs, top, 1)
         item, place = np.nonzero(best)
-        return item, docs[item, place], best[item, place]
+        yield _chosen(item, docs[item, place], best[item, place])
 
-    return _bounded(blocks, block, pick, finish)
+    return blocks.mapInArrow(look, BOUNDS)
 
 
 def candidates(blocks: DataFrame, block: Block, least: np.ndarray, last: np.ndarray) -> DataFrame:
     """All (item, document) whose bound is above the item's kth score so far, or equals it at no larger doc_id."""
 
-    def pick(bounds, ids):
-        item, d = np.nonzero((bounds > least[:, None]) | ((bounds == least[:, None]) & (bounds > 0) & (ids[None, :] <= last[:, None])))
-        return (item, ids[d], bounds[item, d]) if len(item) else None
+    def look(batches):
+        for bounds, ids in _bounds(batches, block):
+            item, d = np.nonzero((bounds > least[:, None]) | ((bounds == least[:, None]) & (bounds > 0) & (ids[None, :] <= last[:, None])))
+            yield _chosen(item, ids[d], bounds[item, d])
 
-    return _bounded(blocks, block, pick)
+    return blocks.mapInArrow(look, BOUNDS)
 
 
 def scored(docs: DataFrame, pairs: DataFrame, block: Block) -> DataFrame:
@@ -344,8 +339,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, most_items: int = Q
     """item_id, rank, doc_id, score: the k documents of highest score above 0 of each item of queries (item_id, text), ties to the
     smaller doc_id. `built` is index(docs), if it stands already.
 
-    Items come in blocks of a bounded size, which travel with the tasks. For each block the index is read twice: for the k
-    highest bounds, whose documents' exact scores give each item a score to beat, and for all documents whose bounds don't rule
+    Items come in blocks of a bounded size, which travel with the tasks. For each block the index is read twice: for the
+    highest bounds (three times k an item), whose documents' exact scores give each item a score to beat, and for all documents whose bounds don't rule
     them out; those are scored on their whole texts. No document is dropped otherwise, so the result is exact however full the
     signatures are. Null and empty texts have no terms; items and documents without terms, or without an id, have no rows."""
     return settled(docs.sparkSession, lambda: _search(docs, queries, k, most_items, most_terms, *(built or index(docs))))
@@ -356,7 +351,8 @@ def _search(docs, queries, k, most_items, most_terms, lexicon, blocks) -> DataFr
     out = None
     items = written(items_of(queries, lexicon, n))
     for block in query_blocks(items, n, total, most_items, most_terms):
-        found = top(scored(docs, seeds(blocks, block, k).select("item", "doc_id"), block), k)
+        first = top(seeds(blocks, block, SEEDS * k).withColumnRenamed("bound", "score"), SEEDS * k)
+        found = top(scored(docs, first.select("item", "doc_id"), block), k)
         worst = F.min_by(F.struct("score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("r")
         least, last = np.zeros(len(block.ids), np.int64), np.full(len(block.ids), np.iinfo(np.int64).max)
         for r in found.groupBy("item").agg(F.count("*").alias("n"), worst).where(F.col("n") >= k).collect():  # a row an item of the block

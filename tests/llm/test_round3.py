@@ -82,6 +82,20 @@ def test_search_with_a_standing_index(spark):
         assert searched(lexical.search(frame, spark.createDataFrame(queries, "item_id long, text string"), built=built)) == brute_search(docs, queries)
 
 
+def test_bounds_rule_out_most_documents(spark, monkeypatch):
+    """On the given table: how many pairs of item and document are scored for the result."""
+    real, seen = lexical.candidates, []
+
+    def counted(blocks, block, least, last):
+        found = real(blocks, block, least, last)
+        seen.append(found.count() / (len(block.ids) * block.n))
+        return found
+
+    monkeypatch.setattr(lexical, "candidates", counted)
+    assert lexical.op11_lexical_search(spark, SF).count() == 400
+    assert len(seen) == 1 and 0.01 <= seen[0] < 0.1
+
+
 @pytest.mark.parametrize("per_entry", [1, 16])
 def test_bounds_are_never_too_low(monkeypatch, per_entry):
     """Also of signatures so full that most terms seem to be there."""
