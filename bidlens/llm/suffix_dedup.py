@@ -119,7 +119,7 @@ _RANGE = "doc_id long, tag long, start int, stop int"
 
 
 def tag_of(raw: bytes) -> int:
-    return int(hashlib.sha256(raw).hexdigest()[:15], 16)
+    return int(hashlib.sha256(raw).hexdigest()[:8], 16)
 
 
 def _ranges(doc, tag, start, stop) -> pa.RecordBatch:
@@ -153,7 +153,7 @@ def hot_keys(texts: DataFrame, documents: int, length: int, gram: int) -> np.nda
 
 def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """(doc_id, tag, start, stop): bytes of strings of `length` bytes that also start in a document with a
-    smaller doc_id. tag is 60 bits of the text's SHA-256, which tell rows that share a doc_id apart.
+    smaller doc_id. tag is 32 bits of the text's SHA-256, which tell rows that share a doc_id apart.
 
     Whole copies of an earlier document are settled at once (`later_copies`) and ship nothing.
 
@@ -170,7 +170,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
+    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
     total = own.agg(F.coalesce(F.sum("stop"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     buckets = max(2 * parallelism(spark), -(-total["bytes"] // BUCKET_BYTES))
     copies = later_copies(own)
