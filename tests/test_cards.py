@@ -189,3 +189,20 @@ def test_read_keeps_other_columns_and_null_cards(spark):
     got = {r["n"]: (r["other"], r["cost"], r["title"]) for r in cards.read(df).collect()}
     assert got == {1: ("k", "£1", None), 2: (None, None, None), 3: ("z", None, None)}
     assert cards.read(df.limit(0)).collect() == []
+
+
+def test_only_the_named_elements_are_read(spark):
+    raw = "".join(CASES).encode()
+    data, off = np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum([len(m.encode()) for m in CASES])].astype(np.int64)
+    every = dict(zip(cards.ELEMENTS, cards.elements(data, off), strict=True))
+    for n in cards.ELEMENTS:
+        assert cards.elements(data, off, (n,))[0].equals(every[n]), n
+    df = spark.createDataFrame([(1, '<span class="s-card__price">£1</span>')], "n int, card string")
+    assert cards.read(df, ("cost",)).columns == ["n", "cost"]
+
+
+def test_cards_of_a_file_of_one_row_group_are_dealt(spark):
+    from bidlens.plans import queries
+
+    plan = queries.QUERIES["parse_price"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "hashpartitioning(id" in plan
