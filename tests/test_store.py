@@ -167,3 +167,17 @@ def test_database_scan_in_parts(spark, tmp_path):
     assert some.count() == rows.where("price > 500").count()
     jdbc.save(rows.limit(0), url, "empty", 1, **driver)
     assert jdbc.scan(spark, url, "empty", 4, **driver).isEmpty()
+
+
+def test_prices_on_the_bound_of_a_deviation_are_kept(spark):
+    """Of three prices at even steps the outer ones lie just on the bounds: the sample deviation is the step."""
+    from bidlens.operators import ingest
+
+    rows = [(p, p * 7 + 1 + k * (p % 97 + 1)) for p in range(500) for k in range(3)]
+    df = spark.createDataFrame(rows, "page int, price_pence long").repartition(6)
+    assert ingest.trim_one_sigma(df, ["page"]).count() == len(rows)
+    far = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, None), (2, 5), (3, 7), (3, 7), (4, 2**62), (4, 2**62 - 2)], "page int, price_pence long")
+    assert sorted(map(tuple, ingest.trim_one_sigma(far, ["page"]).collect())) == [(1, 1), (1, 2), (2, 5), (3, 7), (3, 7), (4, 2**62 - 2), (4, 2**62)]
+    got = ingest.page_price_summary(df.withColumn("ship_pence", F.col("price_pence")), ["page"]).select(F.size("price_list"), F.size("shipping_list")).distinct().collect()
+    assert [tuple(r) for r in got] == [(3, 3)]
+    assert ingest.trim_one_sigma(df.withColumn("price_pence", F.lit(1.5)), ["page"]).count() == len(rows)
