@@ -206,3 +206,10 @@ def test_cards_of_a_file_of_one_row_group_are_dealt(spark):
 
     plan = queries.QUERIES["parse_price"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "hashpartitioning(id" in plan
+
+
+def test_a_run_reads_its_cards_once(spark):
+    from bidlens.plans import queries
+
+    plan = queries.QUERIES["full_run"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # typed rows come from a table; before, four branches read the markup each
