@@ -45,3 +45,10 @@ def test_deals_are_settled_given_up_and_forgotten(spark, tmp_path):
             last, late = lifecycle.follow(stream, f"{tmp_path}/deals")
     assert {r["id"]: (r["status"], r["sale"]) for r in last.collect()} == {1: ("SOLD", 11), 2: ("GAVE_UP", None), 3: ("GAVE_UP", None), 4: ("SOLD", 18), 5: ("GAVE_UP", None), 6: ("UNSOLD", None), 7: ("GAVE_UP", None), 9: ("PENDING", None)}
     assert {tuple(r) for r in late.collect()} == {(7, 14), (2, 16), (3, 17), (1, 25)}
+
+
+def test_a_purge_works_its_tables_out_once(spark):
+    from bidlens.plans import queries
+
+    plan = queries.QUERIES["delete_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan  # before, each of eight joins derived its table and the suspects from there
