@@ -52,3 +52,11 @@ def test_a_purge_works_its_tables_out_once(spark):
 
     plan = queries.QUERIES["delete_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan  # before, each of eight joins derived its table and the suspects from there
+
+
+def test_prices_and_deals_work_their_listings_out_once(spark):
+    from bidlens.plans import queries
+
+    for name in ("potential_gain", "join_model_stats", "discount_pct", "deal_score", "basket_value"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan, name
