@@ -60,3 +60,12 @@ def test_prices_and_deals_work_their_listings_out_once(spark):
     for name in ("potential_gain", "join_model_stats", "discount_pct", "deal_score", "basket_value"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "lineitem" not in plan, name
+
+
+def test_pages_land_packed(spark, tmp_path):
+    import os
+
+    from bidlens.operators import ingest
+
+    ingest.land_pages(spark.sql("select 'q' query, 'sold' mode, timestamp '2024-01-01' fetched_at, 'x' html"), str(tmp_path / "p"))
+    assert [f for f in os.listdir(tmp_path / "p" / "mode=sold") if f.endswith(".zstd.parquet")]
