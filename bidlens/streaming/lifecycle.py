@@ -6,8 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,56 +19,61 @@ KEEP_MS = 5 * WEEK_MS
 
 
 class Lifecycle(StatefulProcessor):
-    """The state of one deal: `deal` (its latest end, how often its state was written, whether it was given up) and `seen`, the first
-    seq by the mode of the pages that showed it. A timer a week after the end gives an open deal up; another five weeks after the end
-    forgets the deal. Sightings whose own time is a week or more past the end, or that come when the watermark is, are late: they change
-    nothing and are put out as they are."""
+    """The state of one deal, one value: its latest end, how often its state was written, whether it was given up, the first seq of a
+    page that showed its sale and whether a completed page showed it. It has one timer at a time: a week after the end an open deal is given
+    up; five weeks after the end any deal is forgotten. Sightings whose own time is a week or more past the end, or that come when the
+    watermark is, are late: they change nothing and are put out as they are.
+
+    Every call of a state or timer is a message to the JVM and back: a deal seen for the first time takes three."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deal = handle.getValueState("deal", "end_ms long, turn long, over boolean")
-        self.seen = handle.getMapState("seen", "mode string", "seq long")
-
-    def _status(self) -> tuple[str, int | None]:
-        modes = dict((k[0], v[0]) for k, v in self.seen.iterator()) if self.seen.exists() else {}
-        return ("SOLD", modes["sold"]) if "sold" in modes else ("UNSOLD" if "completed" in modes else "PENDING", None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end, turn, over = self.deal.get() if self.deal.exists() else (None, 0, False)
-        before, late, fresh, mark = end, [], False, timerValues.getCurrentWatermarkInMs()
-        batch = pd.concat(list(rows)).sort_values(["ms", "seq"])
-        for mode, seq, ms, end_ms in batch[["mode", "seq", "ms", "end_ms"]].itertuples(index=False):
+        self.deal = handle.getValueState("deal", "end_ms long, turn long, over boolean, sale long, completed boolean")
+
+    @staticmethod
+    def _status(sale: int | None, completed: bool) -> str:
+        return "SOLD" if sale is not None else ("UNSOLD" if completed else "PENDING")
+
+    @staticmethod
+    def _due(end: int, over: bool, sale: int | None, completed: bool) -> int:
+        """When the deal's timer rings."""
+        return end + (KEEP_MS if over or sale is not None or completed else WEEK_MS)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.deal.get()
+        end, turn, over, sale, completed = before or (None, 0, False, None, False)
+        fresh, mark = False, timerValues.getCurrentWatermarkInMs()
+        for _, mode, seq, ms, end_ms in sorted(rows, key=lambda r: (r.ms, r.seq)):
             latest = end_ms if end is None else max(end, end_ms)
             if over or max(ms, mark) >= latest + WEEK_MS:
-                late.append(seq)
+                yield Row(id=key[0], status="LATE", sale=None, turn=None, late=seq)
                 continue
             end, fresh = latest, True
-            if not self.seen.containsKey((mode,)) or seq < self.seen.getValue((mode,))[0]:
-                self.seen.updateValue((mode,), (seq,))
-        if late:
-            yield pd.DataFrame({"id": key[0], "status": "LATE", "sale": None, "turn": None, "late": late})
+            if mode == "sold":
+                sale = seq if sale is None else min(sale, seq)
+            completed = completed or mode == "completed"
         if not fresh:
             return
-        if end != before:
-            if before is not None:
-                self.handle.deleteTimer(before + WEEK_MS)
-                self.handle.deleteTimer(before + KEEP_MS)
-            self.handle.registerTimer(end + WEEK_MS)
-            self.handle.registerTimer(end + KEEP_MS)
-        self.deal.update((int(end), turn + 1, False))
-        status, sale = self._status()
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "sale": [sale], "turn": [turn + 1], "late": [None]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.deal.exists():
-            return
-        end, turn, _ = self.deal.get()
+        due = self._due(end, over, sale, completed)
+        old = self._due(before[0], *before[2:]) if before else None
+        if due != old:
+            if before:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        self.deal.update((end, turn + 1, over, sale, completed))
+        yield Row(id=key[0], status=self._status(sale, completed), sale=sale, turn=turn + 1, late=None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        end, turn, over, sale, completed = self.deal.get()
         if expiredTimerInfo.getExpiryTimeInMs() >= end + KEEP_MS:
             self.deal.clear()
-            self.seen.clear()
-        elif self._status()[0] == "PENDING":
-            self.deal.update((end, turn + 1, True))
-            yield pd.DataFrame({"id": [key[0]], "status": ["GAVE_UP"], "sale": [None], "turn": [turn + 1], "late": [None]})
+            return
+        yield Row(id=key[0], status="GAVE_UP", sale=None, turn=turn + 1, late=None)
+        if end + KEEP_MS < timerValues.getCurrentWatermarkInMs():
+            self.deal.clear()
+        else:
+            self.deal.update((end, turn + 1, True, sale, completed))
+            self.handle.registerTimer(end + KEEP_MS)
 
     def close(self) -> None:
         pass
@@ -81,7 +85,7 @@ def follow(rows: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     time reaches the deals as a number, so that late rows are theirs to judge and aren't dropped before."""
     s = rows.withWatermark("at", "1 day").select("id", "mode", "seq", F.unix_millis("at").alias("ms"), F.unix_millis("end_time").alias("end_ms"))
     with with_state_store(rows.sparkSession):
-        out = s.groupBy("id").transformWithStateInPandas(Lifecycle(), OUT, "Append", "EventTime")
+        out = s.groupBy("id").transformWithState(Lifecycle(), OUT, "Append", "EventTime")
         run_to_end(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log"))
     log = rows.sparkSession.read.schema(OUT).parquet(f"{base}/out")
     last = log.where("status <> 'LATE'").groupBy("id").agg(F.max_by(F.struct("status", "sale"), "turn").alias("r")).select("id", "r.*")

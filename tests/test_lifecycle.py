@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import os
 
+from pyspark.sql import Row
+
 from bidlens.streaming import lifecycle
 
 SCHEMA = "id long, mode string, seq long, at timestamp, end_time timestamp"
@@ -47,6 +49,44 @@ def test_deals_are_settled_given_up_and_forgotten(spark, tmp_path):
     assert {tuple(r) for r in late.collect()} == {(7, 14), (2, 16), (3, 17), (1, 25)}
 
 
+class Messages:
+    """A handle, and its one value and timers, that counts the messages which a real one would send."""
+
+    def __init__(self):
+        self.value, self.timers, self.sent = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.sent += 1
+        return self.value
+
+    def update(self, value):
+        self.sent, self.value = self.sent + 1, value
+
+    def registerTimer(self, at):
+        self.sent += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.sent += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_deal_takes_few_messages(spark):
+    handle, deal, row = Messages(), lifecycle.Lifecycle(), Row("id", "mode", "seq", "ms", "end_ms")
+    deal.init(handle)
+    out = list(deal.handleInputRows((1,), iter([row(1, m, n, 10 - n, 100) for n, m in enumerate(("active", "completed", "active"))]), handle))
+    assert [(r.status, r.turn) for r in out] == [("UNSOLD", 1)]
+    assert handle.sent == 3 and handle.timers == {100 + lifecycle.KEEP_MS}  # before, 13 of them and two timers
+    list(deal.handleInputRows((1,), iter([row(1, "sold", 9, 20, 100)]), handle))
+    assert handle.sent == 5 and handle.value == (100, 2, False, 9, True)
+
+
 def test_a_purge_works_its_tables_out_once(spark):
     from bidlens.plans import queries
 
