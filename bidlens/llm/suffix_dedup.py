@@ -9,7 +9,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BUCKET_BYTES, differ, mix, parallelism, passes, powers, prefix, release, repeated_places, settled, span_hash, written
@@ -122,6 +122,11 @@ def tag_of(raw: bytes) -> int:
     return int(hashlib.sha256(raw).hexdigest()[:8], 16)
 
 
+def text_tag(c: str) -> Column:
+    """`tag_of`'s number, as a column."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long")
+
+
 def _ranges(doc, tag, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["doc_id", "tag", "start", "stop"])
 
@@ -133,6 +138,13 @@ def later_copies(own: DataFrame) -> DataFrame:
     return written(own.join(first, ["h", "stop"]).where("doc_id > first").select("doc_id", "tag", F.lit(0).alias("start"), "stop"))
 
 
+def uncopied(texts: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, text, places) of the texts that have places, less whole copies of earlier ones."""
+    whole = copies.groupBy("doc_id").agg(F.collect_set("tag").alias("whole"))
+    rows = texts.join(places.join(whole, "doc_id", "left"), "doc_id")
+    return rows.where(~F.coalesce(F.array_contains("whole", text_tag("text")), F.lit(False))).select("doc_id", "text", "places")
+
+
 def hot_keys(texts: DataFrame, documents: int, length: int, gram: int) -> np.ndarray:
     """Sorted keys that meet HOT different runs or more in a sample of the documents: a common line's edges. Which keys are listed
     decides where windows meet, never whether; a million keys at the most are listed."""
@@ -170,7 +182,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
+    own = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), text_tag("text").alias("tag"), F.octet_length("text").alias("stop")).where("stop > 0"))
     total = own.agg(F.coalesce(F.sum("stop"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     buckets = max(2 * parallelism(spark), -(-total["bytes"] // BUCKET_BYTES))
     copies = later_copies(own)
@@ -276,10 +288,7 @@ def covered(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFrame:
             yield from _compare(part, one[part], low[part], data, begin, size, length, keepers, cut, doc, tag, start)
             a = b
 
-    whole = copies.groupBy("doc_id").agg(F.collect_set("tag").alias("whole"))
-    runs_ = texts.join(places.join(whole, "doc_id", "left"), "doc_id")
-    runs_ = runs_.where(~F.coalesce(F.array_contains("whole", F.crc32("text")), F.lit(False))).select("doc_id", "text", "places")
-    found = runs_.mapInArrow(ship, _SEGMENT).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _RANGE)
+    found = uncopied(texts, places, copies).mapInArrow(ship, _SEGMENT).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _RANGE)
     return found.unionByName(copies.where(F.col("stop") >= length))
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bidlens.llm import common, filter_audit, lexical, secrets
+from bidlens.llm import common, filter_audit, lexical, secrets, suffix_dedup
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, term string, w long, fails int, part string, spans string"
@@ -360,3 +360,18 @@ def test_a_bucket_of_three_components(spark, few):
     with common.scratch(spark):
         label = {r["node"]: r["label"] for r in common.linked(nodes, verify, 80, 4, few=few).collect()}
     assert label == {n: n // 10 * 10 for n in sets if n != 99}
+
+
+# -- suffix dedup -----------------------------------------------------------------------------
+
+
+def test_whole_copies_ship_nothing(spark):
+    line = "a passage that is longer than fifty bytes, so that it is found again "
+    data = [(1, line), (2, line), (2, line + "and more"), (3, "é" + line), (4, "é" + line), (5, None), (6, "")]
+    texts = spark.createDataFrame(data, "doc_id long, text string")
+    tags = {r["text"]: r["tag"] for r in texts.select("text", suffix_dedup.text_tag("text").alias("tag")).collect() if r["text"] is not None}
+    assert tags == {t: suffix_dedup.tag_of(t.encode()) for _, t in data if t is not None}
+    copies = spark.createDataFrame([(d, tags[t], 0, len(t.encode())) for d, t in (data[1], data[4])], "doc_id long, tag long, start int, stop int")
+    places = texts.groupBy("doc_id").agg(F.array(F.lit(0)).alias("places"))
+    got = {tuple(r) for r in suffix_dedup.uncopied(texts, places, copies).select("doc_id", "text").collect()}
+    assert got == {data[0], data[2], data[3], data[5], data[6]}  # before, copies were looked for by another hash and all shipped
