@@ -109,3 +109,13 @@ def test_pages_land_packed(spark, tmp_path):
 
     ingest.land_pages(spark.sql("select 'q' query, 'sold' mode, timestamp '2024-01-01' fetched_at, 'x' html"), str(tmp_path / "p"))
     assert [f for f in os.listdir(tmp_path / "p" / "mode=sold") if f.endswith(".zstd.parquet")]
+
+
+def test_tasks_follow_the_cards(spark, monkeypatch):
+    from bidlens.sources import adapters
+
+    monkeypatch.setattr(adapters, "CARDS_A_TASK", 2000)
+    sf = "/root/testdata/sf0.01"
+    # 60 000 cards; before, tasks followed the bytes of the narrow rows that the cards are made of
+    assert adapters.cards(spark, sf, "query", "mode").rdd.getNumPartitions() == 30
+    assert adapters.raw_pages(spark, sf).rdd.getNumPartitions() == 30  # pages are built where their cards are
